@@ -8,9 +8,12 @@ import tempfile
 import unicodedata
 import uuid
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Upper bound of one worker's word cache; a full cache is emptied, never consulted less.
 CACHE_WORDS = 400_000
@@ -88,3 +91,28 @@ def word_hash(word: str) -> int:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast hint only for a table counted to have at most ``limit`` rows; otherwise Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def column_type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` for a function that yields lists of columns; they get the Arrow types of ``schema``.
+
+    ``run`` takes an iterator of record batches and yields lists of arrays, lists or NumPy arrays.
+    """
+    spark_schema = T._parse_datatype_string(schema)
+    fields = to_arrow_schema(spark_schema)
+
+    def wrapped(batches):
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays([_as(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+
+    return df.mapInArrow(wrapped, spark_schema)
+
+
+def _as(column, kind: pa.DataType) -> pa.Array:
+    if isinstance(column, (pa.Array, pa.ChunkedArray)):
+        return column if column.type == kind else column.cast(kind)
+    return pa.array(column, kind)

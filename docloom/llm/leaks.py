@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, fold_tokens, table
+from .common import WordCache, column_type, fold_tokens, map_arrow, table
 
 _WORD = re.compile(r"\S+")
 
@@ -280,22 +280,18 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """
     spark = documents.sparkSession
     finder = spark.sparkContext.broadcast(LeakFinder(collect_items(items, item_id, fields), min_words, max_edit_share))
-    id_type = documents.schema[id_col].dataType
-    item_type = items.schema[item_id].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         find = finder.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = [(i, hit) for i, hits in enumerate(find.find_all(texts)) for hit in hits]
             if rows:
                 ids = batch.column(0).take(pa.array([i for i, _ in rows], pa.int64()))
-                cols = list(zip(*(hit for _, hit in rows)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0]), pa.array(cols[1]), *(pa.array(c, pa.int32()) for c in cols[2:])], names)
+                yield [ids, *zip(*(hit for _, hit in rows))]
 
-    names = [id_col, "item_id", "field", "n_words", "n_matched", "first_word", "last_word"]
-    schema = f"`{id_col}` {id_type.simpleString()}, item_id {item_type.simpleString()}, field string, n_words int, n_matched int, first_word int, last_word int"
-    return documents.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"`{id_col}` {column_type(documents, id_col)}, item_id {column_type(items, item_id)}, field string, n_words int, n_matched int, first_word int, last_word int"
+    return map_arrow(documents.select(id_col, text_col), run, schema)
 
 
 def remove_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_coverage: float = 0.5, **options) -> DataFrame:
@@ -305,7 +301,7 @@ def remove_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """
     finder = documents.sparkSession.sparkContext.broadcast(LeakFinder(collect_items(items), **options))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         find = finder.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -318,9 +314,9 @@ def remove_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
                 out.append(cut)
                 removed.append(n)
             if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.string()), pa.array(removed, pa.int32())], [id_col, text_col, "n_removed"])
+                yield [batch.column(0).take(pa.array(keep, pa.int64())), out, removed]
 
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, `{text_col}` string, n_removed int")
+    return map_arrow(documents.select(id_col, text_col), run, f"`{id_col}` {column_type(documents, id_col)}, `{text_col}` string, n_removed int")
 
 
 def _without(text: str, hits: list[tuple]) -> tuple[str, int]:

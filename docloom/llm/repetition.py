@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, table, word_hash
+from .common import WordCache, column_type, map_arrow, table, word_hash
 
 #: Words of a passage that counts as repeated.
 PASSAGE_WORDS = 8
@@ -185,20 +185,17 @@ def measure_repetition(documents: DataFrame, id_col: str = "doc_id", text_col: s
     model = fit(training_texts(documents, id_col, text_col, train_rows))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         features = FeatureExtractor()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             prob = shared.value.probability(features(texts)) if shared.value else np.ones(len(texts))
             prob = np.where([bool(t) for t in texts], prob, 0.0 if shared.value else 1.0)
             share = [repeated_share(normal_words(t)) if exact_all or p >= suspect or not t else None for t, p in zip(texts, prob)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prob), pa.array(share, pa.float64()), pa.array([s is not None and s >= LIMIT for s in share])],
-                [id_col, "probability", "share", "repetitive"],
-            )
+            yield [batch.column(0), prob, share, [s is not None and s >= LIMIT for s in share]]
 
-    schema = f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, probability double, share double, repetitive boolean"
-    return documents.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"`{id_col}` {column_type(documents, id_col)}, probability double, share double, repetitive boolean"
+    return map_arrow(documents.select(id_col, text_col), run, schema)
 
 
 def repetitive_documents(spark, sf_dir: str) -> DataFrame:
