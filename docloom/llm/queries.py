@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leaks, repetition
+from . import boilerplate, leaks, repetition
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": boilerplate.lines_found,
         "p9_found": lambda s, d: leaks.leaked_pairs(s, d).select("doc_id", "item_id").distinct(),
         "p10_found": repetition.repetitive_documents,
     }
