@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, leaks, repetition
+from . import boilerplate, leaks, lookalikes, mojibake, repetition
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": lookalikes.lookalike_values,
+        "p2_title_groups": lookalikes.title_groups,
+        "p7_found": mojibake.garbled_values,
         "p3_found": boilerplate.lines_found,
         "p9_found": lambda s, d: leaks.leaked_pairs(s, d).select("doc_id", "item_id").distinct(),
         "p10_found": repetition.repetitive_documents,
