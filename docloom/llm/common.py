@@ -116,3 +116,10 @@ def _as(column, kind: pa.DataType) -> pa.Array:
     if isinstance(column, (pa.Array, pa.ChunkedArray)):
         return column if column.type == kind else column.cast(kind)
     return pa.array(column, kind)
+
+
+def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The rows of the ``rows`` smallest id hashes (a few more where ids repeat): the same sample on every run, for fitting models only."""
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    bound = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(bound)) if bound is not None else df.limit(0)

@@ -11,12 +11,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_type, map_arrow, table
+from .common import column_type, hash_sample, map_arrow, table
 
-#: Values a dictionary is trained on, at most, and its size.
+#: Sampled ids whose values the dictionaries are trained on, and the size of a dictionary.
 TRAIN_ROWS, DICT_BYTES = 6000, 64 * 1024
 #: Description length in bytes of a decoding step, told once per value: chance alone seldom makes valid UTF-8, a code of single letters often.
-STEP_BYTES = {"cp1252>utf-8": 1.0, "mac_roman>utf-8": 1.0, "cp1252>tcvn3": 2.0}
+STEP_BYTES = {"cp1252>utf-8": 1.0, "mac_roman>utf-8": 1.0, "cp1252>tcvn3": 1.0, "cp1252>tcvn3 words": 1.0}
 #: Decoding steps of a chain, at most.
 MAX_STEPS = 3
 
@@ -79,10 +79,19 @@ def _decode_tcvn(text: str) -> str:
     return "".join(_TCVN_SEEN.get(c, c) for c in text)
 
 
+_TCVN_TOKEN = re.compile(f"\\S*{_class(_TCVN_ODD)}\\S*")
+
+
+def _decode_tcvn_words(text: str) -> str:
+    """Only the words that have an odd character; for clean text with garbled words in it."""
+    return _TCVN_TOKEN.sub(lambda m: _decode_tcvn(m.group()), text)
+
+
 STEPS: dict[str, Callable[[str], str]] = {
     "cp1252>utf-8": lambda t: _decode_utf8("cp1252", t),
     "mac_roman>utf-8": lambda t: _decode_utf8("mac_roman", t),
     "cp1252>tcvn3": _decode_tcvn,
+    "cp1252>tcvn3 words": _decode_tcvn_words,
 }
 
 
@@ -106,10 +115,10 @@ def chains(text: str) -> list[tuple[tuple[str, ...], str]]:
     """Every (chain of steps, decoded text), the empty chain first. A legacy step ends a chain and needs one of its odd characters in a word."""
     out = [((), text)]
     for chain, form in out:
-        if len(chain) >= MAX_STEPS or "cp1252>tcvn3" in chain:
+        if len(chain) >= MAX_STEPS or (chain and chain[-1].startswith("cp1252>tcvn3")):
             continue
         for step, decode in STEPS.items():
-            if step == "cp1252>tcvn3" and not _TCVN_WORD.search(form):
+            if step.startswith("cp1252>tcvn3") and not _TCVN_WORD.search(form):
                 continue
             new = decode(form)
             if new != form and all(new != seen for _, seen in out):
@@ -153,7 +162,7 @@ class Repairer:
         return new, ["|".join(c) for c in used], lost(new)
 
 
-_SEGMENT = re.compile(r"(\n+|(?<=[.;:!])\s+)")
+_SEGMENT = re.compile(r"(\n+|(?<=[^\W\d_][.;:!])\s+)")
 
 
 def lost(text: str) -> bool:
@@ -166,42 +175,48 @@ def language_of(field):
     return F.when(F.lower(field).rlike("[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"), "vi").otherwise("en")
 
 
-def train_dictionaries(values: DataFrame, rows: int = TRAIN_ROWS, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """A zstandard dictionary per language, trained on at most ``rows`` clean values each, those of the smallest hashes."""
-    clean = values.where(F.col("value").isNotNull() & (F.length("value") > 8) & ~F.col("value").rlike(SUSPECT)).select(language_of(F.col("value")).alias("language"), F.substring("value", 1, 2000).alias("value"), F.xxhash64("value").alias("h"))
-    out = {}
-    for language in ("vi", "en"):
-        own = [r[0].encode() for r in clean.where(F.col("language") == language).orderBy("h").limit(rows).select("value").collect()]
-        own = sorted(set(own))
-        if len(own) >= 8:
-            try:
-                out[language] = zstandard.train_dictionary(min(size, max(1024, sum(map(len, own)) // 4)), own).as_bytes()
-            except zstandard.ZstdError:
-                pass
-        if language not in out and own:
-            out[language] = b"".join(own)[:size]
+def train_dictionaries(df: DataFrame, fields: tuple[str, ...], id_col: str, rows: int = TRAIN_ROWS, size: int = DICT_BYTES) -> dict[str, dict[str, bytes]]:
+    """Per field a zstandard dictionary of each language, trained on the clean ones of at most ``4 * rows`` values of a sample of ``rows`` ids.
+
+    Values count as often as they occur. A language too rare for training gets its values as a raw dictionary.
+    """
+    sample = hash_sample(df, id_col, rows)
+    out: dict[str, dict[str, bytes]] = {}
+    for field in fields:
+        value = F.col(field)
+        clean = sample.where(value.isNotNull() & (F.length(value) > 8) & ~value.rlike(SUSPECT)).select(language_of(value).alias("language"), value.alias("value")).limit(4 * rows)
+        own: dict[str, list[bytes]] = {}
+        for language, text in clean.collect():
+            own.setdefault(language, []).append(text.encode())
+        out[field] = {language: _dictionary(sorted(texts), size) for language, texts in sorted(own.items())}
     return out
 
 
+def _dictionary(texts: list[bytes], size: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, texts)) // 4)), texts).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(texts)[-size:]
+
+
 def repair_encoding(df: DataFrame, fields: tuple[str, ...] = ("text", "source"), id_col: str = "chunk_id", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(id, field, original, restored, chains, lost) of every garbled value, one row per distinct value.
 
     Method: every candidate decoding, whole chains of them included, of each line or sentence is compressed with the zstandard
-    dictionaries of the languages; the chain with the least length, its own cost included, wins, and the unchanged text wins
+    dictionaries of the languages (one set per field); the chain with the least length, its own cost included, wins, and the unchanged text wins
     ties. ``lost`` says that replacement characters are left, which no chain can give back. Dictionaries are trained on a bounded
     sample of values without any suspicious character; values without one stay in the JVM and are returned by no row.
 
     Null and empty values give no row. No shuffle but that of the few garbled values, which drops equal rows.
     """
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))
-    values = df.select(F.col(id_col), F.explode(pairs).alias("p")).select(id_col, "p.field", "p.value")
-    repairer = df.sparkSession.sparkContext.broadcast(Repairer(train_dictionaries(values, train_rows)))
+    trained = train_dictionaries(df, fields, id_col, train_rows)
+    repairers = df.sparkSession.sparkContext.broadcast({f: Repairer(d) for f, d in trained.items()})
     suspects = df.select(F.col(id_col), F.explode(F.filter(pairs, lambda p: p["value"].rlike(SUSPECT))).alias("p")).select(id_col, "p.field", "p.value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        mend = repairer.value.repair
         for batch in batches:
-            got = [mend(v) for v in batch.column(2).to_pylist()]
+            got = [repairers.value[f].repair(v) for f, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             at = [i for i, (_, used, gone) in enumerate(got) if used or gone]
             if at:
                 keep = pa.array(at, pa.int64())

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, column_type, map_arrow, table, word_hash
+from .common import WordCache, column_type, hash_sample, map_arrow, table, word_hash
 
 #: Words of a passage that counts as repeated.
 PASSAGE_WORDS = 8
@@ -167,9 +167,8 @@ def fit(texts: list[str], ridge: float = 1.0) -> RepetitionModel | None:
 
 
 def training_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> list[str]:
-    """The ``rows`` documents whose ids have the smallest hashes: a bounded sample, the same on every run."""
-    chosen = [r[0] for r in documents.where(F.col(text_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows).collect()]
-    return [r[0] for r in documents.where(F.col(id_col).isin(chosen)).select(text_col).where(F.col(text_col).isNotNull()).limit(2 * rows).collect()]
+    """The texts of a bounded sample of ``rows`` documents (at most twice as many where ids repeat), the same on every run."""
+    return [r[0] for r in hash_sample(documents, id_col, rows).where(F.col(text_col).isNotNull()).select(text_col).limit(2 * rows).collect()]
 
 
 def measure_repetition(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, suspect: float = SUSPECT, exact_all: bool = False) -> DataFrame:
