@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, leaks, lookalikes, mojibake, repetition
+from . import boilerplate, distinctive, leaks, lookalikes, mojibake, packing, pieces, repetition
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p4_found": pieces.oversized_chunks,
+        "p4_pieces": pieces.chunk_pieces,
+        "p6_found": distinctive.topic_chunks,
+        "p6_term_weights": distinctive.chunk_term_weights,
+        "p8_containers": packing.document_containers,
         "p2_found": lookalikes.lookalike_values,
         "p2_title_groups": lookalikes.title_groups,
         "p7_found": mojibake.garbled_values,
