@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, distinctive, leaks, lookalikes, mojibake, packing, pieces, repetition
+from . import boilerplate, distinctive, leaks, lookalikes, mojibake, packing, pieces, repetition, scans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p5_found": scans.scan_lines,
         "p4_found": pieces.oversized_chunks,
         "p4_pieces": pieces.chunk_pieces,
         "p6_found": distinctive.topic_chunks,
