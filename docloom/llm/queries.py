@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, distinctive, leaks, lookalikes, mojibake, packing, pieces, repetition, scans
+from . import boilerplate, consensus, distinctive, leaks, lookalikes, mojibake, packing, pieces, repetition, scans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": consensus.consensus_grades,
+        "p1_reliability": consensus.annotator_reliability,
         "p5_found": scans.scan_lines,
         "p4_found": pieces.oversized_chunks,
         "p4_pieces": pieces.chunk_pieces,
