@@ -1,17 +1,226 @@
-"""The library's own queries and their SQL twins, by name."""
+"""The library's own queries over the test tables, and their SQL twins, by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import names, text
+from docloom.operators import answers, bm25, chunking, clauses, collection, dense, metrics, ranking
+from docloom.plans.tables import read
+from docloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
+DEPTH = 30
+
+
+def chunks(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "chunks").dropDuplicates(["chunk_id"])
+
+
+def questions(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "pool_topics").select(F.col("topic_id").alias("query_id"), F.col("question").alias("text"))
+
+
+def bm25_run(s: SparkSession, d: str, k: int) -> DataFrame:
+    return bm25.search(bm25.build(chunks(s, d)), questions(s, d), k)
+
+
+def coverage_run(s: SparkSession, d: str, k: int) -> DataFrame:
+    """A second ranking of the chunks: how many of the question's distinct words they have, divided by the number of the question's words."""
+    asked = questions(s, d).select("query_id", F.explode(F.array_distinct(text.long_tokens(F.col("text")))).alias("term"))
+    size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+    have = chunks(s, d).select(F.col("chunk_id").alias("id"), F.explode(F.array_distinct(text.long_tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = asked.join(have, "term").groupBy("query_id", "id").agg(F.count("*").alias("h")).join(size, "query_id")
+    return dense.rank_top(hits.select("query_id", "id", F.round(F.col("h") / F.col("n"), 6).alias("score")), k)
+
+
+def run_rows(s: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
+    """The BM25 run with what the ranking operators need."""
+    c = chunks(s, d).select(F.col("chunk_id").alias("id"), "source", "article", "khoan", "page", "text")
+    return bm25_run(s, d, k).join(c, "id")
+
+
+def qrels(s: SparkSession, d: str) -> DataFrame:
+    return metrics.latest_judgments(read(s, d, "judgments")).where("grade >= 1").groupBy(F.col("topic_id").alias("query_id"), F.col("chunk_id").alias("id")).agg(F.max("grade").alias("grade"))
+
+
+def both_lists(s: SparkSession, d: str) -> DataFrame:
+    a = coverage_run(s, d, DEPTH).select("query_id", F.lit(1).alias("list_no"), "rank", "id")
+    return a.unionByName(bm25_run(s, d, DEPTH).select("query_id", F.lit(2).alias("list_no"), "rank", "id"))
+
+
+def every_20th(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = read(s, d, "embeddings")
+    return v, v.where("vec_id % 20 = 0")
+
+
+def vector_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id").withColumn("hit", F.lit(1.0)), ["query_id", "id"], "left")
+    return hit.agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"), F.count("*").alias("pairs"))
+
+
+def documents_as_chunks(s: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_documents(read(s, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
+
+
+def incremental_equals_full(s: SparkSession, d: str) -> DataFrame:
+    """Postings kept by source, with some sources taken out and put back, against a full rebuild: terms whose statistics differ (none)."""
+    c = chunks(s, d)
+    part = F.pmod(F.xxhash64("source"), F.lit(5)) == 0
+    of = c.select(F.col("chunk_id").alias("id"), "source")
+    kept = bm25.postings(c).join(of.where(~part), "id").drop("source")
+    again = bm25.postings(c.where(part))
+    lengths = c.agg(F.count("*").alias("n_docs"), F.avg(F.size(text.tokens(F.col("text")))).alias("avgdl"))
+    new = bm25.from_postings(kept.unionByName(again.select(kept.columns)), lengths).terms.select("term", "df", "cf", F.round("idf", 9).alias("idf"))
+    full = bm25.build(c).terms.select("term", "df", "cf", F.round("idf", 9).alias("idf"))
+    return new.exceptAll(full).unionByName(full.exceptAll(new)).agg(F.count("*").alias("different_terms"))
+
+
+def stores(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three views of the collection that differ by what the catalogue and the judgments know."""
+    c = chunks(s, d).select("chunk_id", "source")
+    listed = read(s, d, "catalogue").select("source")
+    judged = read(s, d, "judgments").select("chunk_id").distinct()
+    return c, c.join(listed, "source", "left_semi"), c.join(judged, "chunk_id", "left_semi")
+
+
+def uploads(s: SparkSession, d: str) -> DataFrame:
+    docs = read(s, d, "documents").select(F.col("doc_id").alias("upload_id"), F.concat(F.coalesce("title", F.lit("untitled")), F.lit(".pdf")).alias("name"), "doc_group", F.sha2("text", 256).alias("sha"))
+    corpus = read(s, d, "catalogue").select(F.concat("title", F.lit(".docx")).alias("source"), F.lit("so-tay").alias("doc_group"), F.sha2("source", 256).alias("sha"))
+    return collection.upload_conflicts(docs, corpus)
+
+
+def text_flags(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return chunks(s, d).select(
+        "chunk_id", text.is_noise(t).alias("noise"), text.is_corrupt(t).alias("corrupt"), text.is_form(t).alias("form"), text.is_heading_only(t).alias("heading_only"),
+        F.round(text.diacritic_ratio(t), 6).alias("diacritics"), F.round(text.english_stopword_ratio(t), 6).alias("stopwords"), text.approx_tokens(t).alias("tokens"), text.suggest_language(t)["language"].alias("language"),
+    )
+
+
+def hits_at_1(run: DataFrame, rel: DataFrame) -> DataFrame:
+    return metrics.per_query_metrics(run, rel, 1).select("query_id", "hit")
+
+
+def clause_locators(s: SparkSession, d: str) -> DataFrame:
+    c = chunks(s, d)
+    return c.select("chunk_id", text.legal_locator(*(F.col(x) for x in ("article", "article_title", "khoan", "chapter", "chapter_title"))).alias("locator"))
+
+
+def best_answers(s: SparkSession, d: str) -> DataFrame:
+    """The best chunk of each topic that has a reference answer, with the recall of the answer's word pairs."""
+    first = bm25_run(s, d, 1).join(chunks(s, d).select(F.col("chunk_id").alias("id"), F.col("text").alias("answer")), "id")
+    refs = read(s, d, "pool_topics").where("reference_answer is not null").select(F.col("topic_id").alias("query_id"), F.col("reference_answer").alias("reference"))
+    return refs.join(first, "query_id")
+
+
+def strict(s: SparkSession, d: str) -> DataFrame:
+    refs = read(s, d, "pool_topics").where("reference_answer is not null").select(F.col("topic_id").alias("query_id"), F.col("reference_answer").alias("answer"))
+    return metrics.strict_truth(refs, chunks(s, d).select(F.col("chunk_id").alias("id"), "text"))
+
+
+def quantised(s: SparkSession, d: str, kind: str) -> DataFrame:
+    v, q = every_20th(s, d)
+    transform = dense.signs if kind == "binary" else dense.int8(dense.int8_scale(v))
+    return dense.rescored_topk(v, q, transform, 10, 8.0 if kind == "binary" else 2.0)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {
+        "term_stats": lambda s, d: bm25.build(chunks(s, d)).terms.select("term", "df", "cf", F.round("idf", 6).alias("idf")),
+        "bm25_stats": lambda s, d: bm25.build(chunks(s, d)).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf")),
+        "bm25_topk": lambda s, d: bm25_run(s, d, 10),
+        "coverage_topk": lambda s, d: coverage_run(s, d, 10),
+        "dense_topk": lambda s, d: dense.dense_topk(*every_20th(s, d), 10),
+        "rrf_fusion": lambda s, d: ranking.fuse(both_lists(s, d), limit=20),
+        "prefix_dedup": lambda s, d: ranking.prefix_dedup(run_rows(s, d)).select("query_id", "rank", "id"),
+        "diversify": lambda s, d: ranking.diversify(run_rows(s, d), 10, 2).select("query_id", "rank", "id", "source"),
+        "tier_classify": lambda s, d: ranking.classify_tiers(run_rows(s, d, 10), 5.0, 8.0),
+        "footnotes": lambda s, d: ranking.footnotes(run_rows(s, d, 10)),
+        "retrieval_metrics": lambda s, d: metrics.mean_metrics(bm25_run(s, d, 10), qrels(s, d)),
+        "recall_by_depth": lambda s, d: metrics.recall_by_depth(bm25_run(s, d, 100), qrels(s, d)),
+        "failure_causes": lambda s, d: metrics.failure_causes(bm25_run(s, d, 10), qrels(s, d), chunks(s, d).select(F.col("chunk_id").alias("id"), "source")),
+        "mcnemar": lambda s, d: metrics.mcnemar(hits_at_1(bm25_run(s, d, 1), qrels(s, d)), hits_at_1(coverage_run(s, d, 1), qrels(s, d))).drop("p_value"),
+        "mcnemar_test": lambda s, d: metrics.mcnemar(hits_at_1(bm25_run(s, d, 1), qrels(s, d)), hits_at_1(coverage_run(s, d, 1), qrels(s, d))),
+        "bootstrap_ci": lambda s, d: metrics.bootstrap(metrics.per_query_metrics(bm25_run(s, d, 10), qrels(s, d), 10), "ndcg", rounds=1000),
+        "latest_judgments": lambda s, d: metrics.latest_judgments(read(s, d, "judgments")),
+        "judging_stats": lambda s, d: metrics.judging_stats(read(s, d, "judgments")),
+        "kappa": lambda s, d: metrics.kappa(read(s, d, "judgments"), 1, 3),
+        "graded_truth": lambda s, d: metrics.graded_truth(read(s, d, "judgments"), 1),
+        "pooling": lambda s, d: metrics.pool(bm25_run(s, d, 10).select("query_id", "rank", "id", F.lit("bm25").alias("run")).unionByName(coverage_run(s, d, 10).select("query_id", "rank", "id", F.lit("coverage").alias("run"))), {"bm25": 10, "coverage": 3}),
+        "answer_recall": lambda s, d: metrics.answer_recall(best_answers(s, d)).select("query_id", "id", F.round("answer_recall", 6).alias("answer_recall")),
+        "rouge": lambda s, d: metrics.rouge(best_answers(s, d)).select("query_id", F.round("rouge1", 6).alias("rouge1"), F.round("rouge_l", 6).alias("rouge_l")),
+        "fuzzy_recall": lambda s, d: metrics.fuzzy_recall(best_answers(s, d)).select("query_id", F.round("fuzzy_recall", 6).alias("fuzzy_recall")),
+        "strict_truth": strict,
+        "latency_stats": lambda s, d: metrics.latency_stats(read(s, d, "events").where("value > 0"), ["event_type"], "value"),
+        "text_flags": text_flags,
+        "chunk_keys": lambda s, d: chunks(s, d).select("chunk_id", text.chunk_id(F.col("source"), F.col("chunk_index"), F.col("text")).alias("key"), text.point_id(F.col("chunk_id")).cast("string").alias("point_id")),
+        "clause_locators": clause_locators,
+        "unwrapped": lambda s, d: chunks(s, d).select("chunk_id", F.md5(text.squash(text.unwrap(F.col("text")))).alias("digest")),
+        "content_tokens": lambda s, d: chunks(s, d).select("chunk_id", F.size(text.content_tokens(F.col("text"), F.coalesce("language", F.lit("")) == "en")).alias("topical"), F.size(text.bigrams(F.col("text"))).alias("pairs")),
+        "defect_audit": lambda s, d: collection.defect_audit(chunks(s, d)),
+        "worst_sources": lambda s, d: collection.worst_sources(chunks(s, d)),
+        "corpus_stats": lambda s, d: collection.corpus_stats(chunks(s, d)),
+        "source_listing": lambda s, d: collection.source_listing(chunks(s, d)),
+        "group_list": lambda s, d: collection.group_list(read(s, d, "doc_groups"), chunks(s, d)),
+        "group_metadata": lambda s, d: collection.with_group_metadata(read(s, d, "documents").select("doc_id", "doc_group"), read(s, d, "doc_groups")),
+        "index_health": lambda s, d: collection.index_health(*stores(s, d)),
+        "registry_status": lambda s, d: collection.registry_status(read(s, d, "catalogue"), chunks(s, d)),
+        "registry_summary": lambda s, d: collection.registry_summary(collection.registry_status(read(s, d, "catalogue"), chunks(s, d))),
+        "orphans": lambda s, d: collection.orphans(chunks(s, d), read(s, d, "catalogue")),
+        "stem_conflicts": lambda s, d: collection.stem_conflicts(read(s, d, "catalogue").select("source").unionByName(chunks(s, d).select(F.regexp_replace("source", r"\.pdf$", ".docx").alias("source")))),
+        "upload_conflicts": uploads,
+        "checked_catalogue": lambda s, d: collection.checked_catalogue(read(s, d, "catalogue")),
+        "clause_stats": lambda s, d: collection.clause_stats(chunks(s, d)),
+        "clause_runs": lambda s, d: clauses.clause_runs(chunks(s, d)),
+        "merged_headings": lambda s, d: clauses.merge_headings(chunks(s, d)).select("source", "chunk_index", F.md5("text").alias("digest")),
+        "page_fallback": lambda s, d: clauses.page_fallback(chunks(s, d).withColumn("page", F.when(F.col("section_type") != "khoan", F.col("page")))).select("chunk_id", "page_filled"),
+        "stale_ids": lambda s, d: collection.stale_ids(stores(s, d)[0], stores(s, d)[2]),
+        "reindex_plan": lambda s, d: ingest.reindex_plan(stores(s, d)[1], stores(s, d)[2]),
+        "incremental_equals_full": incremental_equals_full,
+        "binary_topk": lambda s, d: quantised(s, d, "binary"),
+        "int8_topk": lambda s, d: quantised(s, d, "int8"),
+        "ivf_recall": lambda s, d: vector_recall(dense.ivf_topk(*every_20th(s, d), 10), dense.dense_topk(*every_20th(s, d), 10)),
+        "document_chunks": documents_as_chunks,
+        "answers": lambda s, d: answers.answer(questions(s, d), chunks(s, d)),
+        "highlights": lambda s, d: answers.highlight_runs(run_rows(s, d, 3).join(questions(s, d).select("query_id", F.col("text").alias("question")), "query_id").withColumn("language", F.lit("vi"))).select("query_id", "rank", "quote"),
+        "group_slugs": lambda s, d: read(s, d, "doc_groups").select("doc_group", names.slug_col(F.col("label")).alias("slug"), names.safe_filename_col(F.concat("label", F.lit(".PDF"))).alias("file_name")),
+        "clause_order": lambda s, d: _clause_order(chunks(s, d)),
+        "tumbling_counts": lambda s, d: ingest.windowed_counts(read(s, d, "events"), stream=False),
+        "sliding_counts": lambda s, d: ingest.windowed_counts(read(s, d, "events"), "1 hour", "30 minutes", stream=False),
+        "session_counts": lambda s, d: ingest.session_counts(read(s, d, "events"), stream=False),
+        "pricing_summary": pricing_summary,
+        "segment_revenue": segment_revenue,
+    }
+
+
+def _clause_order(c: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    one = c.where("article <> ''").groupBy("source", "article", "khoan").agg(F.count("*").alias("n"))
+    key = text.khoan_key(F.col("khoan"))
+    w = Window.partitionBy("source", "article").orderBy(key["kind"], key["numbers"], key["text"])
+    return one.select("source", "article", "khoan", "n", F.row_number().over(w).alias("place"))
+
+
+def pricing_summary(s: SparkSession, d: str) -> DataFrame:
+    """Extension: sums per return flag and line status."""
+    li = read(s, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02'")
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(net), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+def segment_revenue(s: SparkSession, d: str) -> DataFrame:
+    """Extension: revenue per market segment and nation."""
+    li, o, c, n = (read(s, d, t) for t in ("lineitem", "orders", "customer", "nation"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    return j.groupBy("c_mktsegment", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docloom.plans.oracles import sql
+
+    return sql()
