@@ -32,7 +32,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid_rerank
     if mode == "dense":
         run = dense_run.where(F.col("rank") <= k)
     else:
-        sparse = bm25.search(bm25.build(unique), questions, 30)
+        sparse = bm25.search(bm25.build(chunks), questions, 30)
         if mode == "sparse":
             run = sparse.where(F.col("rank") <= k)
         else:

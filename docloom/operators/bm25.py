@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
+from docloom.plans.tables import broadcast_if_small, column_type, map_arrow, materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries scored together, and distinct query terms that are broadcast to the postings; more terms meet them by a shuffle.
+QUERY_BLOCK, BROADCAST_ROWS = 20_000, 500_000
 
 
 @dataclass
@@ -22,44 +28,121 @@ class Bm25Index:
 
 
 def distinct_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
+    """(id, text), identical repeats once. Distributed by id, which later groupings by id keep; equality is checked by hashing, so texts are never sorted."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").distinct()
 
 
 def postings(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, dl). A document's words are counted in its own row: sorted words, positions of change; only postings are shuffled later."""
-    words = distinct_documents(docs, id_col, text_col).select("id", tokens(F.col("text")).alias("words"))
-    return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    """(term, id, tf, dl), with a row of the empty term for every document, which keeps documents without words in the counts.
+
+    Documents are distributed by id once; counting by (id, term) keeps that distribution, so no token is shuffled again.
+    """
+    words = distinct_documents(docs, id_col, text_col).select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    exploded = words.select("id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
+    return exploded.groupBy("id", "term", "dl").agg(F.count("*").cast("int").alias("tf")).select("term", "id", "tf", "dl")
 
 
 def build(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Bm25Index:
-    """Index of all documents; those without any word count in n_docs and avgdl. Negative idf becomes EPSILON times the mean idf of all terms."""
-    posts = postings(docs, id_col, text_col)
-    lengths = distinct_documents(docs, id_col, text_col).agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    return from_postings(posts, lengths)
+    """Index of all documents; those without any word count in n_docs and avgdl. Negative idf becomes EPSILON times the mean idf of all terms. The postings are written once, as every statistic and search reads them."""
+    return from_postings(materialize(postings(docs, id_col, text_col), "postings"))
 
 
-def from_postings(posts: DataFrame, lengths: DataFrame) -> Bm25Index:
+def from_postings(rows: DataFrame) -> Bm25Index:
+    """Global statistics of postings, wherever they come from; an incremental change of postings gives what a rebuild gives."""
+    lengths = rows.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    posts = rows.where("term <> ''")
     counts = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     raw = counts.crossJoin(F.broadcast(lengths)).withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    stats = lengths.crossJoin(raw.agg(F.avg("raw_idf").alias("avg_idf")))
+    raw = materialize(raw, "terms")
+    stats = materialize(lengths.crossJoin(raw.agg(F.avg("raw_idf").alias("avg_idf"))), "stats")
     terms = raw.crossJoin(F.broadcast(stats.select("avg_idf"))).select("term", "df", "cf", F.when(F.col("raw_idf") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw_idf")).alias("idf"))
     return Bm25Index(posts, terms, stats)
 
 
-def term_weight(k1: float = K1, b: float = B) -> Column:
-    return F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-
-
 def search(index: Bm25Index, queries: DataFrame, k: int = 20, query_id: str = "query_id", text_col: str = "text", digits: int = 6) -> DataFrame:
     """(query_id, rank, id, score) of the ``k`` best documents of every query.
 
     A repeated query word counts as often as it occurs. Scores are rounded to ``digits`` before ranking, ties go to the larger id,
-    documents of score zero are dropped. The query side is the small one of the join by term; partial sums are combined before
-    the shuffle by (query, document), and only ``k`` rows a query and task reach the last window.
+    documents of score zero are dropped. Negative scores stay and rank last.
+    """
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("times"))
+    wanted = asked.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    avgdl = index.stats.first()["avgdl"] or 1.0
+
+    def saturate(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+    return ranked(index.postings, wanted, saturate, k, digits)
+
+
+def ranked(posts: DataFrame, wanted: DataFrame, saturate, k: int, digits: int = 6, larger_id_first: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
+    """The ``k`` documents of greatest sum of weight times saturate(tf, dl) over a query's terms, for (query_id, term, weight) and postings.
+
+    The stated queries come in blocks of at most ``block`` and are broadcast; the postings of their terms are gathered by document, and
+    each Arrow batch of documents scores the whole block in NumPy and hands on its best ``k`` per query. So (query, document) pairs are
+    never rows: what is shuffled is the postings of the queried terms and tasks x queries x k results.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.join(index.terms, "term")
-    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
-    scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * term_weight()), digits).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id")))
-    return scores.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") != 0)).select("query_id", "rank", "id", "score")
+    wanted = materialize(wanted, "wanted")
+    n = wanted.select("query_id").distinct().count()
+    parts = max(1, -(-n // block))
+    out = None
+    for p in range(parts):
+        some = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
+        found = _ranked_block(posts, some, saturate, k, digits, larger_id_first)
+        out = found if out is None else out.unionByName(found)
+    order = F.desc("id") if larger_id_first else F.asc("id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), order))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _ranked_block(posts: DataFrame, wanted: DataFrame, saturate, k: int, digits: int, larger_id_first: bool) -> DataFrame:
+    numbers: dict[str, int] = {}
+    own: dict[object, list[tuple[int, float]]] = {}
+    for r in wanted.toLocalIterator():
+        own.setdefault(r["query_id"], []).append((numbers.setdefault(r["term"], len(numbers)), r["weight"]))
+    spark = posts.sparkSession
+    known = spark.createDataFrame(list(numbers.items()), "term string, no int")
+    shared = spark.sparkContext.broadcast([(q, np.array([t for t, _ in ts]), np.array([w for _, w in ts])) for q, ts in own.items()])
+    rows = posts.join(broadcast_if_small(known, len(numbers), BROADCAST_ROWS), "term")
+    docs = rows.groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("no", "tf")).alias("terms"))
+    terms = len(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            n = batch.num_rows
+            lists = batch.column(2)
+            doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            no, tf = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("no", "tf"))
+            value = saturate(tf.astype(np.float64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)[doc])
+            order = np.argsort(no, kind="stable")
+            doc, value = doc[order], value[order]
+            start = np.searchsorted(no[order], np.arange(terms + 1))
+            place = np.argsort(np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable"))
+            place = -place if larger_id_first else place
+            score, hit = np.zeros(n), np.zeros(n, bool)
+            asked, at, scores = [], [], []
+            for q, ts, ws in shared.value:
+                score[:] = 0.0
+                hit[:] = False
+                for t, w in zip(ts, ws):
+                    a, b = start[t], start[t + 1]
+                    if a < b:
+                        score[doc[a:b]] += w * value[a:b]
+                        hit[doc[a:b]] = True
+                some = np.flatnonzero(hit)
+                if not len(some):
+                    continue
+                s = np.round(score[some], digits)
+                if len(some) > k:
+                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                    some, s = some[keep], s[keep]
+                best = np.lexsort((place[some], -s))[:k]
+                best = best[s[best] != 0]
+                asked += [q] * len(best)
+                at.append(some[best])
+                scores.append(s[best])
+            if asked:
+                yield [asked, batch.column(0).take(pa.array(np.concatenate(at))), np.concatenate(scores)]
+
+    return map_arrow(docs, run, f"query_id {column_type(wanted, 'query_id')}, id {column_type(posts, 'id')}, score double")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import names, text
 from docloom.operators import answers, bm25, chunking, clauses, collection, dense, metrics, ranking
-from docloom.plans.tables import read
+from docloom.plans.tables import materialize, read
 from docloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,16 +26,16 @@ def questions(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_run(s: SparkSession, d: str, k: int) -> DataFrame:
-    return bm25.search(bm25.build(chunks(s, d)), questions(s, d), k)
+    return materialize(bm25.search(bm25.build(read(s, d, "chunks")), questions(s, d), k), "run")
 
 
 def coverage_run(s: SparkSession, d: str, k: int) -> DataFrame:
     """A second ranking of the chunks: how many of the question's distinct words they have, divided by the number of the question's words."""
     asked = questions(s, d).select("query_id", F.explode(F.array_distinct(text.long_tokens(F.col("text")))).alias("term"))
     size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    have = chunks(s, d).select(F.col("chunk_id").alias("id"), F.explode(F.array_distinct(text.long_tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = asked.join(have, "term").groupBy("query_id", "id").agg(F.count("*").alias("h")).join(size, "query_id")
-    return dense.rank_top(hits.select("query_id", "id", F.round(F.col("h") / F.col("n"), 6).alias("score")), k)
+    wanted = asked.join(size, "query_id").select("query_id", "term", (F.lit(1.0) / F.col("n")).alias("weight"))
+    posts = bm25.postings(read(s, d, "chunks")).where("term <> ''")
+    return materialize(bm25.ranked(posts, wanted, lambda tf, dl: np.ones(len(tf)), k, larger_id_first=False), "run")
 
 
 def run_rows(s: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
@@ -44,7 +45,8 @@ def run_rows(s: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
 
 
 def qrels(s: SparkSession, d: str) -> DataFrame:
-    return metrics.latest_judgments(read(s, d, "judgments")).where("grade >= 1").groupBy(F.col("topic_id").alias("query_id"), F.col("chunk_id").alias("id")).agg(F.max("grade").alias("grade"))
+    standing = metrics.latest_judgments(read(s, d, "judgments")).where("grade >= 1")
+    return materialize(standing.groupBy(F.col("topic_id").alias("query_id"), F.col("chunk_id").alias("id")).agg(F.max("grade").alias("grade")), "qrels")
 
 
 def both_lists(s: SparkSession, d: str) -> DataFrame:
@@ -73,8 +75,7 @@ def incremental_equals_full(s: SparkSession, d: str) -> DataFrame:
     of = c.select(F.col("chunk_id").alias("id"), "source")
     kept = bm25.postings(c).join(of.where(~part), "id").drop("source")
     again = bm25.postings(c.where(part))
-    lengths = c.agg(F.count("*").alias("n_docs"), F.avg(F.size(text.tokens(F.col("text")))).alias("avgdl"))
-    new = bm25.from_postings(kept.unionByName(again.select(kept.columns)), lengths).terms.select("term", "df", "cf", F.round("idf", 9).alias("idf"))
+    new = bm25.from_postings(kept.unionByName(again.select(kept.columns))).terms.select("term", "df", "cf", F.round("idf", 9).alias("idf"))
     full = bm25.build(c).terms.select("term", "df", "cf", F.round("idf", 9).alias("idf"))
     return new.exceptAll(full).unionByName(full.exceptAll(new)).agg(F.count("*").alias("different_terms"))
 
@@ -130,8 +131,8 @@ def quantised(s: SparkSession, d: str, kind: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "term_stats": lambda s, d: bm25.build(chunks(s, d)).terms.select("term", "df", "cf", F.round("idf", 6).alias("idf")),
-        "bm25_stats": lambda s, d: bm25.build(chunks(s, d)).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf")),
+        "term_stats": lambda s, d: bm25.build(read(s, d, "chunks")).terms.select("term", "df", "cf", F.round("idf", 6).alias("idf")),
+        "bm25_stats": lambda s, d: bm25.build(read(s, d, "chunks")).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf")),
         "bm25_topk": lambda s, d: bm25_run(s, d, 10),
         "coverage_topk": lambda s, d: coverage_run(s, d, 10),
         "dense_topk": lambda s, d: dense.dense_topk(*every_20th(s, d), 10),
