@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from docloom.functions.text import is_heading_only
 
 MAX_CHARS = 3000
-# How the text of a new section begins.
-SECTION_STARTS = ("điều ", "chương ", "mục ", "phần ", "article ", "chapter ", "section ")
+# How a section begins that is no provision.
+SECTION_STARTS = ("phụ lục", "cộng hòa xã hội", "đại học quốc gia", "kính gửi", "đơn đề nghị", "mẫu số", "biểu mẫu")
 
 
 def starts_section(text):

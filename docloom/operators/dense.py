@@ -117,18 +117,44 @@ def rescored_topk(vectors: DataFrame, queries: DataFrame, transform, k: int = 10
     return rank_top(first.join(q, "query_id").join(v, "id").select("query_id", "id", cosine.alias("score")), k)
 
 
-def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 6, sample: int = 20_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _sample(vectors: DataFrame, id_col: str, vector_col: str, rows: int) -> np.ndarray:
+    """Unit vectors of at most ``rows`` rows, those of the smallest id hashes."""
+    got = vectors.select(vector_col, F.xxhash64(id_col).alias("h")).orderBy("h").limit(rows).select(vector_col).collect()
+    return _unit(np.array([r[0] for r in got], np.float64)) if got else np.zeros((0, 1))
+
+
+def tuned_oversampling(vectors: DataFrame, transform, k: int = 10, target: float = 0.95, sample: int = 5_000, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """The oversampling at which quantised candidates hold ``target`` of the true neighbours, measured on a bounded sample. A larger collection needs more; measure again there."""
+    data = _sample(vectors, id_col, vector_col, sample)
+    if len(data) <= k + 1:
+        return float(max(1, len(data)))
+    q = data[:: max(1, len(data) // 200)]
+    exact, cheap = data @ q.T, transform(data) @ transform(q).T
+    true = np.argsort(-exact, axis=0)[1 : k + 1]
+    place = np.argsort(np.argsort(-cheap, axis=0, kind="stable"), axis=0)
+    return float(max(1.0, np.ceil(np.quantile(np.take_along_axis(place, true, 0), target) + 1) / k))
+
+
+def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int | None = None, target: float = 0.96, sample: int = 20_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Approximate search over an inverted file: centroids are fitted on a bounded sample, every vector is indexed in its nearest cell, a query looks into ``probes`` cells.
 
-    Vectors and queries meet by cell; a hot cell is dealt over salts so that no task holds it whole.
+    Without ``probes`` the fewest cells are taken that hold ``target`` of the true neighbours of sampled vectors. Vectors and queries
+    meet by cell; a hot cell is dealt over salts so that no task holds it whole.
     """
-    rows = vectors.orderBy(F.xxhash64(id_col)).select(vector_col).limit(sample).collect()
-    data = _unit(np.array([r[0] for r in rows], np.float64)) if rows else np.zeros((0, 1))
+    data = _sample(vectors, id_col, vector_col, sample)
     rng = np.random.default_rng(seed)
     centers = data[rng.permutation(len(data))[:cells]]
     for _ in range(12 if len(data) else 0):
         near = (data @ centers.T).argmax(1)
         centers = _unit(np.array([data[near == c].mean(0) if (near == c).any() else centers[c] for c in range(len(centers))]))
+    if probes is None:
+        q = data[:: max(1, len(data) // 200)]
+        order = np.argsort(-(q @ centers.T), axis=1, kind="stable") if len(data) else np.zeros((0, 0))
+        true = np.argsort(-(q @ data.T), axis=1)[:, 1 : k + 1] if len(data) else np.zeros((0, 0), int)
+        home = (data @ centers.T).argmax(1) if len(data) else np.zeros(0, int)
+        depth = [int(np.flatnonzero(order[i] == home[j])[0]) for i in range(len(q)) for j in true[i]]
+        probes = int(np.quantile(depth, target, method="higher")) + 1 if depth else len(centers)
+    probes = max(1, min(probes, len(centers)))
     kind = column_type(vectors, id_col)
 
     def assign(df: DataFrame, take: int) -> DataFrame:
@@ -147,6 +173,6 @@ def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 1
     salts = 8
     indexed = assign(vectors, 1).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cell", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
     asked = assign(queries, probes).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), "cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     pairs = asked.join(indexed, ["cell", "salt"]).where("query_id <> id")
-    return rank_top(pairs.select("query_id", "id", F.round(dot, 6).alias("score")), k)
+    return rank_top(pairs.select("query_id", "id", F.round(dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v")), 6).alias("score")), k)

@@ -126,7 +126,7 @@ def strict(s: SparkSession, d: str) -> DataFrame:
 def quantised(s: SparkSession, d: str, kind: str) -> DataFrame:
     v, q = every_20th(s, d)
     transform = dense.signs if kind == "binary" else dense.int8(dense.int8_scale(v))
-    return dense.rescored_topk(v, q, transform, 10, 8.0 if kind == "binary" else 2.0)
+    return dense.rescored_topk(v, q, transform, 10, dense.tuned_oversampling(v, transform, 10) if kind == "binary" else 2.0)
 
 
 def queries() -> dict[str, Query]:
@@ -185,6 +185,7 @@ def queries() -> dict[str, Query]:
         "binary_topk": lambda s, d: quantised(s, d, "binary"),
         "int8_topk": lambda s, d: quantised(s, d, "int8"),
         "ivf_recall": lambda s, d: vector_recall(dense.ivf_topk(*every_20th(s, d), 10), dense.dense_topk(*every_20th(s, d), 10)),
+        "binary_recall": lambda s, d: vector_recall(quantised(s, d, "binary"), dense.dense_topk(*every_20th(s, d), 10)),
         "document_chunks": documents_as_chunks,
         "answers": lambda s, d: answers.answer(questions(s, d), chunks(s, d)),
         "highlights": lambda s, d: answers.highlight_runs(run_rows(s, d, 3).join(questions(s, d).select("query_id", F.col("text").alias("question")), "query_id").withColumn("language", F.lit("vi"))).select("query_id", "rank", "quote"),

@@ -45,7 +45,7 @@ QRELS = LATEST + ", qr AS (SELECT topic_id AS query_id, chunk_id AS id, max(grad
 ROWS = f"{BM25}, rr AS (SELECT query_id, rank, id, score, source, article, khoan, page, text FROM bm JOIN ch ON ch.chunk_id = id WHERE rank <= 30)"
 DOT = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))"
 STORES = f"""{CH}, a AS (SELECT chunk_id, source FROM ch), b AS (SELECT * FROM a WHERE source IN (SELECT source FROM catalogue)), j AS (SELECT * FROM a WHERE chunk_id IN (SELECT chunk_id FROM judgments))"""
-SECTION = "regexp_matches(left(lower(trim(text)), 60), '^(điều |chương |mục |phần |article |chapter |section )')"
+SECTION = "regexp_matches(left(lower(trim(text)), 60), '^(phụ lục|cộng hòa xã hội|đại học quốc gia|kính gửi|đơn đề nghị|mẫu số|biểu mẫu)')"
 HEADING = r"^(?:[cC][hH][uUưƯ][oOơƠ][nN][gG]\s+[IVXLCDMivxlcdm0-9]+|[mM][uUụỤ][cC]\s+[IVXLCDMivxlcdm0-9]+|[đĐdD][iI][eEềỀ][uU]\s+[0-9]+|(?i:chapter\s+[IVXLCDM0-9]+)|(?i:article\s+[0-9]+)|(?i:section\s+[0-9]+)|[qQ][uU][yY][eEếẾ][tT]\s+[đĐdD][iIịỊ][nN][hH]\s*:)"
 DOTS = "((length(text) - length(regexp_replace(text, '[.…]{4,}', '', 'g'))) / greatest(length(text), 1))"
 

@@ -22,8 +22,8 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 def list_documents(spark: SparkSession, root: str) -> DataFrame:
     """(path, source, doc_group, size, modified, content) of the PDF and DOCX files under ``root``; folders that begin with '.', '_' or 'processed' and lock files are left out. Reading no ``content`` reads no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,docx,PDF,DOCX}").load(root)
-    below = F.replace(F.col("path"), F.lit(root.rstrip("/") + "/"), F.lit(""))
-    parts = F.split(F.regexp_replace(below, r"^file:/+", "/"), "/")
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    parts = F.split(F.replace(plain(F.col("path")), plain(F.lit(root.rstrip("/") + "/")), F.lit("")), "/")
     source = F.element_at(parts, -1)
     hidden = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.rlike(r"^(\.|_|processed)"))
     group = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("ungrouped")
@@ -81,13 +81,16 @@ def docx_paragraphs(content: bytes) -> Iterator[tuple[int, str, int | None]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     page, counters = 1, {}
-    for block in body.iter(f"{_W}p", f"{_W}tr") if body is not None else ():
+    inside = {id(p) for row in (body.iter(f"{_W}tr") if body is not None else ()) for p in row.iter(f"{_W}p")}
+    for block in body.iter() if body is not None else ():
+        if block.tag not in (f"{_W}p", f"{_W}tr"):
+            continue
         if block.tag == f"{_W}tr":
             cells = ["".join(t.text or "" for t in c.iter(f"{_W}t")).strip() for c in block.findall(f"{_W}tc")]
             if any(cells):
                 yield page, " | ".join(cells), None
             continue
-        if any(block in list(c.iter(f"{_W}p")) for c in ()):
+        if id(block) in inside:
             continue
         text, level = [], None
         for node in block.iter():

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = T._parse_datatype_string(
+CHUNK = (
     "chunk_id string, source string, source_path string, page int, chunk_index int, text string, doc_group string, doc_type string, doc_number string, issuing_body string, section_type string, "
     "chapter string, chapter_title string, article string, article_title string, khoan string, file_type string, language string, ingest_version int, level_labels struct<chapter: string, article: string, khoan: string>"
 )
-TRUTH = T._parse_datatype_string("id int, question string, answer string, relevant_ids array<string>, sources array<struct<source: string, page: int>>")
+TRUTH = "id int, question string, answer string, relevant_ids array<string>, sources array<struct<source: string, page: int>>"
 
 
 def read_chunks(spark: SparkSession, path: str, only_files: list[str] | None = None, tolerant: bool = False) -> DataFrame:
