@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
 import unicodedata
-import uuid
 
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from docloom.plans.tables import broadcast_if_small, column_type, map_arrow, materialize, read
+
+__all__ = ["CACHE_WORDS", "WordCache", "broadcast_if_small", "column_type", "fold_tokens", "fold_word", "hash_sample", "map_arrow", "materialize", "table", "word_hash"]
 
 #: Upper bound of one worker's word cache; a full cache is emptied, never consulted less.
 CACHE_WORDS = 400_000
@@ -21,40 +19,8 @@ CACHE_WORDS = 400_000
 _STRIP = re.compile(r"[^\W_]+")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir`` of the session, else a local one (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = getattr(spark, "_docloom_dir", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="docloom-")
-            spark._docloom_dir = path
-    return path
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut lineage by writing a Parquet table into the shared folder and reading it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:
-            pass
-
-    atexit.register(remove)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def fold_word(raw: str) -> str:
@@ -88,36 +54,6 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Broadcast hint only for a table counted to have at most ``limit`` rows; otherwise Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
-def column_type(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
-
-
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` for a function that yields lists of columns; they get the Arrow types of ``schema``.
-
-    ``run`` takes an iterator of record batches and yields lists of arrays, lists or NumPy arrays.
-    """
-    spark_schema = T._parse_datatype_string(schema)
-    fields = to_arrow_schema(spark_schema)
-
-    def wrapped(batches):
-        for columns in run(batches):
-            yield pa.RecordBatch.from_arrays([_as(c, f.type) for c, f in zip(columns, fields)], schema=fields)
-
-    return df.mapInArrow(wrapped, spark_schema)
-
-
-def _as(column, kind: pa.DataType) -> pa.Array:
-    if isinstance(column, (pa.Array, pa.ChunkedArray)):
-        return column if column.type == kind else column.cast(kind)
-    return pa.array(column, kind)
-
-
 def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     """The rows of the ``rows`` smallest id hashes (a few more where ids repeat): the same sample on every run, for fitting models only."""
     h = F.xxhash64(F.col(id_col).cast("string"))

@@ -29,4 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": r"""WITH d AS (SELECT DISTINCT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+          l AS (SELECT doc_id, source, unnest(range(1, len(lines) + 1)) AS line_no, regexp_replace(lower(nfc_normalize(unnest(lines))), '[^\p{L}\p{Nl}\p{No}]', '', 'g') AS k FROM d),
+          n AS (SELECT source, count(*) AS docs FROM d GROUP BY source), c AS (SELECT source, k, count(DISTINCT doc_id) AS n FROM l WHERE k <> '' GROUP BY source, k)
+          SELECT l.doc_id, l.line_no FROM l JOIN c USING (source, k) JOIN n USING (source) WHERE c.n >= 3 AND c.n * 5 >= docs""",
+        "p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 512",
+    }
