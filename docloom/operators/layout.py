@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.plans.tables import materialize
+
 # How reference numbers of documents read (first that matches).
 DOC_NUMBERS = (r"(?imu)^s[oôố]\s*:\s*(\d+[\w\-/]*/[\p{L}\d\-]+)", r"(?imu)^no\.?\s*:?\s*(\d+[\w\-/]*/[\p{L}\d\-]+)")
 
@@ -75,10 +77,21 @@ def replicate(vectors: DataFrame, factor: int, noise: float = 0.01, seed: int =
 
 
 def evenly_spaced(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """Every (rows // n)th row in ``order``, at most ``n``; a sampling operator."""
+    """Every (rows // n)th row in ``order``, at most ``n``; a sampling operator.
+
+    Rows are ranged over partitions and written once; each partition numbers its own rows and adds the counts of those before it, so
+    no task sorts the whole table.
+    """
     from pyspark.sql import Window
 
-    total = df.count()
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy("__p").count().collect())
+    total = sum(c for _, c in counts)
     step = max(1, total // max(1, n))
-    w = Window.orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w) - 1).where((F.col("__n") % step == 0) & (F.col("__n") < step * n)).drop("__n")
+    before, at = {}, 0
+    for p, c in counts:
+        before[p] = at
+        at += c
+    offset = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("__p")] if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1 + offset
+    return ranged.withColumn("__n", place).where((F.col("__n") % step == 0) & (F.col("__n") < step * n)).select(df.columns)

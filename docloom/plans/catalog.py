@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import names, text
-from docloom.operators import answers, bm25, chunking, clauses, collection, dense, metrics, ranking
+from docloom.operators import answers, bm25, chunking, clauses, collection, dense, layout, metrics, ranking
 from docloom.plans.tables import materialize, read
 from docloom.streaming import ingest
 
@@ -88,6 +88,13 @@ def stores(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return c, c.join(listed, "source", "left_semi"), c.join(judged, "chunk_id", "left_semi")
 
 
+def page_lookup(s: SparkSession, d: str) -> DataFrame:
+    """The page of every second chunk place of a file, from where its pages begin."""
+    c = chunks(s, d)
+    starts = c.groupBy("source", "page").agg(F.min("chunk_index").alias("start"))
+    return layout.page_of(c.groupBy("source").agg(F.max("chunk_index").alias("m")).select("source", F.explode(F.expr("sequence(0, m, 2)")).alias("pos")), starts)
+
+
 def uploads(s: SparkSession, d: str) -> DataFrame:
     docs = read(s, d, "documents").select(F.col("doc_id").alias("upload_id"), F.concat(F.coalesce("title", F.lit("untitled")), F.lit(".pdf")).alias("name"), "doc_group", F.sha2("text", 256).alias("sha"))
     corpus = read(s, d, "catalogue").select(F.concat("title", F.lit(".docx")).alias("source"), F.lit("so-tay").alias("doc_group"), F.sha2("source", 256).alias("sha"))
@@ -179,6 +186,9 @@ def queries() -> dict[str, Query]:
         "clause_runs": lambda s, d: clauses.clause_runs(chunks(s, d)),
         "merged_headings": lambda s, d: clauses.merge_headings(chunks(s, d)).select("source", "chunk_index", F.md5("text").alias("digest")),
         "page_fallback": lambda s, d: clauses.page_fallback(chunks(s, d).withColumn("page", F.when(F.col("section_type") != "khoan", F.col("page")))).select("chunk_id", "page_filled"),
+        "page_lookup": page_lookup,
+        "document_numbers": lambda s, d: read(s, d, "documents").select("doc_id", layout.document_number(F.col("text")).alias("number"), layout.usable_caption(F.split("text", "\n")[0]).alias("caption")),
+        "evenly_spaced": lambda s, d: layout.evenly_spaced(read(s, d, "pool_topics").select("topic_id"), 10, ["topic_id"]),
         "stale_ids": lambda s, d: collection.stale_ids(stores(s, d)[0], stores(s, d)[2]),
         "reindex_plan": lambda s, d: ingest.reindex_plan(stores(s, d)[1], stores(s, d)[2]),
         "incremental_equals_full": incremental_equals_full,

@@ -172,6 +172,9 @@ def sql() -> dict[str, str]:
         "merged_headings": f"""WITH {CH}, f AS (SELECT source, chunk_index, chunk_id, text, 1 - (length(regexp_replace(text, '^{BLANK}|{BLANK}$', '', 'g')) BETWEEN 1 AND 120 AND regexp_matches(regexp_replace(text, '^{BLANK}|{BLANK}$', '', 'g'), '{HEADING}'))::INT AS body FROM ch),
           g AS (SELECT *, coalesce(sum(body) OVER (PARTITION BY source ORDER BY chunk_index, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM f) SELECT source, max(CASE WHEN body = 1 THEN chunk_index END) AS chunk_index, md5(string_agg(trim(text, ' '), chr(10) ORDER BY chunk_index, chunk_id)) AS digest FROM g GROUP BY source, grp HAVING max(body) = 1""",
         "page_fallback": f"WITH {CH}, p AS (SELECT *, CASE WHEN section_type <> 'khoan' THEN page END AS pg FROM ch) SELECT chunk_id, coalesce(last_value(pg IGNORE NULLS) OVER (PARTITION BY source ORDER BY chunk_index, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page_filled FROM p",
+        "page_lookup": f"""WITH {CH}, st AS (SELECT source, page, min(chunk_index) AS start FROM ch GROUP BY source, page), pl AS (SELECT source, unnest(range(0, max(chunk_index) + 1, 2)) AS pos FROM ch GROUP BY source)
+          SELECT pl.source, pos, arg_max(page, (start, page)) AS page FROM pl LEFT JOIN st ON st.source = pl.source AND start <= pos GROUP BY pl.source, pos""",
+        "evenly_spaced": "SELECT topic_id FROM (SELECT topic_id, row_number() OVER (ORDER BY topic_id) - 1 AS n, greatest(1, count(*) OVER () // 10) AS step FROM pool_topics) WHERE n % step = 0 AND n < step * 10",
         "stale_ids": f"WITH {STORES} SELECT chunk_id FROM a EXCEPT SELECT chunk_id FROM j",
         "reindex_plan": f"WITH {STORES} SELECT chunk_id, 'add' AS action FROM (SELECT chunk_id FROM b EXCEPT SELECT chunk_id FROM j) UNION ALL SELECT chunk_id, 'delete' FROM (SELECT chunk_id FROM j EXCEPT SELECT chunk_id FROM b)",
         "incremental_equals_full": "SELECT 0 AS different_terms",
