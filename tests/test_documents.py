@@ -166,3 +166,25 @@ def test_stream_windows_equal_batch(spark, tmp_path):
 def test_jobs(spark):
     log = spark.createDataFrame([(1, "queued", 1.0), (1, "running", 2.0), (2, "running", 1.0), (2, "done", 2.0), (3, "running", 1.0), (3, "running", 2.0), (3, "running", 3.0)], "job_id int, state string, ts double")
     assert {r.job_id: r.state for r in ingest.queue_state(log).collect()} == {1: "queued", 2: "done", 3: "failed"}
+
+
+def test_running_values_cross_partitions(spark):
+    rows = [(f"c{i:03d}", "hot", i, "Điều %d." % i if i % 7 in (0, 1) else f"Nội dung đoạn {i}", i // 10 if i % 13 == 0 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "chunk_id string, source string, chunk_index int, text string, page int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        merged = {r.chunk_index: r.text for r in clauses.merge_headings(df).collect()}
+        filled = {r.chunk_id: r.page_filled for r in clauses.page_fallback(df).collect()}
+        assert clauses._ranged(df)[0].select("__p").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, lead, page = {}, [], None
+    for cid, _, i, text, p in rows:
+        page = p if p is not None else page
+        assert filled[cid] == (1 if page is None else page)
+        if text.startswith("Điều"):
+            lead.append(text)
+        else:
+            want[i] = "\n".join([*lead, text])
+            lead = []
+    assert merged == want
