@@ -188,3 +188,9 @@ def test_running_values_cross_partitions(spark):
             want[i] = "\n".join([*lead, text])
             lead = []
     assert merged == want
+
+
+def test_outline_levels_reset_and_number_themselves():
+    blocks = [(None, "Lời nói đầu của tài liệu."), (1, "I. Quy định chung"), (2, "Phạm vi"), (None, "Nội dung của phạm vi áp dụng."), (2, "5. Đối tượng"), (None, "Nội dung về đối tượng."), (1, "Thi hành"), (None, "Nội dung thi hành.")]
+    got = [(c["section_type"], c["chapter"], c["article"], c["article_title"]) for c in chunking.split_outline(blocks)]
+    assert got == [("text", "", "", ""), ("muc", "I", "", ""), ("article", "I", "1", "Phạm vi"), ("article", "I", "5", "Đối tượng"), ("muc", "2", "", "")]
