@@ -20,7 +20,7 @@ PASSAGE_WORDS = 8
 LIMIT = 0.4
 #: Labelled documents the classifier is fitted on, at most.
 TRAIN_ROWS = 3000
-#: Calibrated probability from which a document is measured exactly. Fixed, far below even odds, as the exact share decides.
+#: Calibrated probability from which a document is measured exactly where the caller doesn't want all measured. Fixed, far below even odds, as the exact share decides.
 SUSPECT = 0.005
 WORD_GRAMS = (1, 2, 4, 8)
 CHAR_GRAM = 10
@@ -171,13 +171,14 @@ def training_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return [r[0] for r in hash_sample(documents, id_col, rows).where(F.col(text_col).isNotNull()).select(text_col).limit(2 * rows).collect()]
 
 
-def measure_repetition(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, suspect: float = SUSPECT, exact_all: bool = False) -> DataFrame:
+def measure_repetition(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, suspect: float = SUSPECT, exact_all: bool = True) -> DataFrame:
     """(id, probability, share, repetitive) of every document.
 
     Method: hashed word and character n-gram logistic regression, fitted on at most ``train_rows`` documents labelled by the
-    exact measure (no labelled table is given), probability-calibrated on a held-out third, and scored in Arrow batches. Documents
-    whose probability reaches the fixed threshold ``suspect`` are measured exactly and judged by ``share >= LIMIT``; of the
-    others ``share`` is null unless ``exact_all``. Where too few labels of one kind exist for a fit, all are measured.
+    exact measure (no labelled table is given), probability-calibrated on a held-out third, and scored in Arrow batches. Every
+    document is measured exactly and judged by ``share >= LIMIT``; the probability is only a score, as it hardly sees a long text
+    said twice. Without ``exact_all`` only documents whose probability reaches ``suspect`` are measured, the others have share null
+    and count as not repetitive, which loses such texts. Where too few labels of one kind exist for a fit, all are measured.
 
     Null or empty text: probability 0 (or 1 without a model), share 0, not repetitive. Repeated rows give repeated rows. No shuffle.
     """
@@ -202,4 +203,4 @@ def repetitive_documents(spark, sf_dir: str) -> DataFrame:
 
 
 def repetition_shares(spark, sf_dir: str) -> DataFrame:
-    return measure_repetition(table(spark, sf_dir, "documents"), exact_all=True).select("doc_id", "share", "repetitive").distinct()
+    return measure_repetition(table(spark, sf_dir, "documents")).select("doc_id", "share", "repetitive").distinct()

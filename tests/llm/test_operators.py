@@ -378,3 +378,18 @@ def test_repetitive_documents_equal_the_exact_measure(spark):
     assert {r.doc_id for r in repetition.measure_repetition(df, exact_all=True).where("share >= 0.4").collect()} == want
     assert {r.doc_id for r in repetition.measure_repetition(df.limit(5)).where("repetitive").collect()} == {0}
     assert repetition.measure_repetition(df.limit(0)).count() == 0
+
+
+def test_long_texts_said_twice_are_measured(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(160):
+        base = [f"w{rng.randrange(900)}" + rng.choice("abcdefgh") for _ in range(rng.randrange(60, 300))]
+        rows.append((i, " ".join(base[:20] * rng.randrange(4, 9) if i % 4 == 0 else base), "s"))
+    for i, n in enumerate((1000, 2000, 4000, 8000)):
+        once = ["".join(rng.choice("abcdefghiklmnopqrstuvxy") for _ in range(5)) for _ in range(n)]
+        rows += [(900 + i, " ".join(once + once), "s"), (950 + i, " ".join(once), "s")]
+    got = {r.doc_id: r for r in repetition.measure_repetition(docs(spark, rows), train_rows=150).collect()}
+    assert all(got[i].repetitive and got[i].share == 0.5 for i in range(900, 904))
+    assert all(not got[i].repetitive and got[i].share == 0 for i in range(950, 954))
+    assert all(r.share is not None for r in got.values())
