@@ -122,20 +122,24 @@ class SuffixAutomaton:
         return lengths, out
 
 
-def _grow(doc: list[int], item: list[int], i: int, j: int, step: int) -> tuple[int, int, int]:
-    """Prolong an exact run from (i, j) in direction ``step``; returns item words passed, words matched, document words passed.
+def _grow(doc: list[int], item: list[int], i: int, j: int, step: int) -> list[tuple[int, int, int]]:
+    """Prolong an exact run from (i, j) in direction ``step``; returns (item words passed before, document words passed before, equal words) of each stretch of equal words.
 
     One word may be added, dropped or replaced at a time, and at least two equal words must follow it.
     """
     n, m = len(doc), len(item)
-    x = y = matched = 0
-    best = (0, 0, 0)
+    x = y = 0
+    out: list[tuple[int, int, int]] = []
     while True:
-        a, b = i + step * x, j + step * y
-        if 0 <= a < n and 0 <= b < m and doc[a] == item[b] and doc[a]:
-            x, y, matched = x + 1, y + 1, matched + 1
-            best = (y, matched, x)
-            continue
+        size = 0
+        while True:
+            a, b = i + step * (x + size), j + step * (y + size)
+            if not (0 <= a < n and 0 <= b < m and doc[a] == item[b] and doc[a]):
+                break
+            size += 1
+        if size:
+            out.append((y, x, size))
+            x, y = x + size, y + size
         for dx, dy in ((1, 1), (0, 1), (1, 0)):
             ok = True
             for k in range(2):
@@ -147,14 +151,32 @@ def _grow(doc: list[int], item: list[int], i: int, j: int, step: int) -> tuple[i
                 x, y = x + dx, y + dy
                 break
         else:
-            return best
+            return out
+
 
+def align(doc: list[int], item: list[int], end: int, item_end: int, length: int, min_words: int, max_edit_share: float) -> tuple[int, int, int, int] | None:
+    """(item words in sequence, words matched, first, last document word) of the longest passage around or beside an exact run that holds
+    ``min_words`` equal words and at most ``max_edit_share`` edits; None where there is none.
 
-def align(doc: list[int], item: list[int], end: int, item_end: int, length: int) -> tuple[int, int, int, int]:
-    """(item words in sequence, words matched, first, last document word) around an exact run."""
-    ry, rm, rx = _grow(doc, item, end, item_end + 1, 1)
-    ly, lm, lx = _grow(doc, item, end - length - 1, item_end - length, -1)
-    return length + ry + ly, length + rm + lm, end - length - lx, end + rx
+    The run is prolonged as far as it goes. As a passage's share only grows with the equal words at its ends, it begins and ends
+    where stretches of equal words do; so all passages between two such stretches are weighed, not the whole alignment alone.
+    """
+    left = _grow(doc, item, end - length - 1, item_end - length, -1)
+    right = _grow(doc, item, end, item_end + 1, 1)
+    # (first item word, end, first document word, end) of the stretches, from left to right; those without an edit between them are one passage anyway
+    first, begin = item_end + 1 - length, end - length
+    parts = [(first - y - size, first - y, begin - x - size, begin - x) for y, x, size in reversed(left)]
+    parts.append((first, item_end + 1, begin, end))
+    parts += [(item_end + 1 + y, item_end + 1 + y + size, end + x, end + x + size) for y, x, size in right]
+    best = None
+    for p in range(len(parts)):
+        matched = 0
+        for q in range(p, len(parts)):
+            matched += parts[q][1] - parts[q][0]
+            span = parts[q][1] - parts[p][0]
+            if matched >= min_words and matched >= (1 - max_edit_share) * span and (best is None or span > best[0]):
+                best = (span, matched, parts[p][2], parts[q][3])
+    return best
 
 
 class LeakFinder:
@@ -249,8 +271,8 @@ class LeakFinder:
                     if place in tried and k in found and found[k][3] >= end:
                         continue
                     tried.add(place)
-                    got = align(doc, self.texts[k], end, item_end, back)
-                    if got[1] >= self.min_words and got[1] >= (1 - self.max_edit_share) * got[0] and (k not in found or got[0] > found[k][0]):
+                    got = align(doc, self.texts[k], end, item_end, back, self.min_words, self.max_edit_share)
+                    if got and (k not in found or got[0] > found[k][0]):
                         found[k] = got
                 state = link[state]
                 back = length[state] if state > 0 else 0
@@ -273,7 +295,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     Method: a generalised suffix automaton of the items' folded words is broadcast (its size is that of the test
     collection, checked against MAX_ITEM_WORDS). Documents stream past it in Arrow batches without any shuffle; each
     right-maximal match is placed in its items and prolonged over single added, dropped or replaced words. A passage counts
-    from ``min_words`` equal words on, with at most ``max_edit_share`` of its words edited.
+    from ``min_words`` equal words on, with at most ``max_edit_share`` of its words edited; where the whole alignment has more
+    edits, its longest part within the bound counts.
 
     Null or empty texts give no rows; equal rows give equal rows; other columns are ignored; a document with the same
     passage twice is reported once per item and field, with its longest passage.

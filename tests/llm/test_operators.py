@@ -336,6 +336,21 @@ def test_leaks_with_edits_are_found_and_removed(spark):
     assert leaks.find_leaks(df.limit(0), items).count() == leaks.find_leaks(df, items.limit(0)).count() == 0
 
 
+def replaced(words, places):
+    return [f"khác{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_leak_is_kept_where_its_continuation_is_more_edited():
+    w = [f"từ{a}{b}" for a in "abcdefgh" for b in "klmno"]
+    noise = [f"lời{i}" for i in range(30)]
+    finder = leaks.LeakFinder([(1, "question", " ".join(w))])
+    found = lambda words: [h[2:] for h in finder.find_all([" ".join([*noise, *words, *noise])])[0]]
+    assert found(replaced(w[:23], {14, 17, 20})) == [(20, 18, 30, 50)]
+    assert found(replaced(w[:23], {2, 5, 8})) == [(20, 18, 33, 53)]
+    assert found(replaced(w, {3, 6, 9, 26, 29, 32})) == found(replaced(w, {3, 6, 9, 22, 25, 28})) == [(30, 27, 40, 70)]
+    assert found(replaced(w, set(range(3, 40, 4)))) == found(replaced(w[:16], {3, 12})) == found(w[:13]) == []
+
+
 def test_automaton_equals_brute_force():
     rng = random.Random(6)
     texts = [[rng.randrange(1, 5) for _ in range(30)] for _ in range(4)]
