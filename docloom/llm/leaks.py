@@ -260,10 +260,11 @@ class LeakFinder:
         tried: set[tuple[int, int]] = set()
         around = self.min_words - 2
         link, length, occ = self.automaton.link, self.automaton.length, self.automaton.occ
-        marks = bytes(1 if x >= 3 else 0 for x in lengths) if len(runs) > 1 or runs[0][1] < self.least_triples else b""
+        short = self.least_triples + 2  # words of a run that alone holds so many triples
+        marks = bytes(1 if x >= 3 else 0 for x in lengths) if any(back < short for _, back, _ in runs) else b""
         for end, back, state in runs:
             # a passage within the edit bound has so many exact word triples near each of its runs
-            if back < self.least_triples + 2 and marks.count(1, max(0, end - back - around), end + around) < self.least_triples:
+            if back < short and marks.count(1, max(0, end - back - around), end + around) < self.least_triples:
                 continue
             while state > 0 and back >= SEED_WORDS:
                 for k, item_end in occ[state]:

@@ -351,6 +351,14 @@ def test_leak_is_kept_where_its_continuation_is_more_edited():
     assert found(replaced(w, set(range(3, 40, 4)))) == found(replaced(w[:16], {3, 12})) == found(w[:13]) == []
 
 
+@pytest.mark.parametrize("length, edits", [(15, {10}), (15, {4}), (20, {4, 15}), (19, {4, 14})])
+def test_leak_with_a_single_run_of_nine_or_ten_words_is_found(length, edits):
+    w = [f"từ{a}{b}" for a in "abcd" for b in "klmno"][:length]
+    noise = [f"lời{i}" for i in range(30)]
+    finder = leaks.LeakFinder([(1, "question", " ".join(w))])
+    assert finder.find_all([" ".join([*noise, *replaced(w, edits), *noise])]) == [[(1, "question", length, length - len(edits), 30, 30 + length)]]
+
+
 def test_automaton_equals_brute_force():
     rng = random.Random(6)
     texts = [[rng.randrange(1, 5) for _ in range(30)] for _ in range(4)]
