@@ -123,16 +123,45 @@ def _sample(vectors: DataFrame, id_col: str, vector_col: str, rows: int) -> np.n
     return _unit(np.array([r[0] for r in got], np.float64)) if got else np.zeros((0, 1))
 
 
-def tuned_oversampling(vectors: DataFrame, transform, k: int = 10, target: float = 0.95, sample: int = 5_000, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
-    """The oversampling at which quantised candidates hold ``target`` of the true neighbours, measured on a bounded sample. A larger collection needs more; measure again there."""
-    data = _sample(vectors, id_col, vector_col, sample)
-    if len(data) <= k + 1:
-        return float(max(1, len(data)))
-    q = data[:: max(1, len(data) // 200)]
-    exact, cheap = data @ q.T, transform(data) @ transform(q).T
-    true = np.argsort(-exact, axis=0)[1 : k + 1]
-    place = np.argsort(np.argsort(-cheap, axis=0, kind="stable"), axis=0)
-    return float(max(1.0, np.ceil(np.quantile(np.take_along_axis(place, true, 0), target) + 1) / k))
+def tuned_oversampling(vectors: DataFrame, transform, k: int = 10, target: float = 0.95, queries: int = 200, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> float:
+    """The oversampling at which quantised candidates hold ``target`` of the true neighbours of at most ``queries`` sampled vectors.
+
+    The sampled vectors are those of the smallest id hashes. Their true neighbours and the places of these by the quantised score are
+    taken over all of ``vectors``, in two passes that each hand on queries x k rows a task, as the depth grows with the collection.
+    """
+    got = vectors.select(id_col, vector_col, F.xxhash64(id_col).alias("h")).orderBy("h").limit(queries).collect()
+    if not got:
+        return 1.0
+    ids, q = [r[0] for r in got], _unit(np.array([r[1] for r in got], np.float64))
+    true: dict = {}
+    for r in _topk_block(vectors, ids, q, k, id_col, vector_col, True, digits, None).select("query_id", "rank", "id").collect():
+        true[r[0], r[1] - 1] = r[2]
+    if not true:
+        return 1.0
+    rows = dict(vectors.where(F.col(id_col).isin(sorted(set(true.values())))).select(id_col, vector_col).collect())
+    at = [(i, true[name, rank]) for i, name in enumerate(ids) for rank in range(k) if (name, rank) in true]
+    owner, near = np.array([i for i, _ in at]), np.array([n for _, n in at])
+    cheap = transform(q)
+    bound = np.round(np.einsum("ij,ij->i", cheap[owner], transform(_unit(np.array([rows[n] for _, n in at], np.float64)))), digits) + 0.0
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids), cheap, owner, near, bound))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        own, m, owner, near, bound = shared.value
+        ahead = np.zeros(len(owner), np.int64)
+        for batch in batches:
+            v = _unit(_matrix(batch.column(1)))
+            if not len(v):
+                continue
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            score = np.round(m @ transform(v).T, digits) + 0.0
+            score[own[:, None] == names[None, :]] = -np.inf
+            for n, (i, name, least) in enumerate(zip(owner, near, bound)):
+                ahead[n] += np.count_nonzero(score[i] > least) + np.count_nonzero(names[score[i] == least] < name)
+        yield [np.arange(len(owner)), ahead]
+
+    counted = map_arrow(vectors.select(id_col, vector_col), run, "place int, ahead bigint").groupBy("place").agg(F.sum("ahead").alias("ahead"))
+    depth = [r["ahead"] + 1 for r in counted.collect()]
+    return float(max(1.0, (np.ceil(np.quantile(depth, target)) + 1) / k))
 
 
 def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int | None = None, target: float = 0.96, sample: int = 20_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -68,6 +68,16 @@ def test_quantised_and_inverted_file_recall(vectors):
         assert len(exact & {(r.query_id, r.id) for r in found.collect()}) / len(exact) >= 0.9
 
 
+def test_binary_recall_beyond_five_thousand_vectors(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20_000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id bigint, embedding array<float>").repartition(4).cache()
+    q = df.where("vec_id % 400 = 0")
+    exact = {(r.query_id, r.id) for r in dense.dense_topk(df, q, 10).collect()}
+    found = dense.rescored_topk(df, q, dense.signs, 10, dense.tuned_oversampling(df, dense.signs))
+    assert len(exact & {(r.query_id, r.id) for r in found.collect()}) / len(exact) >= 0.92
+
+
 def test_metrics_by_hand(spark):
     run = spark.createDataFrame([(1, 1, "x"), (1, 2, "a"), (1, 3, "b"), (2, 1, "y")], "query_id int, rank int, id string")
     rel = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "z")], "query_id int, id string")
