@@ -167,6 +167,23 @@ class Vocabulary:
             return False
         return any(v in self.counts for v in variants(low))
 
+    def misread_halves(self, head: str, tail: str) -> tuple[bool, bool]:
+        """Of a word broken over two lines, whether characters of the first and of the second half were misread, judged by the joined word."""
+        head, tail = head.rstrip(HYPHENS).lstrip(_EDGES), tail.rstrip(_EDGES + HYPHENS)
+        a, b = head.lower(), tail.lower()
+        if a + b in self.counts or any(c in SIGNS for c in a + b):
+            return False, False
+        if any(c.isdigit() for c in a + b):
+            wrong = self.misread(head + tail)
+            return wrong and any(c.isdigit() for c in a), wrong and any(c.isdigit() for c in b)
+        if not (a + b).isalpha():
+            return False, False
+        first, second = any(v + b in self.counts for v in variants(a)), any(a + v in self.counts for v in variants(b))
+        if first or second:
+            return first, second
+        both = any(v + w in self.counts for v in variants(a) for w in variants(b))
+        return both, both
+
     def lost_accents(self, line: str) -> bool:
         """Whether a line of accented writing has no accent left."""
         if _ACCENT.search(line):
@@ -311,10 +328,11 @@ def classify_lines(lines: list[str], page: int | None, tops: list[str], bottoms:
     return out
 
 
-def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[str], bottoms: list[str], next_word: str | None) -> tuple[list[tuple[int, str]], str]:
+def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[str], bottoms: list[str], next_word: str | None, last_word: str | None = None) -> tuple[list[tuple[int, str]], str]:
     """(line number, kind) of the lines that need repair, and the page's text: paragraphs of one line each, furniture removed, words joined and repaired.
 
-    ``next_word`` is the first body word of the file's next page. A word broken at the end of the page is completed with it there.
+    ``next_word`` is the first body word of the file's next page, ``last_word`` the last one of the page before. A word broken at the
+    end of the page is completed with it there. Misreadings in a broken word are judged by the joined word and given to the line of their half.
     """
     lines = text.split("\n")
     kinds = classify_lines(lines, page, tops, bottoms)
@@ -322,6 +340,7 @@ def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[
     body = [i for i, k in enumerate(kinds) if not k and lines[i].strip()]
     out: list[str] = []
     carry = ""
+    start = last_word if last_word and body and _is_broken(vocabulary, last_word, lines[body[0]].split()[0]) else ""
     for at, i in enumerate(body):
         line = lines[i].strip()
         tokens = line.split()
@@ -329,11 +348,13 @@ def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[
         broken = bool(tokens) and _is_broken(vocabulary, line, follows)
         inner = tokens[1 if carry else 0 : -1 if broken else None]
         flags = [vocabulary.misread(t) for t in inner]
-        cut = [*(tokens[:1] if carry else []), *(tokens[-1:] if broken else [])]
+        head = carry if at else start
+        cut = [*(tokens[:1] if head else []), *(tokens[-1:] if broken else [])]
+        halves = head and vocabulary.misread_halves(head, tokens[0])[1] or broken and bool(follows) and vocabulary.misread_halves(tokens[-1], follows)[0]
         if broken:
             found.append((i + 1, "broken_word"))
         no_accents = vocabulary.lost_accents(line)
-        if any(flags) or no_accents or any(c in SIGNS for t in cut for c in t) or any(_digit_inside(t) for t in cut):
+        if any(flags[1 if head and not carry else 0 :]) or halves or no_accents or any(c in SIGNS for t in cut for c in t) or any(_digit_inside(t) for t in cut):
             found.append((i + 1, "misread"))
         joined = [carry + tokens[0], *inner] if carry else list(inner)
         flags = [vocabulary.misread(joined[0]), *flags] if carry else flags
@@ -411,7 +432,7 @@ def mend_scans(pages: DataFrame, known: int = KNOWN) -> DataFrame:
     broken words are joined, also over the page end; lines are joined into paragraphs.
 
     Equal rows count once; rows without source or text are left out; a null page is a page without number and successor. Any
-    two pages of a file may lie in different tasks: a page needs only the running lines of its file and the next page's first word.
+    two pages of a file may lie in different tasks: a page needs only the running lines of its file, the next page's first word and the last one of the page before.
     """
     some = pages.select("source", "page", "text").where(F.col("source").isNotNull() & F.col("text").isNotNull()).distinct()
     some = materialize(some, "pages")
@@ -421,22 +442,30 @@ def mend_scans(pages: DataFrame, known: int = KNOWN) -> DataFrame:
     none = F.array().cast("array<string>")
     placed = some.join(running, "source", "left").select("source", "page", "text", F.coalesce("tops", none).alias("tops"), F.coalesce("bottoms", none).alias("bottoms"))
 
-    def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    def edge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            words = []
+            first, last = [], []
             for page, text, tops, bottoms in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
                 lines = text.split("\n")
                 kinds = classify_lines(lines, page, tops, bottoms)
-                words.append(next((line.split()[0] for line, k in zip(lines, kinds) if not k and line.strip()), None))
-            yield [batch.column(0), batch.column(1), words]
+                body = [line for line, k in zip(lines, kinds) if not k and line.strip()]
+                first.append(body[0].split()[0] if body else None)
+                last.append(body[-1].split()[-1] if body else None)
+            yield [batch.column(0), batch.column(1), first, last]
 
     kind = column_type(pages, "page")
-    nexts = map_arrow(placed, first_words, f"source string, page {kind}, next_word string").select("source", (F.col("page") - 1).cast(kind).alias("page"), "next_word").groupBy("source", "page").agg(F.min("next_word").alias("next_word"))
-    ready = placed.join(nexts, ["source", "page"], "left").select("source", "page", "text", "tops", "bottoms", "next_word")
+    edges = map_arrow(placed, edge_words, f"source string, page {kind}, first string, last string")
+    nobody = F.lit(None).cast("string")
+    beside = F.explode(F.array(
+        F.struct((F.col("page") - 1).cast(kind).alias("page"), F.col("first").alias("next_word"), nobody.alias("last_word")),
+        F.struct((F.col("page") + 1).cast(kind).alias("page"), nobody.alias("next_word"), F.col("last").alias("last_word")),
+    ))
+    words = edges.select("source", beside.alias("w")).select("source", "w.*").groupBy("source", "page").agg(F.min("next_word").alias("next_word"), F.min("last_word").alias("last_word"))
+    ready = placed.join(words, ["source", "page"], "left").select("source", "page", "text", "tops", "bottoms", "next_word", "last_word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            got = [repair_page(vocabulary.value, text, page, tops, bottoms, follows) for page, text, tops, bottoms, follows in zip(*(batch.column(k).to_pylist() for k in range(1, 6)))]
+            got = [repair_page(vocabulary.value, *page) for page in zip(*(batch.column(k).to_pylist() for k in (2, 1, 3, 4, 5, 6)))]
             yield [batch.column(0), batch.column(1), [[{"line_no": n, "kind": k} for n, k in found] for found, _ in got], [text for _, text in got]]
 
     return map_arrow(ready, run, f"source string, page {kind}, found array<struct<line_no: int, kind: string>>, text string")

@@ -194,6 +194,17 @@ def test_scans_are_repaired(spark):
     assert scans.mend_scans(scan_pages(spark).limit(0)).count() == 0
 
 
+def test_misread_halves_of_broken_words_are_found():
+    v = scans.Vocabulary({w: 50 for w in ("academic", "applicant", "the", "staff", "turn", "over", "modern")}, {})
+    rows = lambda text, **k: scans.repair_page(v, text, 1, [], [], k.get("next_word"), k.get("last_word"))[0]
+    assert rows("the staff ac-\nadernic staff") == [(1, "broken_word"), (2, "misread")]
+    assert rows("the staff apphca-\nnt staff") == [(1, "broken_word"), (1, "misread")]
+    assert rows("the staff aca-\ndemic staff") == rows("the staff mo-\ndern staff") == [(1, "broken_word")]
+    assert rows("the staff apphca-", next_word="nt") == [(1, "broken_word"), (1, "misread")]
+    assert rows("adernic staff", last_word="ac-") == [(1, "misread")]
+    assert rows("demic staff", last_word="aca-") == rows("the staff", last_word="staff") == []
+
+
 def test_trie_retrieval_is_complete():
     rng = random.Random(2)
     words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(200)}
