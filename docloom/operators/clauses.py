@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import is_heading_only
-from docloom.plans.tables import broadcast_if_small, materialize
+from docloom.plans.tables import carried, fill_forward, ranged
 
 MAX_CHARS = 3000
-#: Rows handed from partition to partition that are broadcast, at most.
-BROADCAST_ROWS = 500_000
+#: Order of the chunks of a file.
+PLACE = ["chunk_index", "chunk_id"]
 # How a section begins that is no provision.
 SECTION_STARTS = ("phụ lục", "cộng hòa xã hội", "đại học quốc gia", "kính gửi", "đơn đề nghị", "mẫu số", "biểu mẫu")
 
@@ -97,34 +97,19 @@ def collapse_runs(assembled: DataFrame) -> DataFrame:
     return assembled.withColumn("__n", first).where(~F.col("assembled") | (F.col("__n") == 1)).drop("__n")
 
 
-def _ranged(chunks: DataFrame) -> tuple[DataFrame, Window]:
-    """Chunks ranged over partitions by file and place, written once with their partition number, and the window of a file's rows within a partition. A file of any size spreads over as many tasks as it needs."""
-    order = ("source", "chunk_index", "chunk_id")
-    ranged = materialize(chunks.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
-    return ranged, Window.partitionBy("__p", "source").orderBy("chunk_index", "chunk_id")
-
-
-def _carried(rows: DataFrame, ranged: DataFrame) -> DataFrame:
-    """Joins what earlier partitions of the same file hand on: one row per partition and file."""
-    return ranged.join(broadcast_if_small(rows, rows.count(), BROADCAST_ROWS), ["__p", "source"], "left")
-
-
 def merge_headings(chunks: DataFrame) -> DataFrame:
     """(source, chunk_index, text): heading-only chunks go before the next chunk of their file; headings with nothing after them are dropped."""
     c = chunks.dropDuplicates(["chunk_id"]).where(F.col("source").isNotNull()).select("source", "chunk_index", "chunk_id", F.trim("text").alias("text"), (~is_heading_only(F.coalesce("text", F.lit("")))).cast("int").alias("__body"))
-    ranged, w = _ranged(c)
-    sums = ranged.groupBy("__p", "source").agg(F.sum("__body").alias("n"))
+    rows, w = ranged(c, "source", PLACE)
+    sums = rows.groupBy("__p", "source").agg(F.sum("__body").alias("n"))
     earlier = sums.select("__p", "source", F.sum("n").over(Window.partitionBy("source").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     local = F.coalesce(F.sum("__body").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = _carried(earlier, ranged.withColumn("__local", local)).withColumn("__g", F.col("__local") + F.coalesce("__before", F.lit(0)))
+    groups = carried(rows.withColumn("__local", local), earlier, "source").withColumn("__g", F.col("__local") + F.coalesce("__before", F.lit(0)))
     parts = groups.groupBy("source", "__g").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))).alias("p"), F.max("__body").alias("body"), F.max(F.when(F.col("__body") == 1, F.col("chunk_index"))).alias("chunk_index"))
     return parts.where("body = 1").select("source", "chunk_index", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
 
 
 def page_fallback(chunks: DataFrame) -> DataFrame:
     """(chunk_id, source, page_filled): the page, or where it is null the last page before it in the file, else 1."""
-    ranged, w = _ranged(chunks.where(F.col("source").isNotNull()).select("source", "chunk_index", "chunk_id", "page"))
-    last = ranged.groupBy("__p", "source").agg(F.max_by("page", F.when(F.col("page").isNotNull(), F.struct("chunk_index", "chunk_id"))).alias("page"))
-    earlier = last.select("__p", "source", F.last("page", ignorenulls=True).over(Window.partitionBy("source").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    local = F.last("page", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return _carried(earlier, ranged.withColumn("__local", local)).select("chunk_id", "source", F.coalesce("__local", "__before", F.lit(1)).alias("page_filled"))
+    some = chunks.where(F.col("source").isNotNull()).select("source", "chunk_index", "chunk_id", "page")
+    return fill_forward(some, "source", PLACE, "page", "page_filled").select("chunk_id", "source", F.coalesce("page_filled", F.lit(1)).alias("page_filled"))

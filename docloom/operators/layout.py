@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.plans.tables import materialize
+from docloom.plans.tables import fill_forward, materialize
 
 # How reference numbers of documents read (first that matches).
 DOC_NUMBERS = (r"(?imu)^s[oôố]\s*:\s*(\d+[\w\-/]*/[\p{L}\d\-]+)", r"(?imu)^no\.?\s*:?\s*(\d+[\w\-/]*/[\p{L}\d\-]+)")
@@ -26,14 +26,12 @@ def outside_tables(blocks: DataFrame, boxes: DataFrame, share: float = 0.5) -> D
 def page_of(places: DataFrame, starts: DataFrame) -> DataFrame:
     """As-of join: (source, pos) gets the last page of (source, page, start) that starts at or before it, null before the first.
 
-    One sorted pass over the union of both, no range join.
+    One pass over the union of both, ranged over partitions, so a long file is no single task; no range join.
     """
-    from pyspark.sql import Window
-
-    marks = starts.select("source", F.col("start").alias("pos"), F.col("page"), F.lit(0).alias("kind"))
-    asked = places.select("source", "pos", F.lit(None).cast(starts.schema["page"].dataType).alias("page"), F.lit(1).alias("kind"))
-    w = Window.partitionBy("source").orderBy("pos", "kind", "page").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.unionByName(asked).withColumn("page", F.last("page", ignorenulls=True).over(w)).where("kind = 1").select("source", "pos", "page")
+    kind = starts.schema["page"].dataType
+    marks = starts.select("source", F.col("start").alias("pos"), F.lit(0).alias("kind"), F.col("page").alias("nth"), "page")
+    asked = places.select("source", "pos", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("nth"), F.lit(None).cast(kind).alias("page"))
+    return fill_forward(marks.unionByName(asked), "source", ["pos", "kind", "nth"], "page", "last").where("kind = 1").select("source", "pos", F.col("last").alias("page"))
 
 
 def clean_recognised(text: Column) -> Column:

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows handed from partition to partition that are broadcast, at most.
+CARRIED_ROWS = 500_000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,11 +40,13 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir`` of the session; only where it is unset (tests) a local one."""
+    """Folder all executors share: ``spark.checkpoint.dir`` of the session; only a local session (tests) may leave it unset and gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = getattr(spark, "_docloom_dir", None)
         if not path:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = spark._docloom_dir = "file://" + tempfile.mkdtemp(prefix="docloom-")
     return path
 
@@ -53,6 +60,18 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str = "step") -> DataFrame:
+    """The distinct rows of ``df``, written once in as many buckets of ``keys`` as a shuffle has partitions: later joins and groupings by ``keys`` don't move them again."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/docloom-{name}-{key}"
+    table = f"docloom_{name}_{key}"
+    atexit.register(_remove, spark, path)
+    df.repartition(buckets, *keys).dropDuplicates().write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,6 +80,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ranged(df: DataFrame, group: str, order: list[str]) -> tuple[DataFrame, Window]:
+    """Rows ranged over partitions by ``group`` and ``order``, written once with their partition number ``__p``, and the window of a group's rows within a partition. A group of any size spreads over as many tasks as it needs."""
+    rows = materialize(df.repartitionByRange(group, *order).withColumn("__p", F.spark_partition_id()), "ranged")
+    return rows, Window.partitionBy("__p", group).orderBy(*order)
+
+
+def carried(rows: DataFrame, handed: DataFrame, group: str) -> DataFrame:
+    """Joins what earlier partitions of the same group hand on: one row per partition and group."""
+    return rows.join(broadcast_if_small(handed, handed.count(), CARRIED_ROWS), ["__p", group], "left")
+
+
+def fill_forward(df: DataFrame, group: str, order: list[str], value: str, out: str, strict: bool = False) -> DataFrame:
+    """Adds ``out``: the last value of ``value`` that isn't null up to the row (before it, if ``strict``) within its group, null where there is none."""
+    rows, w = ranged(df, group, order)
+    last = rows.groupBy("__p", group).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last"))
+    earlier = last.select("__p", group, F.last("__last", ignorenulls=True).over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    local = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
+    return carried(rows.withColumn("__local", local), earlier, group).withColumn(out, F.coalesce("__local", "__before")).drop("__p", "__local", "__before")
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast hint only for a table counted to have at most ``limit`` rows; otherwise Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
