@@ -9,9 +9,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans.tables import broadcast_if_small, column_type, map_arrow, materialize, read
+from docloom.plans.tables import broadcast_if_small, bucketed, column_type, map_arrow, materialize, read
 
-__all__ = ["CACHE_WORDS", "WordCache", "broadcast_if_small", "column_type", "fold_tokens", "fold_word", "hash_sample", "map_arrow", "materialize", "table", "word_hash"]
+__all__ = ["CACHE_WORDS", "WordCache", "broadcast_if_small", "bucketed", "column_type", "fold_tokens", "fold_word", "hash_sample", "map_arrow", "materialize", "table", "word_hash"]
 
 #: Upper bound of one worker's word cache; a full cache is emptied, never consulted less.
 CACHE_WORDS = 400_000

@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": consensus.consensus_grades,
         "p1_reliability": consensus.annotator_reliability,
         "p5_found": scans.scan_lines,
+        "p5_texts": scans.scan_paragraphs,
         "p4_found": pieces.oversized_chunks,
         "p4_pieces": pieces.chunk_pieces,
         "p6_found": distinctive.topic_chunks,

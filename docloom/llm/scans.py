@@ -5,22 +5,26 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, broadcast_if_small, column_type, fold_word, map_arrow, materialize, table
+from docloom.plans.tables import fill_forward
 
-#: Lines from the top and from the bottom of a page that can be furniture.
+from .common import CACHE_WORDS, WordCache, broadcast_if_small, bucketed, column_type, fold_word, map_arrow, materialize, table, word_hash
+
+#: Lines from the top and from the bottom of a page that are looked at first; where the innermost repeats in a file, so many more are.
 EDGE = 2
 #: Share of a file's pages, and number of them, from which a line at their edge is running.
 RUNNING_SHARE, RUNNING_PAGES = 0.35, 2
-#: Occurrences from which a word is known, and how much commoner a look-alike must be for a word to count as its misreading.
-KNOWN, OUTWEIGHS = 5, 25
-#: Words and word pairs of the model, at most; the model is broadcast. Above it the threshold KNOWN must rise.
-MAX_WORDS, MAX_PAIRS = 400_000, 2_000_000
+#: Occurrences from which a word is known, the share of all words it must have besides, and how much commoner a look-alike must be for a word to count as its misreading.
+#: The share bounds the model: at most 1 / KNOWN_SHARE words, and as many pairs, can reach it, whatever the number of pages.
+KNOWN, KNOWN_SHARE, OUTWEIGHS = 5, 1e-6, 25
+#: Letters from which a word of letters alone is weighed by its neighbours, and words taken through the trie together.
+CONTEXT_LETTERS, TRIE_BLOCK = 4, 256
 #: Running lines are broadcast up to this many sources, joined beyond.
 BROADCAST_SOURCES = 100_000
 
@@ -38,117 +42,187 @@ _PAGE_NO = re.compile(r"^\W*(?:tran[g9]|pa[g9]e|tr|p)?\W*([\dlIO|SBZ]+)\W*(?:(?:
 _AS_DIGIT = str.maketrans("lIi|OoSsBbZz", "111100558822")
 _BROKEN = re.compile(r"([^\s-]*[^\W\d_][{}|~^¿¦]?)[" + HYPHENS + r"]\s*$")
 _ACCENT = re.compile(r"[^\W\d_a-zA-Z]")
+#: What a token is, in one number: a word of letters, one whose accented form is far commoner, one to be weighed by its neighbours, a misread one.
+_WORD, _BARE, _WEIGH, _MISREAD = 1, 2, 4, 8
 
 
 class Trie:
-    """Vocabulary trie; :meth:`within` intersects it with the Levenshtein automaton of a word."""
+    """Vocabulary trie in arrays, level by level; :meth:`within` intersects it with the Levenshtein automata of many words at once.
+
+    A node's children lie side by side on the next level, so the trie is three arrays a level: character, first child, word.
+    """
 
-    def __init__(self, words):
-        self.root: dict = {}
-        for w in words:
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
+    def __init__(self, words: Iterable[str]):
+        self.words = sorted({w for w in words if w})
+        n = len(self.words)
+        sizes = np.fromiter(map(len, self.words), np.int64, n)
+        flat = np.frombuffer("".join(self.words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        #: of each level the characters, the first child of each node (one more than nodes), and the word that ends there or -1
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        alive, node, parents = np.arange(n), np.zeros(n, np.int64), 1
+        depth = 0
+        while len(alive):
+            char = flat[starts[alive] + depth]
+            new = np.ones(len(alive), bool)
+            new[1:] = (char[1:] != char[:-1]) | (node[1:] != node[:-1])
+            own = np.cumsum(new) - 1
+            first = np.searchsorted(node[new], np.arange(parents + 1))
+            ends = np.full(int(own[-1]) + 1, -1, np.int32)
+            last = sizes[alive] == depth + 1
+            ends[own[last]] = alive[last]
+            self.levels.append((char[new].astype(np.int32), first.astype(np.int32), ends))
+            alive, node, parents = alive[~last], own[~last], len(ends)
+            depth += 1
 
-    def within(self, word: str, distance: int) -> list[tuple[str, int]]:
-        """All words at most ``distance`` edits from ``word``, with their distances.
+    def within(self, asked: list[str], distance: int) -> list[list[tuple[str, int]]]:
+        """Of each asked word all vocabulary words at most ``distance`` edits from it, with their distances.
 
-        The automaton's state is the band of edit distances to the prefix walked so far; a branch is left as soon as no entry is
-        within ``distance``, so the retrieval is complete and visits only live states.
+        An automaton's state is the band of edit distances between the prefix walked so far and the asked word's prefixes of about
+        that length. A pair of asked word and node is left as soon as no entry of its band is within ``distance``, so retrieval is
+        complete and meets only live states; all pairs of a level step together.
         """
-        n, far = len(word), distance + 1
-        out: list[tuple[str, int]] = []
-        stack = [(self.root, 0, 0, list(range(min(n, distance) + 1)))]  # node, depth, first column of the band, its entries
-        while stack:
-            node, depth, low, row = stack.pop()
-            high = low + len(row)
-            depth += 1
-            start, end = max(0, depth - distance), min(n, depth + distance)
-            for c, child in node.items():
-                if c == "":
-                    if low <= n < high and row[n - low] <= distance:
-                        out.append((child, row[n - low]))
-                    continue
-                new, left, least = [], far, far
-                for j in range(start, end + 1):
-                    best = left + 1
-                    if low <= j < high and row[j - low] < best:
-                        best = row[j - low] + 1
-                    if low < j <= high:
-                        step = row[j - 1 - low] + (c != word[j - 1])
-                        if step < best:
-                            best = step
-                    new.append(best)
-                    left = best
-                    if best < least:
-                        least = best
-                if least <= distance:
-                    stack.append((child, depth, start, new))
+        out: list[list[tuple[str, int]]] = [[] for _ in asked]
+        for low in range(0, len(asked), TRIE_BLOCK):
+            self._walk(asked[low : low + TRIE_BLOCK], distance, out[low : low + TRIE_BLOCK])
         return out
 
+    def _walk(self, asked: list[str], distance: int, out: list[list[tuple[str, int]]]) -> None:
+        far, width = distance + 1, 2 * distance + 1
+        sizes = np.array([len(w) for w in asked])
+        code = np.full((len(asked), int(sizes.max()) + 2 * distance + 3 if len(asked) else 1), -1, np.int32)
+        for i, w in enumerate(asked):
+            code[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
+        who, node = np.arange(len(asked)), np.zeros(len(asked), np.int64)
+        place = np.arange(-distance, distance + 1)
+        band = np.where((place >= 0) & (place <= sizes[:, None]), place, far).astype(np.int8)
+        for depth, (char, first, ends) in enumerate(self.levels, 1):
+            start, many = first[node], first[node + 1] - first[node]
+            total = int(many.sum())
+            if not total:
+                return
+            source = np.repeat(np.arange(len(who)), many)
+            child = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + start[source]
+            whose, old, c = who[source], band[source], char[child]
+            new = np.full((total, width), far, np.int8)
+            for b in range(width):
+                j = depth - distance + b
+                if j < 0 or j > code.shape[1] - 1:
+                    continue
+                best = old[:, b] + (code[whose, j - 1] != c) if j else np.full(total, far, np.int8)
+                if b + 1 < width:
+                    best = np.minimum(best, old[:, b + 1] + 1)
+                if b:
+                    best = np.minimum(best, new[:, b - 1] + 1)
+                new[:, b] = np.where(j <= sizes[whose], np.minimum(best, far), far)
+            live = new.min(1) < far
+            who, node, band = whose[live], child[live], new[live]
+            at = sizes[who] - depth + distance
+            hit = np.flatnonzero((ends[node] >= 0) & (at >= 0) & (at < width))
+            near = band[hit, at[hit]]
+            for i, k in zip(hit[near < far], near[near < far]):
+                out[who[i]].append((self.words[ends[node[i]]], int(k)))
+
 
 class Vocabulary:
     """Known words with their counts and neighbours, and what can be told from them about a line."""
 
     def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int]):
         self.counts = dict(counts)
-        self.pairs = pairs
         for w in sorted(counts, key=counts.__getitem__):
             if any(self.counts.get(v, 0) >= OUTWEIGHS * counts[w] for v in variants(w)):
                 self.counts.pop(w, None)
-        #: word without accents -> occurrences of its accented forms
+        #: word without accents -> occurrences of its accented forms, and those forms
         self.folded: Counter = Counter()
+        self.forms: dict[str, list[str]] = {}
         for w, n in self.counts.items():
             if not w.isascii():
-                self.folded[fold_word(w)] += n
+                plain = fold_word(w)
+                self.folded[plain] += n
+                self.forms.setdefault(plain, []).append(w)
         self.total = sum(self.counts.values()) or 1
         self.longest = max(map(len, self.counts), default=0)
-        self.trie = self.forms = self.flags = None
+        keys = np.fromiter((_pair(a, b) for a, b in pairs), np.uint64, len(pairs))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_counts = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        self.trie = Trie(self.counts)
         self.cache: dict[str, list[tuple[str, float]]] = {}
+        self.kinds: dict[str, int] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "trie": None, "forms": None, "flags": None, "cache": {}}
+        return {**self.__dict__, "cache": {}, "kinds": {}}
+
+    def together(self, a: str, b: str) -> int:
+        """How often ``b`` follows ``a``; 0 for a pair that isn't known."""
+        key = np.uint64(_pair(a, b))
+        at = int(np.searchsorted(self.pair_keys, key))
+        return int(self.pair_counts[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else 0
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Judge all ``tokens`` at once, so that the trie is walked for a whole batch of words together."""
+        if len(self.kinds) > CACHE_WORDS:
+            self.kinds.clear()
+        new = [t for t in set(tokens) if t not in self.kinds]
+        self.retrieve({low for low in (t.strip(_EDGES + HYPHENS).lower() for t in new) if self._odd(low)})
+        for t in new:
+            self.kinds[t] = self._kind(t)
+
+    def _odd(self, low: str) -> bool:
+        """Whether ``low`` can be a misread word, for which candidates are needed."""
+        return low not in self.counts and any(c.isalpha() for c in low)
+
+    def retrieve(self, words: Iterable[str]) -> None:
+        """Fill the cache with the candidates of ``words``."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        by_distance: dict[int, list[str]] = {}
+        for low in words:
+            if low not in self.cache:
+                self.cache[low] = []
+                if len(low) <= self.longest + 3:
+                    by_distance.setdefault(max(1, min(3, sum(c in SIGNS or c.isdigit() for c in low))), []).append(low)
+        for distance, asked in by_distance.items():
+            for low, got in zip(asked, self.trie.within(asked, distance)):
+                found = {known: _price(low, known) for known, _ in got}
+                for v in variants(low):
+                    if v in self.counts:
+                        found[v] = min(found.get(v, 99.0), 0.6)
+                self.cache[low] = sorted(((k, p - math.log(self.counts[k] / self.total) / 12) for k, p in found.items()), key=lambda x: (x[1], x[0]))
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """Known words that ``word`` may have been, with prices, the cheapest first."""
         low = word.lower()
-        if len(low) > self.longest + 3:
-            return []
         if low not in self.cache:
-            if self.trie is None:
-                self.trie = Trie(self.counts)
-            odd = sum(c in SIGNS or c.isdigit() for c in low)
-            found: dict[str, float] = {}
-            for known, _ in self.trie.within(low, max(1, min(3, odd))):
-                found[known] = min(found.get(known, 99.0), _price(low, known))
-            for v in variants(low):
-                if v in self.counts:
-                    found[v] = min(found.get(v, 99.0), 0.6)
-            self.cache[low] = sorted(((k, p - math.log(self.counts[k] / self.total) / 12) for k, p in found.items()), key=lambda x: (x[1], x[0]))
+            self.retrieve([low])
         return self.cache[low]
 
-    def accent_forms(self, word: str) -> list[tuple[str, int]]:
-        if self.forms is None:
-            self.forms = {}
-            for w, n in self.counts.items():
-                if not w.isascii():
-                    self.forms.setdefault(fold_word(w), []).append((w, n))
-        return self.forms.get(word, [])
-
     def repair(self, word: str, before: str = "", after: str = "") -> str | None:
         """The likeliest known word for a misread one, given its neighbours; None where there is none."""
         options = self.candidates(word)
         if not options:
             return None
-        best = min(options, key=lambda o: o[1] - 0.4 * math.log1p(self.pairs.get((before, o[0]), 0)) - 0.4 * math.log1p(self.pairs.get((o[0], after), 0)))[0]
-        return best.upper() if len(word) > 1 and word.isupper() else best[:1].upper() + best[1:] if word[:1].isupper() else best
+        best = min(options, key=lambda o: o[1] - 0.4 * math.log1p(self.together(before, o[0])) - 0.4 * math.log1p(self.together(o[0], after)))[0]
+        return _cased(best, word)
 
     def misread(self, token: str) -> bool:
-        """Whether characters of a word (its outer punctuation taken off) were misread."""
-        if self.flags is None:
-            self.flags = WordCache(self._misread)
-        return self.flags[token]
+        """Whether characters of a word (its outer punctuation taken off) were misread, as far as the word alone tells."""
+        return self.kind(token) >= _MISREAD
+
+    def kind(self, token: str) -> int:
+        if token not in self.kinds:
+            self.learn([token])
+        return self.kinds[token]
+
+    def _kind(self, token: str) -> int:
+        low = token.strip(_EDGES + HYPHENS).lower()
+        kind = _MISREAD if self._misread(token) else 0
+        if low.isalpha():
+            kind |= _WORD
+            if self.folded.get(low, 0) > 10 * self.counts.get(low, 0):
+                kind |= _BARE
+            elif not kind & _MISREAD and low not in self.counts and len(low) >= CONTEXT_LETTERS and self.candidates(low):
+                kind |= _WEIGH
+        return kind
 
     def _misread(self, token: str) -> bool:
         core = token.strip(_EDGES + HYPHENS)
@@ -167,6 +241,13 @@ class Vocabulary:
             return False
         return any(v in self.counts for v in variants(low))
 
+    def misread_here(self, token: str, before: str, after: str) -> bool:
+        """Whether an unknown word of letters was misread: a candidate of the trie far commoner than it stands between just these neighbours."""
+        low, a, b = (t.strip(_EDGES + HYPHENS).lower() for t in (token, before, after))
+        if not a or not b or token[:1].isupper():
+            return False
+        return any(self.together(a, k) and self.together(k, b) for k, _ in self.candidates(low))
+
     def misread_halves(self, head: str, tail: str) -> tuple[bool, bool]:
         """Of a word broken over two lines, whether characters of the first and of the second half were misread, judged by the joined word."""
         head, tail = head.rstrip(HYPHENS).lstrip(_EDGES), tail.rstrip(_EDGES + HYPHENS)
@@ -184,13 +265,19 @@ class Vocabulary:
         both = any(v + w in self.counts for v in variants(a) for w in variants(b))
         return both, both
 
-    def lost_accents(self, line: str) -> bool:
-        """Whether a line of accented writing has no accent left."""
-        if _ACCENT.search(line):
-            return False
-        words = [w for w in (t.strip(_EDGES + HYPHENS).lower() for t in line.split()) if w.isalpha()]
-        gone = sum(self.folded.get(w, 0) > 10 * self.counts.get(w, 0) for w in words)
-        return gone > 0 and gone * 3 >= len(words)
+    def lost_accents(self, line: str, kinds: Iterable[int]) -> bool:
+        """Whether a line of accented writing has no accent left; ``kinds`` are those of its tokens."""
+        kinds = list(kinds)
+        gone = sum(k & _BARE for k in kinds)
+        return bool(gone) and not _ACCENT.search(line) and gone // _BARE * 3 >= sum(k & _WORD for k in kinds)
+
+
+def _pair(a: str, b: str) -> int:
+    return word_hash(a + "\0" + b)
+
+
+def _cased(word: str, like: str) -> str:
+    return word.upper() if len(like) > 1 and like.isupper() else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
 _CODE = re.compile(r"^(?:[A-ZĐ]{1,4}\d+[a-zA-Z]?(?:-\d+)?|\d+(?:[.,:/-]\d+)*[%a-z]?|\d+/\S+)$")
@@ -227,8 +314,12 @@ def _only_confused(read: str, meant: str) -> bool:
     return len(read) == len(meant) and all(a == b or a.isdigit() and ((a, b) in CONFUSED or (a, fold_word(b)) in CONFUSED) for a, b in zip(read, meant))
 
 
+_LETTERS_OF = WordCache(lambda raw: _LETTERS.sub("", fold_word(raw)))
+
+
 def edge_key(line: str) -> str:
-    return _LETTERS.sub("", fold_word(line))
+    """Letters of a line without case and accents; what is equal in running lines that differ in numbers."""
+    return "".join(map(_LETTERS_OF.__getitem__, line.split()))
 
 
 def near(a: str, b: str) -> bool:
@@ -254,148 +345,222 @@ def near(a: str, b: str) -> bool:
     return row.get(m, far) <= bound
 
 
-def page_edges(lines: list[str]) -> tuple[list[int], list[int]]:
-    """Places of the first and of the last EDGE lines with text."""
+def page_edges(lines: list[str], depth: int = EDGE) -> tuple[list[int], list[int]]:
+    """Places of the first and of the last ``depth`` lines with text, from the edge inwards. A line is in one of them at most."""
     some = [i for i, line in enumerate(lines) if line.strip()]
-    return some[:EDGE], some[-EDGE:] if len(some) > EDGE else []
+    return some[:depth], some[: max(depth, len(some) - depth) - 1 : -1] if len(some) > depth else []
 
 
-def running_lines(pages: DataFrame) -> DataFrame:
-    """(source, tops, bottoms): keys of the lines repeated at the edges of a file's pages. Counted by (source, key) with map-side aggregation, so a large file moves few rows."""
+def profile_pages(pages: DataFrame) -> DataFrame:
+    """(kind, a, b, n): what the pages hold, counted within each batch before the only shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        for batch in batches:
-            rows = []
-            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = (text or "").split("\n")
-                top, bottom = page_edges(lines)
-                rows.append((source, "", "", 1))
-                rows += [(source, "t", k, 1) for k in {edge_key(lines[i]) for i in top if not _PAGE_NO.match(lines[i])} if k]
-                rows += [(source, "b", k, 1) for k in {edge_key(lines[i]) for i in bottom if not _PAGE_NO.match(lines[i])} if k]
-            if rows:
-                yield list(zip(*rows))
-
-    counts = map_arrow(pages.select("source", "text"), run, "source string, side string, key string, n int").groupBy("source", "side", "key").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "edges")
-    total = counts.where("side = ''").select("source", F.col("n").alias("pages"))
-    least = F.greatest(F.lit(RUNNING_PAGES), F.ceil(F.col("pages") * RUNNING_SHARE))
-    often = counts.where("side <> ''").join(total, "source").where((F.col("n") >= least) & ((F.col("n") > 2) | (F.length("key") >= 8)))
-    keys = lambda side: F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("key"))))
-    return often.groupBy("source").agg(keys("t").alias("tops"), keys("b").alias("bottoms"))
-
-
-def train_vocabulary(pages: DataFrame, known: int = KNOWN, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> Vocabulary:
-    """Counts of all words and neighbouring pairs of the pages; collected after a check of their number."""
+    'page': number of pages of source a. 'top' and 'bottom': pages of source a with the line key b among their EDGE outer lines,
+    'inner top' and 'inner bottom': as the innermost of these. 'word': occurrences of word a, 'pair': of a before b.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                lines = (text or "").split("\n")
-                for k, line in enumerate(lines):
-                    words = [t.strip(_EDGES).lower() for t in line.split()]
-                    if k and lines[k - 1].rstrip()[-1:] in HYPHENS:
-                        words = words[1:]
-                    if line.rstrip()[-1:] in HYPHENS:
-                        words = words[:-1]
-                    words = [w if w.replace("-", "").isalpha() else "" for w in words]
-                    counts.update((w, "") for w in words if w)
-                    counts.update((a, b) for a, b in zip(words, words[1:]) if a and b)
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = text.split("\n")
+                counts["page", source, ""] += 1
+                counts.update(_edge_counts(source, lines, EDGE))
+                words: list[str] = []
+                for line in lines:
+                    own = [_COUNTED[t] for t in line.split()]
+                    if own and words and words[-1] is None:
+                        own[0] = ""
+                    if own and line.rstrip()[-1:] in HYPHENS:
+                        own[-1] = None
+                    elif words:
+                        words[-1] = words[-1] or ""
+                    words += ["", *own] if own else [""]
+                words = [w or "" for w in words]
+                counts.update(("word", w, "") for w in words if w)
+                counts.update(("pair", a, b) for a, b in zip(words, words[1:]) if a and b)
             if counts:
                 yield [*zip(*counts), list(counts.values())]
 
-    counted = materialize(map_arrow(pages.select("text"), run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= known), "words")
-    words, pairs = counted.where("b = ''"), counted.where("b <> ''")
-    n_words, n_pairs = words.count(), pairs.count()
-    if n_words > max_words:
-        raise ValueError(f"{n_words} known words; raise the threshold above {known} or the bound above {max_words}")
-    return Vocabulary({r["a"]: r["n"] for r in words.collect()}, {(r["a"], r["b"]): r["n"] for r in pairs.collect()} if n_pairs <= max_pairs else {})
+    return map_arrow(pages.select("source", "text"), run, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def _edge_counts(source: str, lines: list[str], depth: int) -> set[tuple[str, str, str]]:
+    out = set()
+    for side, places in zip(("top", "bottom"), page_edges(lines, depth)):
+        for at, i in enumerate(places, 1):
+            key = edge_key(lines[i])
+            if key and not _PAGE_NO.match(lines[i]):
+                out.add((side, source, key))
+                if at == depth:
+                    out.add((f"inner {side}", source, key))
+    return out
+
 
+_COUNTED = WordCache(lambda raw: w if (w := raw.strip(_EDGES).lower()).replace("-", "").isalpha() else "")
 
-def classify_lines(lines: list[str], page: int | None, tops: list[str], bottoms: list[str]) -> list[str]:
-    """Of each line 'running', 'page_no' or ''."""
+
+def running_lines(pages: DataFrame, profile: DataFrame) -> DataFrame:
+    """(source, depth, tops, bottoms): keys of the lines repeated at the edges of a file's pages, and how deep they lie.
+
+    ``profile`` has the counts of the EDGE outer lines. Files whose innermost counted line repeats are looked at again EDGE lines deeper,
+    until none is left, so a header of any height is found. Counts are aggregated map-side, so a large file moves few rows.
+    """
+    total = profile.where("kind = 'page'").select("a", F.col("n").alias("pages"))
+    least = F.greatest(F.lit(RUNNING_PAGES), F.ceil(F.col("pages") * RUNNING_SHARE))
+    enough = (F.col("n") >= least) & ((F.col("n") > 2) | (F.length("b") >= 8))
+    counts, depth, found = profile, EDGE, None
+    while True:
+        often = materialize(counts.where(F.col("kind").isin("top", "bottom", "inner top", "inner bottom")).join(total, "a").where(enough).select("kind", "a", "b"), "edges")
+        mine = often.where(~F.col("kind").startswith("inner")).withColumn("depth", F.lit(depth))
+        found = mine if found is None else found.unionByName(mine)
+        deeper = often.where(F.col("kind").startswith("inner")).select(F.col("a").alias("source")).distinct()
+        n = deeper.count()
+        if not n:
+            break
+        depth += EDGE
+
+        def run(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[list]:
+            for batch in batches:
+                own: Counter = Counter()
+                for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own.update(_edge_counts(source, text.split("\n"), depth))
+                if own:
+                    yield [*zip(*own), list(own.values())]
+
+        again = pages.select("source", "text").join(broadcast_if_small(deeper, n, BROADCAST_SOURCES), "source", "left_semi")
+        counts = map_arrow(again, run, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    keys = lambda side: F.sort_array(F.collect_set(F.when(F.col("kind") == side, F.col("b"))))
+    return found.groupBy(F.col("a").alias("source")).agg(F.max("depth").alias("depth"), keys("top").alias("tops"), keys("bottom").alias("bottoms"))
+
+
+def train_vocabulary(profile: DataFrame, known: int = KNOWN, share: float = KNOWN_SHARE) -> Vocabulary:
+    """The words and neighbouring pairs that make at least ``known`` and a ``share`` of all words; no more than 1 / share of each can, so they fit the driver and a broadcast."""
+    total = profile.where("kind = 'word'").agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = profile.where(F.col("kind").isin("word", "pair") & (F.col("n") >= max(known, math.ceil(total * share))))
+    words: dict[str, int] = {}
+    pairs: dict[tuple[str, str], int] = {}
+    for r in often.collect():
+        if r["kind"] == "word":
+            words[r["a"]] = r["n"]
+        else:
+            pairs[r["a"], r["b"]] = r["n"]
+    return Vocabulary(words, pairs)
+
+
+def classify_lines(lines: list[str], page: int | None, tops: list[str], bottoms: list[str], depth: int = EDGE) -> list[str]:
+    """Of each line 'running', 'page_no' or ''. Beyond the EDGE outer lines only those count that lie behind nothing but furniture."""
     out = [""] * len(lines)
-    top, bottom = page_edges(lines)
-    for i in dict.fromkeys([*top, *bottom]):
-        m = _PAGE_NO.match(lines[i])
-        if m and page is not None and m.group(1).translate(_AS_DIGIT) == str(page):
-            out[i] = "page_no"
+    top, bottom = page_edges(lines, max(depth, EDGE))
     for some, keys in ((top, tops), (bottom, bottoms)):
-        for i in some:
-            key = edge_key(lines[i])
-            if not out[i] and key and any(near(key, k) for k in keys):
-                out[i] = "running"
+        for at, i in enumerate(some):
+            if at >= EDGE and not all(out[k] for k in some[:at]):
+                break
+            m = _PAGE_NO.match(lines[i])
+            if m and page is not None and m.group(1).translate(_AS_DIGIT) == str(page):
+                out[i] = "page_no"
+            elif not out[i] and keys:
+                key = edge_key(lines[i])
+                if key and any(near(key, k) for k in keys):
+                    out[i] = "running"
     return out
 
 
-def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[str], bottoms: list[str], next_word: str | None, last_word: str | None = None) -> tuple[list[tuple[int, str]], str]:
+def _body(lines: list[str], kinds: list[str]) -> list[int]:
+    return [i for i, k in enumerate(kinds) if not k and lines[i].strip()]
+
+
+def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[str], bottoms: list[str], next_word: str | None, last_word: str | None = None, depth: int = EDGE) -> tuple[list[tuple[int, str]], str]:
     """(line number, kind) of the lines that need repair, and the page's text: paragraphs of one line each, furniture removed, words joined and repaired.
 
     ``next_word`` is the first body word of the file's next page, ``last_word`` the last one of the page before. A word broken at the
-    end of the page is completed with it there. Misreadings in a broken word are judged by the joined word and given to the line of their half.
+    end of a page is completed there, and the page that follows doesn't say its tail again. Misreadings in a broken word are judged by
+    the joined word and given to the line of their half.
     """
     lines = text.split("\n")
-    kinds = classify_lines(lines, page, tops, bottoms)
-    found = [(i + 1, k) for i, k in enumerate(kinds) if k]
-    body = [i for i, k in enumerate(kinds) if not k and lines[i].strip()]
+    found, body = [], []
+    for i, k in enumerate(classify_lines(lines, page, tops, bottoms, depth)):
+        if k:
+            found.append((i + 1, k))
+        elif lines[i].strip():
+            body.append(i)
+    split = [lines[i].split() for i in body]
+    width = max((len(lines[i]) for i in body), default=0)
+    kind = vocabulary.kinds.get
     out: list[str] = []
     carry = ""
-    start = last_word if last_word and body and _is_broken(vocabulary, last_word, lines[body[0]].split()[0]) else ""
-    for at, i in enumerate(body):
-        line = lines[i].strip()
-        tokens = line.split()
-        follows = lines[body[at + 1]].split()[0] if at + 1 < len(body) else next_word
-        broken = bool(tokens) and _is_broken(vocabulary, line, follows)
-        inner = tokens[1 if carry else 0 : -1 if broken else None]
-        flags = [vocabulary.misread(t) for t in inner]
+    start = last_word if last_word and body and _is_broken(vocabulary, last_word, split[0][0]) else ""
+    for at, (i, tokens) in enumerate(zip(body, split)):
+        follows = split[at + 1][0] if at + 1 < len(body) else next_word
+        broken = tokens[-1][-1] in HYPHENS and _is_broken(vocabulary, tokens[-1], follows)
         head = carry if at else start
-        cut = [*(tokens[:1] if head else []), *(tokens[-1:] if broken else [])]
-        halves = head and vocabulary.misread_halves(head, tokens[0])[1] or broken and bool(follows) and vocabulary.misread_halves(tokens[-1], follows)[0]
+        inner = tokens[1 if head else 0 : -1 if broken else None]
+        kinds = [kind(t, -1) for t in inner]
+        if -1 in kinds:
+            kinds = [vocabulary.kind(t) for t in inner]
+        seen = set(kinds)
+        no_accents = any(k & _BARE for k in seen) and vocabulary.lost_accents(lines[i], [*kinds, *(vocabulary.kind(t) for t in (tokens[:1] if head else []) + (tokens[-1:] if broken else []))])
+        wrong = [k >= _MISREAD for k in kinds]
+        if any(k & _WEIGH for k in seen):
+            for n, k in enumerate(kinds):
+                if k & _WEIGH:
+                    wrong[n] = vocabulary.misread_here(inner[n], inner[n - 1] if n else "", inner[n + 1] if n + 1 < len(inner) else "")
+        misread = no_accents or any(wrong)
+        if not misread and (head or broken):
+            cut = [*(tokens[:1] if head else []), *(tokens[-1:] if broken else [])]
+            misread = any(c in SIGNS for t in cut for c in t) or any(_digit_inside(t) for t in cut) or head and vocabulary.misread_halves(head, tokens[0])[1] or broken and bool(follows) and vocabulary.misread_halves(tokens[-1], follows)[0]
         if broken:
             found.append((i + 1, "broken_word"))
-        no_accents = vocabulary.lost_accents(line)
-        if any(flags[1 if head and not carry else 0 :]) or halves or no_accents or any(c in SIGNS for t in cut for c in t) or any(_digit_inside(t) for t in cut):
+        if misread:
             found.append((i + 1, "misread"))
-        joined = [carry + tokens[0], *inner] if carry else list(inner)
-        flags = [vocabulary.misread(joined[0]), *flags] if carry else flags
-        for k, (t, wrong) in enumerate(zip(joined, flags)):
-            if wrong or no_accents and vocabulary.folded.get(t.strip(_EDGES).lower(), 0) > 10 * vocabulary.counts.get(t.strip(_EDGES).lower(), 0):
-                core = t.strip(_EDGES)
-                before = joined[k - 1].strip(_EDGES).lower() if k else ""
-                after = joined[k + 1].strip(_EDGES).lower() if k + 1 < len(joined) else ""
-                better = _accented(vocabulary, core, before, after) if not wrong else vocabulary.repair(core, before, after)
-                if better:
-                    joined[k] = t.replace(core, better)
-        carry = re.sub(f"[{HYPHENS}]$", "", tokens[-1]) if broken else ""
+        rest = tokens[-1].rstrip(HYPHENS) if broken else ""
+        if carry and broken and len(tokens) == 1:
+            joined, wrong, carry = [], [], carry + rest
+        else:
+            joined = [carry + tokens[0], *inner] if carry else list(inner)
+            wrong = [vocabulary.misread(joined[0]), *wrong] if carry else wrong
+            carry = rest
         if broken and at + 1 == len(body):
             joined.append(carry + (follows or ""))
-        # a paragraph ends where a line ends a sentence and an empty line or a short line follows
+            wrong.append(vocabulary.misread(joined[-1]))
+        if misread or any(wrong):
+            _mend(vocabulary, joined, wrong, no_accents)
         glue = " ".join(joined)
-        if out and not _ends_paragraph(lines, body, at - 1):
+        if out and not _ends_paragraph(lines, body, at - 1, width):
             out[-1] = (out[-1] + " " + glue).strip()
         elif glue:
             out.append(glue)
     return sorted(found), "\n".join(out)
 
 
-def _ends_paragraph(lines: list[str], body: list[int], at: int) -> bool:
+def _mend(vocabulary: Vocabulary, words: list[str], wrong: list[bool], no_accents: bool) -> None:
+    """Put the likeliest words for the misread ones and for those that lost their accents, in place."""
+    for k, (t, bad) in enumerate(zip(words, wrong)):
+        if bad or no_accents and vocabulary.kind(t) & _BARE:
+            core = t.strip(_EDGES)
+            before = words[k - 1].strip(_EDGES).lower() if k else ""
+            after = words[k + 1].strip(_EDGES).lower() if k + 1 < len(words) else ""
+            better = vocabulary.repair(core, before, after) if bad else _accented(vocabulary, core, before, after)
+            if better:
+                words[k] = t.replace(core, better)
+
+
+def _ends_paragraph(lines: list[str], body: list[int], at: int, width: int) -> bool:
+    """Whether a paragraph ends with a line: it ends a sentence, and an empty line follows or it is short."""
     here = lines[body[at]].rstrip()
     if here[-1:] not in ".!?:”":
         return False
     if at + 1 < len(body) and body[at + 1] > body[at] + 1:
         return True
-    width = max((len(lines[i]) for i in body), default=0)
     return len(here) < 0.8 * width
 
 
 def _accented(vocabulary: Vocabulary, word: str, before: str, after: str) -> str | None:
     """The accented form of a word without accents that fits its neighbours best."""
-    low = word.lower()
-    forms = [w for w, _ in vocabulary.accent_forms(low)]
+    forms = vocabulary.forms.get(word.lower())
     if not forms:
         return None
-    best = max(forms, key=lambda w: (math.log1p(vocabulary.pairs.get((before, w), 0)) + math.log1p(vocabulary.pairs.get((w, after), 0)) + 0.2 * math.log1p(vocabulary.counts[w]), w))
-    return best.upper() if len(word) > 1 and word.isupper() else best[:1].upper() + best[1:] if word[:1].isupper() else best
+    best = max(forms, key=lambda w: (math.log1p(vocabulary.together(before, w)) + math.log1p(vocabulary.together(w, after)) + 0.2 * math.log1p(vocabulary.counts[w]), w))
+    return _cased(best, word)
 
 
 def _digit_inside(token: str) -> bool:
@@ -403,14 +568,14 @@ def _digit_inside(token: str) -> bool:
     return any(c.isdigit() for c in core) and core[:1].islower() and sum(c.isalpha() for c in core) >= 2 and not _CODE.match(core)
 
 
-def _is_broken(vocabulary: Vocabulary, line: str, follows: str | None) -> bool:
-    m = _BROKEN.search(line)
-    if not m:
+def _is_broken(vocabulary: Vocabulary, last: str, follows: str | None) -> bool:
+    """Whether ``last``, the last word of a line, goes on in ``follows``."""
+    if last[-1] not in HYPHENS or not _BROKEN.search(last):
         return False
-    stem = line.split()[-1].rstrip(HYPHENS)
+    stem = last.rstrip(HYPHENS)
     if any(c.isdigit() for c in stem) and (_CODE.match(stem.strip(_EDGES)) or "/" in stem):
         return False
-    if line.rstrip()[-1] != "-":
+    if last[-1] != "-":
         return True
     head = stem.strip(_EDGES).lower()
     if not follows:
@@ -424,56 +589,81 @@ def _is_broken(vocabulary: Vocabulary, line: str, follows: str | None) -> bool:
 
 
 def mend_scans(pages: DataFrame, known: int = KNOWN) -> DataFrame:
-    """(source, page, found array<struct<line_no, kind>>, text): one row per page with the lines that need repair and the repaired text.
+    """(source, page, found array<struct<line_no, kind>>, text, continues): one row per page with the lines that need repair and the repaired text.
 
-    Method: a vocabulary of the words that occur at least ``known`` times goes into a trie, which is intersected with the
-    Levenshtein automaton of each suspicious word for all candidates; prices of the scanner's confusions, frequencies and the
-    neighbouring words rank them. Lines repeated at the edges of a file's pages and lines that give the page's number are removed;
-    broken words are joined, also over the page end; lines are joined into paragraphs.
+    Method: the words of a share of all words go into a trie, which is intersected with the Levenshtein automata of all unknown words
+    of a batch for complete candidates; prices of the scanner's confusions, frequencies and the neighbouring words rank them. Lines
+    repeated at the edges of a file's pages and lines that give the page's number are removed; broken words are joined, also over the
+    page end; lines are joined into paragraphs. ``continues`` says that the first paragraph goes on from the page before.
 
-    Equal rows count once; rows without source or text are left out; a null page is a page without number and successor. Any
-    two pages of a file may lie in different tasks: a page needs only the running lines of its file, the next page's first word and the last one of the page before.
+    Equal rows count once; rows without source or text are left out; a null page is a page without number and neighbours. Pages are
+    distributed by (source, page), so a file of any size spreads over all tasks, and their texts are shuffled once: all passes read
+    the table bucketed that way. A page needs only the running lines of its file and the outer words of its neighbours.
     """
-    some = pages.select("source", "page", "text").where(F.col("source").isNotNull() & F.col("text").isNotNull()).distinct()
-    some = materialize(some, "pages")
-    vocabulary = some.sparkSession.sparkContext.broadcast(train_vocabulary(some, known))
-    running = materialize(running_lines(some), "running")
+    kind = column_type(pages, "page")
+    some = pages.select("source", "page", "text").where(F.col("source").isNotNull() & F.col("text").isNotNull())
+    some = bucketed(some, ["source", "page"], "pages")
+    profile = materialize(profile_pages(some), "profile")
+    vocabulary = some.sparkSession.sparkContext.broadcast(train_vocabulary(profile, known))
+    running = materialize(running_lines(some, profile), "running")
     running = broadcast_if_small(running, running.count(), BROADCAST_SOURCES)
     none = F.array().cast("array<string>")
-    placed = some.join(running, "source", "left").select("source", "page", "text", F.coalesce("tops", none).alias("tops"), F.coalesce("bottoms", none).alias("bottoms"))
+
+    def furnished(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.join(running, "source", "left").select("source", "page", "text", F.coalesce("tops", none).alias("tops"), F.coalesce("bottoms", none).alias("bottoms"), F.coalesce("depth", F.lit(EDGE)).alias("depth"), *more)
 
     def edge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            first, last = [], []
-            for page, text, tops, bottoms in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+            first, last, open_ = [], [], []
+            for page, text, tops, bottoms, depth in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
                 lines = text.split("\n")
-                kinds = classify_lines(lines, page, tops, bottoms)
-                body = [line for line, k in zip(lines, kinds) if not k and line.strip()]
-                first.append(body[0].split()[0] if body else None)
-                last.append(body[-1].split()[-1] if body else None)
-            yield [batch.column(0), batch.column(1), first, last]
-
-    kind = column_type(pages, "page")
-    edges = map_arrow(placed, edge_words, f"source string, page {kind}, first string, last string")
-    nobody = F.lit(None).cast("string")
+                body = _body(lines, classify_lines(lines, page, tops, bottoms, depth))
+                first.append(lines[body[0]].split()[0] if body else None)
+                last.append(lines[body[-1]].split()[-1] if body else None)
+                open_.append(bool(body) and not _ends_paragraph(lines, body, len(body) - 1, max(len(lines[i]) for i in body)))
+            yield [batch.column(0), batch.column(1), first, last, open_]
+
+    edges = map_arrow(furnished(some), edge_words, f"source string, page {kind}, first string, last string, open boolean")
+    nobody, shut = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     beside = F.explode(F.array(
-        F.struct((F.col("page") - 1).cast(kind).alias("page"), F.col("first").alias("next_word"), nobody.alias("last_word")),
-        F.struct((F.col("page") + 1).cast(kind).alias("page"), nobody.alias("next_word"), F.col("last").alias("last_word")),
+        F.struct((F.col("page") - 1).cast(kind).alias("page"), F.col("first").alias("next_word"), nobody.alias("last_word"), shut.alias("open")),
+        F.struct((F.col("page") + 1).cast(kind).alias("page"), nobody.alias("next_word"), F.col("last").alias("last_word"), F.col("open").alias("open")),
     ))
-    words = edges.select("source", beside.alias("w")).select("source", "w.*").groupBy("source", "page").agg(F.min("next_word").alias("next_word"), F.min("last_word").alias("last_word"))
-    ready = placed.join(words, ["source", "page"], "left").select("source", "page", "text", "tops", "bottoms", "next_word", "last_word")
+    words = edges.where(F.col("page").isNotNull()).select("source", beside.alias("w")).select("source", "w.*").groupBy("source", "page").agg(F.min("next_word").alias("next_word"), F.min("last_word").alias("last_word"), F.max("open").alias("open"))
+    ready = furnished(some.join(words, ["source", "page"], "left"), "next_word", "last_word", "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        known_words = vocabulary.value
         for batch in batches:
-            got = [repair_page(vocabulary.value, *page) for page in zip(*(batch.column(k).to_pylist() for k in (2, 1, 3, 4, 5, 6)))]
-            yield [batch.column(0), batch.column(1), [[{"line_no": n, "kind": k} for n, k in found] for found, _ in got], [text for _, text in got]]
+            text = batch.column(2).to_pylist()
+            known_words.learn(t for page in text for t in set(page.split()))
+            got = [repair_page(known_words, *page) for page in zip(text, *(batch.column(k).to_pylist() for k in (1, 3, 4, 6, 7, 5)))]
+            yield [batch.column(0), batch.column(1), [[{"line_no": n, "kind": k} for n, k in found] for found, _ in got], [text for _, text in got], batch.column(8)]
+
+    mended = map_arrow(ready, run, f"source string, page {kind}, found array<struct<line_no: int, kind: string>>, text string, open boolean")
+    return mended.select("source", "page", "found", "text", (F.coalesce("open", F.lit(False)) & (F.col("text") != "")).alias("continues"))
 
-    return map_arrow(ready, run, f"source string, page {kind}, found array<struct<line_no: int, kind: string>>, text string")
+
+def paragraphs(mended: DataFrame) -> DataFrame:
+    """(source, page, paragraph_no, text): the paragraphs of every file in page order, each at the page it begins on.
+
+    A paragraph that goes on over page ends is joined there, over as many pages as it has; the page it begins on is handed on through
+    ranged partitions, so no task holds a file. Pages without text have none.
+    """
+    pages = mended.where("text <> ''").select("source", "page", F.split("text", "\n").alias("parts"), "continues")
+    pages = pages.withColumn("own", F.when(~F.col("continues") | (F.size("parts") > 1), F.struct("page", F.size("parts").alias("n"))))
+    known = fill_forward(pages.where(F.col("page").isNotNull()).select("source", "page", "continues", F.size("parts").alias("n"), "own"), "source", ["page"], "own", "last", strict=True)
+    begins = pages.join(known.where("continues").select("source", "page", "last"), ["source", "page"], "left")
+    rows = begins.select("source", "page", "continues", "last", F.posexplode("parts").alias("at", "part"))
+    goes_on = F.col("continues") & (F.col("at") == 0) & F.col("last").isNotNull()
+    placed = rows.select("source", F.when(goes_on, F.col("last.page")).otherwise(F.col("page")).alias("begins"), F.when(goes_on, F.col("last.n")).otherwise(F.col("at") + 1).alias("paragraph_no"), "page", "part")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "part"))), lambda x: x["part"]), " ")
+    return placed.groupBy("source", "begins", "paragraph_no").agg(joined.alias("text")).select("source", F.col("begins").alias("page"), "paragraph_no", "text")
 
 
 def scan_lines(spark, sf_dir: str) -> DataFrame:
     return mend_scans(table(spark, sf_dir, "scan_pages")).select("source", "page", F.explode("found").alias("f")).select("source", "page", "f.line_no", "f.kind").distinct()
 
 
-def scan_texts(spark, sf_dir: str) -> DataFrame:
-    return mend_scans(table(spark, sf_dir, "scan_pages")).select("source", "page", "text")
+def scan_paragraphs(spark, sf_dir: str) -> DataFrame:
+    return paragraphs(mend_scans(table(spark, sf_dir, "scan_pages")))

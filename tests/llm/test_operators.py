@@ -194,6 +194,34 @@ def test_scans_are_repaired(spark):
     assert scans.mend_scans(scan_pages(spark).limit(0)).count() == 0
 
 
+def test_word_broken_over_a_page_is_said_once_and_paragraphs_go_on(spark):
+    body = "The academic staff begins the semester with a review of all open files. " * 3
+    rows = [("f", p, f"{body}\n") for p in range(1, 7)]
+    rows += [("g", 1, "The academic staff begins the seme-"), ("g", 2, "ster with a review of"), ("g", 3, "all open files.\n\nThe staff begins."), ("g", 5, "The review of files.")]
+    mended = scans.mend_scans(page_df(spark, rows))
+    got = {(r.source, r.page): r for r in mended.collect()}
+    assert got["g", 1].text == "The academic staff begins the semester" and got["g", 2].text == "with a review of"
+    assert [got["g", p].continues for p in (1, 2, 3, 5)] == [False, True, True, False]
+    text = {(r.page, r.paragraph_no): r.text for r in scans.paragraphs(mended).where("source = 'g'").collect()}
+    assert text == {(1, 1): "The academic staff begins the semester with a review of all open files.", (3, 2): "The staff begins.", (5, 1): "The review of files."}
+    assert scans.paragraphs(mended.limit(0)).count() == 0
+
+
+def test_furniture_of_any_height_is_found(spark):
+    own = [" ".join(random.Random(p).sample(VI.split(), 9)) for p in range(9)]
+    rows = [("f", p, "\n".join(["ĐẠI HỌC QUỐC GIA", "TRƯỜNG KHOA HỌC", "PHÒNG ĐÀO TẠO", "Quy chế học vụ", "Bản lưu hành nội bộ", f"mở đầu {'abcdefghi'[p]}", own[p], f"kết {'abcdefghi'[p]} hết", str(p)])) for p in range(1, 9)]
+    got = {r.page: {(f.line_no, f.kind) for f in r.found} for r in scans.mend_scans(page_df(spark, rows)).collect()}
+    assert all(got[p] == {*((n, "running") for n in range(1, 6)), (9, "page_no")} for p in range(1, 9))
+
+
+def test_words_of_letters_are_weighed_by_their_neighbours():
+    words = {w: 50 for w in ("open", "files", "every", "review", "staff")}
+    v = scans.Vocabulary(words, {("review", "every"): 9, ("every", "files"): 9})
+    found = lambda text: scans.repair_page(v, text, 1, [], [], None)
+    assert found("staff review evory files") == ([(1, "misread")], "staff review every files")
+    assert found("staff review Evory files")[0] == found("staff open evory files")[0] == []
+
+
 def test_misread_halves_of_broken_words_are_found():
     v = scans.Vocabulary({w: 50 for w in ("academic", "applicant", "the", "staff", "turn", "over", "modern")}, {})
     rows = lambda text, **k: scans.repair_page(v, text, 1, [], [], k.get("next_word"), k.get("last_word"))[0]
@@ -221,7 +249,8 @@ def test_trie_retrieval_is_complete():
 
     for w in ["abcab", "a", "ccc", "bbbbbbbb"]:
         for k in (1, 2):
-            assert dict(trie.within(w, k)) == {v: distance(w, v) for v in words if distance(w, v) <= k}
+            assert dict(trie.within([w, "zz"], k)[0]) == {v: distance(w, v) for v in words if distance(w, v) <= k}
+    assert scans.Trie([]).within(["a"], 2) == [[]] and scans.Trie(["ab"]).within([], 1) == []
 
 
 # ---- 6
