@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.plans.tables import broadcast_if_small, bucketed, column_type, map_arrow, materialize, read
 
-__all__ = ["CACHE_WORDS", "WordCache", "broadcast_if_small", "bucketed", "column_type", "fold_tokens", "fold_word", "hash_sample", "map_arrow", "materialize", "table", "word_hash"]
+__all__ = ["CACHE_WORDS", "WordCache", "broadcast_if_small", "bucketed", "column_type", "fold_tokens", "fold_word", "hash_sample", "map_arrow", "matching", "materialize", "table", "word_hash"]
 
 #: Upper bound of one worker's word cache; a full cache is emptied, never consulted less.
 CACHE_WORDS = 400_000
@@ -34,6 +36,11 @@ def fold_tokens(raw: str) -> list[str]:
     return _STRIP.findall(fold_word(raw))
 
 
+def matching(column: pa.Array, pattern: str) -> pa.Array:
+    """Places of the values that have a match of an RE2 pattern; the column stays in Arrow's memory."""
+    return pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(column, pattern), False)).cast(pa.int64())
+
+
 class WordCache(dict):
     """Raw whitespace-separated word -> value of ``make``; bounded by CACHE_WORDS."""
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -13,9 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordCache, column_type, map_arrow, materialize, table
-from .lookalikes import SUSPECT, canonical
-
-_SUSPECT = re.compile(SUSPECT)
+from .lookalikes import FIXED, canonical
 
 #: Topics whose terms are broadcast together; more are handled in blocks.
 TOPIC_BLOCK = 100_000
@@ -26,7 +23,7 @@ SEED_DOCS = 64
 def words(raw: str) -> tuple[str, ...]:
     """Terms of a whitespace-separated piece: runs of letters and digits, in lower case, look-alike characters in their ordinary form."""
     out, run = [], []
-    if not raw.isascii() and _SUSPECT.search(raw):
+    if not raw.isascii() and FIXED.is_suspect(raw):
         raw = canonical(raw)[0]
     for ch in raw.lower():
         if ch.isalnum():

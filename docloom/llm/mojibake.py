@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_type, hash_sample, map_arrow, table
+from .common import column_type, hash_sample, map_arrow, matching, table
 
 #: Sampled ids whose values the dictionaries are trained on, and the size of a dictionary.
 TRAIN_ROWS, DICT_BYTES = 6000, 64 * 1024
@@ -57,10 +57,13 @@ _TCVN_SEEN = {bytes([b]).decode("cp1252"): c for b, c in TCVN.items()}
 #: Characters of that code which ordinary Vietnamese and English text doesn't have.
 _TCVN_ODD = "".join(c for c in _TCVN_SEEN if c not in "àáâãèéêìíòóôõùúýÂÊÔÃÀÁÈÉÌÍÒÓÕÙÚÝ")
 _TCVN_WORD = re.compile(f"[^\\W\\d_]{_class(_TCVN_ODD)}|{_class(_TCVN_ODD)}[^\\W\\d_]")
-_LOST = re.compile(r"\ufffd|\?\w|\?\?|(?<=\s)\?(?=\s)|\w\?-|-\?")
+#: Question marks that no writing has: inside a word, before a lower-case word, or alone before one; links aside.
+_LOST = re.compile(r"[^\W\d_]\?+[^\W\d_]|(?:^|(?<=[\s(\"“-]))\?+[^\W\d_]|(?<=\s)\?(?=\s+[^\W\d_])", re.MULTILINE)
+_LINK = re.compile(r"://|[=&/]")
 
-#: Values without a match have no other decoding and lost nothing; Java and Python read it alike.
+#: Values without a match have no other decoding and lost nothing; for Java's patterns, and the same for Arrow's.
 SUSPECT = "|".join([*(_sequences(c) for c in _CODECS), _class(_TCVN_ODD), "\\ufffd", r"\?"])
+_MAYBE = re.sub(r"\\u([0-9a-f]{4})", lambda m: c if (c := chr(int(m[1], 16))).isalnum() or ord(c) > 127 else "\\" + c, "|".join([*(_sequences(c) for c in _CODECS), _class(_TCVN_ODD), "\ufffd", r"\?\pL", r"\s\?\s"]))
 
 
 def _decode_utf8(codec: str, text: str) -> str:
@@ -108,6 +111,28 @@ def decode_runs(text: str) -> str:
     return text
 
 
+def garbled_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the stretches :func:`decode_runs` would decode, in order, overlapping ones joined."""
+    found = []
+    for codec in ("cp1252", "mac_roman"):
+        if codec == "mac_roman" and not _MAC_SIGN.search(text):
+            break
+        at = _CODECS[codec]
+        for m in _UTF8[codec].finditer(text):
+            try:
+                bytes(at[c] for c in m.group()).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            found.append(m.span())
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 _MAC_SIGN = re.compile("[√ƒ∆]|·[ª∫]")
 
 
@@ -142,6 +167,8 @@ class Repairer:
     def _length(self, text: str) -> int:
         if self.compressors is None:
             kinds = [zstandard.ZstdCompressionDict(d) for d in self.dictionaries.values()]
+            for d in kinds:
+                d.precompute_compress(level=6)
             self.compressors = [zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_dict_id=False) for d in kinds] or [zstandard.ZstdCompressor(level=6)]
         raw = text.encode("utf-8", "surrogatepass")
         return min(len(c.compress(raw)) for c in self.compressors)
@@ -166,8 +193,20 @@ _SEGMENT = re.compile(r"(\n+|(?<=[^\W\d_][.;:!])\s+)")
 
 
 def lost(text: str) -> bool:
-    """Whether replacement characters stand where letters were: U+FFFD anywhere, or question marks inside or before words."""
-    return "\ufffd" in text or len(_LOST.findall(text)) >= 1
+    """Whether replacement characters stand where letters were: U+FFFD anywhere, or a question mark inside a word, before a lower-case one, or alone before one. Links are no evidence."""
+    if "\ufffd" in text:
+        return True
+    if "?" not in text:
+        return False
+    for m in _LOST.finditer(text):
+        if m.group()[-1] == "?" or m.group()[0] == "?":
+            after = text[m.end() - 1 :].lstrip("? \t")[:1]
+            if not after.islower():
+                continue
+        token = text[text.rfind(" ", 0, m.start()) + 1 : m.start()].rsplit("\n", 1)[-1] + text[m.start() :].split(None, 1)[0]
+        if not _LINK.search(token):
+            return True
+    return False
 
 
 def language_of(field):
@@ -205,24 +244,30 @@ def repair_encoding(df: DataFrame, fields: tuple[str, ...] = ("text", "source"),
     Method: every candidate decoding, whole chains of them included, of each line or sentence is compressed with the zstandard
     dictionaries of the languages (one set per field); the chain with the least length, its own cost included, wins, and the unchanged text wins
     ties. ``lost`` says that replacement characters are left, which no chain can give back. Dictionaries are trained on a bounded
-    sample of values without any suspicious character; values without one stay in the JVM and are returned by no row.
+    sample of values without any suspicious character. A pattern over the whole Arrow column finds the values that may be garbled; only
+    these become Python strings.
 
     Null and empty values give no row. No shuffle but that of the few garbled values, which drops equal rows.
     """
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))
     trained = train_dictionaries(df, fields, id_col, train_rows)
     repairers = df.sparkSession.sparkContext.broadcast({f: Repairer(d) for f, d in trained.items()})
-    suspects = df.select(F.col(id_col), F.explode(F.filter(pairs, lambda p: p["value"].rlike(SUSPECT))).alias("p")).select(id_col, "p.field", "p.value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            got = [repairers.value[f].repair(v) for f, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            at = [i for i, (_, used, gone) in enumerate(got) if used or gone]
-            if at:
-                keep = pa.array(at, pa.int64())
-                yield [*(batch.column(k).take(keep) for k in range(3)), [got[i][0] for i in at], [got[i][1] for i in at], [got[i][2] for i in at]]
+            for k, field in enumerate(fields, 1):
+                at = matching(batch.column(k), _MAYBE)
+                got = [repairers.value[field].repair(v) for v in batch.column(k).take(at).to_pylist()]
+                mine = [i for i, (_, used, gone) in enumerate(got) if used or gone]
+                if mine:
+                    keep = at.take(pa.array(mine, pa.int64()))
+                    yield [batch.column(0).take(keep), [field] * len(mine), batch.column(k).take(keep), [got[i][0] for i in mine], [got[i][1] for i in mine], [got[i][2] for i in mine]]
+
+    return map_arrow(df.select(id_col, *fields), run, f"`{id_col}` {column_type(df, id_col)}, field string, original string, restored string, chains array<string>, lost boolean").distinct()
+
 
-    return map_arrow(suspects, run, f"`{id_col}` {column_type(df, id_col)}, field string, original string, restored string, chains array<string>, lost boolean").distinct()
+def restored_values(spark, sf_dir: str) -> DataFrame:
+    """The garbled values in their original writing, as far as it can be told."""
+    return repair_encoding(table(spark, sf_dir, "chunks")).select("chunk_id", "field", "restored", "lost")
 
 
 def garbled_values(spark, sf_dir: str) -> DataFrame:

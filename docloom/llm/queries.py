@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_term_weights": distinctive.chunk_term_weights,
         "p8_containers": packing.document_containers,
         "p2_found": lookalikes.lookalike_values,
+        "p2_canonical": lookalikes.canonical_values,
         "p2_title_groups": lookalikes.title_groups,
         "p7_found": mojibake.garbled_values,
+        "p7_restored": mojibake.restored_values,
         "p3_found": boilerplate.lines_found,
         "p9_found": lambda s, d: leaks.leaked_pairs(s, d).select("doc_id", "item_id").distinct(),
         "p10_found": repetition.repetitive_documents,

@@ -80,9 +80,22 @@ def test_consensus_takes_the_last_row_and_survives_odd_tables(spark):
         ("Ηọc", "Họ" + "c"),
     ],
 )
-def test_lookalikes_come_out_in_one_form(dirty, clean):
-    assert lookalikes.canonical(dirty) == (clean, True)
-    assert lookalikes.skeleton(dirty) == lookalikes.skeleton(clean)
+def test_lookalikes_come_out_in_one_form(spark, dirty, clean):
+    for forms in (lookalikes.FIXED, lookalikes.lookalikes(spark)):
+        assert forms.is_suspect(dirty) and forms.canonical(dirty) == (clean, True)
+        assert forms.skeleton(dirty) == forms.skeleton(clean)
+
+
+@pytest.mark.parametrize("dirty, clean", [("ρaypal", "paypal"), ("аррӏе", "apple"), ("αpple", "apple"), ("𝐇ello", "Hello"), ("ﬁnal", "final"), ("Ꭺpple", "Apple"), ("a\u2028b\u202ec\u2069", "a bc"), ("hоc phÃ­", "hoc phÃ­")])
+def test_the_public_table_of_confusables_is_used(spark, dirty, clean):
+    forms = lookalikes.lookalikes(spark)
+    assert len(forms.prototypes) > 3000 and forms.is_suspect(dirty) and forms.canonical(dirty) == (clean, True)
+    assert dirty == "hоc phÃ­" or forms.skeleton(dirty) == forms.skeleton(clean)
+
+
+@pytest.mark.parametrize("proper", ["x̄", "Q̃ = 3", "σ̂", "ρgh", "𝑥 = 5", "αβγδ", "Ⅳ", "ταυ νοι λόγος", "Æsop", "❤️", "VÃ\u00a0 giÃ¡"])
+def test_nothing_is_changed_without_need(spark, proper):
+    assert lookalikes.lookalikes(spark).canonical(proper) == (proper, False)
 
 
 @pytest.mark.parametrize("proper", [VI, "«Программа обмена» tiếng Nga", "日本語（N3） bậc", "α = 0,05 và σ²", "cliché, naïve, Zoë", "", "m² và °", "VÃ\xa0 giÃ¡"])
@@ -94,6 +107,8 @@ def test_lookalike_rows_and_groups(spark):
     df = chunk_df(spark, [("a", "hоc", "Điều", "s"), ("a", "hоc", "Điều", "s"), ("b", None, None, None), ("c", "", "", ""), ("d", "x " * 20000 + "​", unicodedata.normalize("NFD", "Điều"), "s")])
     got = sorted((r.chunk_id, r.field) for r in lookalikes.normalize_lookalikes(df).collect())
     assert got == [("a", "text"), ("d", "article_title"), ("d", "text")]
+    groups = lookalikes.skeleton_groups(df.select("article_title", "text").union(df.limit(1).selectExpr("'Đіều'", "text")), "article_title").collect()
+    assert [(g.title, g.n_forms, g.n_rows) for g in groups] == [("Điều", 3, 4)]
     forms = lookalikes.with_canonical(df, "article_title", "t").groupBy("t").count().collect()
     assert {r.t: r["count"] for r in forms}["Điều"] == 3
     assert lookalikes.normalize_lookalikes(df.limit(0)).count() == 0
@@ -318,6 +333,13 @@ def test_garbled_text_is_found_and_restored(spark):
     assert mojibake.repair_encoding(chunk_df(spark, rows).limit(0)).count() == 0
 
 
+def test_question_marks_alone_are_no_loss():
+    for t in ("What is this?? Really", "Is it so ? Yes", "tel: 123-?", "xem http://a.b/c?id=3 nhé", "sao?", "Vì sao?\nvà thế nào", "", "(?)"):
+        assert not mojibake.lost(t)
+    for t in ("Ng??i h?c", "tuần 5 ? hết", "th?-vi?n.pdf", "?n", "a\ufffd"):
+        assert mojibake.lost(t)
+
+
 # ---- 8
 
 
