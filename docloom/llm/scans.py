@@ -44,6 +44,7 @@ _BROKEN = re.compile(r"([^\s-]*[^\W\d_][{}|~^¿¦]?)[" + HYPHENS + r"]\s*$")
 _ACCENT = re.compile(r"[^\W\d_a-zA-Z]")
 #: What a token is, in one number: a word of letters, one whose accented form is far commoner, one to be weighed by its neighbours, a misread one.
 _WORD, _BARE, _WEIGH, _MISREAD = 1, 2, 4, 8
+_PLAIN = {0, _WORD}
 
 
 class Trie:
@@ -162,7 +163,7 @@ class Vocabulary:
         """Judge all ``tokens`` at once, so that the trie is walked for a whole batch of words together."""
         if len(self.kinds) > CACHE_WORDS:
             self.kinds.clear()
-        new = [t for t in set(tokens) if t not in self.kinds]
+        new = set(tokens) - self.kinds.keys()
         self.retrieve({low for low in (t.strip(_EDGES + HYPHENS).lower() for t in new) if self._odd(low)})
         for t in new:
             self.kinds[t] = self._kind(t)
@@ -359,27 +360,30 @@ def profile_pages(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        look = _COUNTED.__getitem__
         for batch in batches:
-            counts: Counter = Counter()
+            edges: Counter = Counter()
+            own: Counter = Counter()
+            pairs: Counter = Counter()
             for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines = text.split("\n")
-                counts["page", source, ""] += 1
-                counts.update(_edge_counts(source, lines, EDGE))
-                words: list[str] = []
+                edges["page", source, ""] += 1
+                edges.update(_edge_counts(source, lines, EDGE))
+                words, cut = [], False  # words that a hyphen cuts don't count
                 for line in lines:
-                    own = [_COUNTED[t] for t in line.split()]
-                    if own and words and words[-1] is None:
-                        own[0] = ""
-                    if own and line.rstrip()[-1:] in HYPHENS:
-                        own[-1] = None
-                    elif words:
-                        words[-1] = words[-1] or ""
-                    words += ["", *own] if own else [""]
-                words = [w or "" for w in words]
-                counts.update(("word", w, "") for w in words if w)
-                counts.update(("pair", a, b) for a, b in zip(words, words[1:]) if a and b)
-            if counts:
-                yield [*zip(*counts), list(counts.values())]
+                    some = [look(t) for t in line.split()]
+                    if some and cut:
+                        some[0] = ""
+                    cut = bool(some) and line.rstrip()[-1] in HYPHENS
+                    if cut:
+                        some[-1] = ""
+                    words += some
+                    words.append("")
+                own.update(words)
+                pairs.update(zip(words, words[1:]))
+            rows = [(*k, n) for k, n in edges.items()] + [("word", w, "", n) for w, n in own.items() if w] + [("pair", v, w, n) for (v, w), n in pairs.items() if v and w]
+            if rows:
+                yield list(zip(*rows))
 
     return map_arrow(pages.select("source", "text"), run, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
@@ -498,6 +502,14 @@ def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[
         if -1 in kinds:
             kinds = [vocabulary.kind(t) for t in inner]
         seen = set(kinds)
+        if not head and not broken and seen <= _PLAIN:
+            glue = " ".join(tokens)
+            if out and not _ends_paragraph(lines, body, at - 1, width):
+                out[-1] += " " + glue
+            else:
+                out.append(glue)
+            carry = ""
+            continue
         no_accents = any(k & _BARE for k in seen) and vocabulary.lost_accents(lines[i], [*kinds, *(vocabulary.kind(t) for t in (tokens[:1] if head else []) + (tokens[-1:] if broken else []))])
         wrong = [k >= _MISREAD for k in kinds]
         if any(k & _WEIGH for k in seen):
@@ -636,7 +648,7 @@ def mend_scans(pages: DataFrame, known: int = KNOWN) -> DataFrame:
         known_words = vocabulary.value
         for batch in batches:
             text = batch.column(2).to_pylist()
-            known_words.learn(t for page in text for t in set(page.split()))
+            known_words.learn(set().union(*map(str.split, text)))
             got = [repair_page(known_words, *page) for page in zip(text, *(batch.column(k).to_pylist() for k in (1, 3, 4, 6, 7, 5)))]
             yield [batch.column(0), batch.column(1), [[{"line_no": n, "kind": k} for n, k in found] for found, _ in got], [text for _, text in got], batch.column(8)]
 
