@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_restored": mojibake.restored_values,
         "p3_found": boilerplate.lines_found,
         "p9_found": lambda s, d: leaks.leaked_pairs(s, d).select("doc_id", "item_id").distinct(),
+        "p9_cleaned": leaks.cleaned_documents,
         "p10_found": repetition.repetitive_documents,
     }
 

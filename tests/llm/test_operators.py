@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -421,18 +422,88 @@ def test_leak_with_a_single_run_of_nine_or_ten_words_is_found(length, edits):
     assert finder.find_all([" ".join([*noise, *replaced(w, edits), *noise])]) == [[(1, "question", length, length - len(edits), 30, 30 + length)]]
 
 
+def test_leaks_equal_brute_force_over_patterns_of_edits():
+    rng = random.Random(11)
+    w = [f"từ{a}{b}" for a in "abcdefghi" for b in "klmnopqr"]
+    finder = leaks.LeakFinder([(1, "question", " ".join(w))])
+    noise = [f"lời{i}" for i in range(30)]
+    for trial in range(4000):
+        edits = rng.choice([0, 1, 1, 2, 2, 2, 3, 3, 4])
+        runs = [2] * (edits + 1)
+        for _ in range(rng.randint(14, 36) - sum(runs)):
+            runs[rng.randrange(edits + 1) if rng.random() < 0.8 else 0] += 1
+        doc, at = [], rng.randrange(9)
+        for k, n in enumerate(runs):
+            doc += w[at : at + n]
+            kind = rng.choice(["add", "drop", "replace"]) if k < edits else ""
+            at += n + (kind in ("drop", "replace"))
+            doc += [f"x{trial}{k}"] * (kind in ("add", "replace"))
+        want = any((n := sum(runs[p : q + 1])) >= 14 and q - p <= 0.12 * (n + q - p) for p in range(edits + 1) for q in range(p, edits + 1))
+        assert bool(finder.find_all([" ".join([*noise, *doc, *noise])])[0]) == want, (runs, doc)
+
+
+def test_added_words_are_edits():
+    w = [f"từ{a}{b}" for a in "abcd" for b in "klmnopqr"]
+    finder = leaks.LeakFinder([(1, "question", " ".join(w))])
+    found = lambda *parts: [h[2:4] for h in finder.find_all([" ".join(chain.from_iterable(parts))])[0]]
+    five = [p for k in range(5) for p in (w[4 * k : 4 * k + 4], [f"x{k}"])]
+    assert found(*five, w[20:22]) == []  # 22 equal words, 5 added
+    assert found(w[:5], ["x"], w[5:10], ["y"], w[10:14]) == []  # 14 equal words, 2 added
+    assert found(w[:5], ["x"], w[5:10], ["y"], w[10:15]) == [(15, 15)]
+    assert found(w[:12], ["x", "y"], w[12:24]) == [(24, 24)]
+
+
+def test_templates_with_many_items_hide_no_leak():
+    head = [f"mẫu{i}" for i in range(9)]
+    own = lambda k: [f"riêng{k}{c}" for c in "abcdefghijkl"]
+    items = [(k, "question", " ".join([*head, *own(k)])) for k in range(200)]
+    finder = leaks.LeakFinder(items)
+    doc = [*head[:7], "khác", head[8], *own(3)]
+    assert [h[0] for h in finder.find_all([" ".join(doc)])[0]] == [3]
+    assert finder.find_all([" ".join([*head, "hết", *head])]) == [[]]
+    # another item's text is no leak for what both have of one template
+    twins = leaks.LeakFinder([(k, "question", " ".join([*head, f"tên{k}", *own(9)])) for k in (1, 2)])
+    assert [h[0] for h in twins.find_all([" ".join([*head, "tên1", *own(9)])])[0]] == [1]
+    assert sorted(h[0] for h in twins.find_all([" ".join([*head, "tên3", *own(9)])])[0]) == [1, 2]
+    # the edited word is the other item's own: its run ends only in one item
+    pair = leaks.LeakFinder([(1, "question", " ".join([*head, "y", *own(1)[:6]])), (2, "question", " ".join([*head, "x", *own(2)]))])
+    assert [h[0] for h in pair.find_all([" ".join([*head, "x", *own(1)[:6]])])[0]] == [1]
+
+
+def test_blocks_of_items_and_repeated_passages(spark):
+    own = lambda k: " ".join(f"riêng{k}{c}" for c in "abcdefghijklmnop")
+    items = spark.createDataFrame([(k, own(k), None) for k in range(12)], "id int, question string, answer string")
+    df = docs(spark, [(k, f"đầu {own(k)} giữa {own(k)} cuối " + "x " * 40, "s") for k in range(12)])
+    whole = {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, items).collect()}
+    assert whole == {(k, k) for k in range(12)} == {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, items, max_item_words=40).collect()}
+    for n in (100_000, 40):
+        left = leaks.remove_leaks(df, items, max_item_words=n).collect()
+        assert {(r.doc_id, r.n_removed) for r in left} == {(k, 32) for k in range(12)} and all(r.text.split()[:3] == ["đầu", "giữa", "cuối"] for r in left)
+
+
 def test_automaton_equals_brute_force():
     rng = random.Random(6)
     texts = [[rng.randrange(1, 5) for _ in range(30)] for _ in range(4)]
     sam = leaks.SuffixAutomaton(texts)
     stream = [rng.randrange(0, 6) for _ in range(200)]
     known = {tuple(t[i:j]) for t in texts for i in range(30) for j in range(i + 1, 31)}
-    lengths, _ = sam.stream(stream)
+    lengths, runs = sam.stream(stream)
     for i in range(200):
         n = 0
         while n <= i and tuple(stream[i - n : i + 1]) in known:
             n += 1
         assert lengths[i] == n
+    met = set()
+    for end, n, state in runs:
+        while state > 0 and n >= leaks.SEED_WORDS:
+            met |= {(end, k, at) for k, at in sam.occ[state]}
+            state = sam.link[state]
+            n = sam.length[state]
+    for k, t in enumerate(texts):
+        for at in range(4, 30):
+            for end in range(5, 201):
+                if stream[end - 5 : end] == t[at - 4 : at + 1] and not (end < 200 and at < 29 and stream[end] == t[at + 1]):
+                    assert (end, k, at) in met
 
 
 # ---- 10
