@@ -21,6 +21,8 @@ COUNTERS = 1024
 FLUSH = 1_000_000
 #: Confirmed lines are broadcast up to this many; beyond it they are joined.
 BROADCAST_ROWS = 200_000
+#: Tasks over which a source's documents are spread where the sets are joined.
+SALTS = 32
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
@@ -134,30 +136,26 @@ def find_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def remove_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``documents`` with the repeated lines taken out of ``text_col``; all rows and columns stay.
+    """``documents`` with the repeated lines taken out of ``text_col``; all rows and columns stay, null texts and sources as they are.
 
-    Confirmed lines are broadcast as sets per source where they are at most BROADCAST_ROWS; beyond that each document gets its
-    line numbers by a join on its id.
+    The confirmed lines come as one set per source: each is in a fifth of its documents, so a set holds at most five times as many lines
+    as a document has on average. The sets are broadcast while all together have at most BROADCAST_ROWS lines; beyond that they are
+    joined by source and a salt, so that a hot source spreads over SALTS tasks. Each row's own lines are judged either way.
     """
     keys = materialize(line_keys(documents, id_col, text_col, source_col), "line-keys")
     lines = materialize(repeated_lines(keys, id_col, source_col, **options), "lines")
-    if lines.count() <= BROADCAST_ROWS:
-        sets: dict[str, set[int]] = {}
-        for r in lines.select(source_col, "key").toLocalIterator():
-            sets.setdefault(r[0], set()).add(r[1])
-        shared = documents.sparkSession.sparkContext.broadcast(sets)
+    sets = lines.groupBy(F.col(source_col).alias("__source")).agg(F.collect_set("key").alias("__lines"))
 
-        @F.pandas_udf("string")
-        def without(text, source):
-            none: set[int] = set()
-            return text.combine(source, lambda t, s: None if t is None else "\n".join(line for line in t.split("\n") if line_key(line) not in shared.value.get(s, none)))
+    @F.pandas_udf("string")
+    def without(text, gone):
+        return text.combine(gone, lambda t, keys: "\n".join(line for line in t.split("\n") if line_key(line) not in own) if t is not None and keys is not None and len(own := set(keys)) else t)
 
-        return documents.withColumn(text_col, without(text_col, source_col))
-    placed = keys.select(id_col, source_col, F.posexplode("keys").alias("at", "key")).join(lines, [source_col, "key"], "left_semi")
-    gone = placed.groupBy(id_col, source_col).agg(F.collect_set("at").alias("__gone"))
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return documents.join(gone, [id_col, source_col], "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(documents.columns)
+    if lines.count() <= BROADCAST_ROWS:
+        joined = documents.join(F.broadcast(sets), F.col(source_col) == F.col("__source"), "left")
+    else:
+        sets = sets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = documents.withColumn("__own", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(sets, (F.col(source_col) == F.col("__source")) & (F.col("__own") == F.col("__salt")), "left")
+    return joined.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(without(text_col, "__lines"))).select(documents.columns)
 
 
 def lines_found(spark, sf_dir: str) -> DataFrame:
@@ -165,4 +163,4 @@ def lines_found(spark, sf_dir: str) -> DataFrame:
 
 
 def cleaned_documents(spark, sf_dir: str) -> DataFrame:
-    return remove_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
+    return remove_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", F.md5("text").alias("digest"))

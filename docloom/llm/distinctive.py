@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, column_type, map_arrow, materialize, table
+from .common import WordCache, broadcast_if_small, column_type, map_arrow, materialize, table
 from .lookalikes import FIXED, canonical
 
 #: Topics whose terms are broadcast together; more are handled in blocks.
 TOPIC_BLOCK = 100_000
 #: Terms in at most this many records give the first candidates of a topic. Any value gives the same result.
 SEED_DOCS = 64
+#: Repeated ids, and terms of the collection, that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def words(raw: str) -> tuple[str, ...]:
@@ -65,8 +67,18 @@ def with_weights(counts: DataFrame, records: int) -> DataFrame:
 
 
 def distinct_records(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """One row per id; a repeat of a record counts once."""
-    return df.select(id_col, text_col).where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    """One row per id; a repeat of a record counts once.
+
+    Only ids are shuffled to find the repeated ones; the other rows stay where they lie, and of the repeated ones alone the texts move
+    (of all, where more than BROADCAST_ROWS ids repeat).
+    """
+    some = df.select(id_col, text_col).where(F.col(id_col).isNotNull())
+    repeated = materialize(some.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    n = repeated.count()
+    if n > BROADCAST_ROWS:
+        return some.dropDuplicates([id_col])
+    again = F.broadcast(repeated)
+    return some.join(again, id_col, "left_anti").unionByName(some.join(again, id_col, "left_semi").dropDuplicates([id_col])) if n else some
 
 
 def term_weights(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", terms: frozenset[str] | None = None) -> DataFrame:
@@ -77,9 +89,11 @@ def term_weights(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
 def score_terms(df: DataFrame, weights: DataFrame, id_col: str = "chunk_id", text_col: str = "text", weight: str = "ridf") -> DataFrame:
     """(id, term, tf, score) with ``score = tf * weight`` of every term of every record.
 
-    ``weight`` is ``ridf`` (residual inverse document frequency: terms concentrated in few records) or ``idf``. The weights join by
-    term; a hot term is spread by adaptive skew handling, as each of its rows stands alone.
+    ``weight`` is ``ridf`` (residual inverse document frequency: terms concentrated in few records) or ``idf``. The weights of up to
+    BROADCAST_ROWS terms are broadcast, so no token moves; more are joined by term, where a hot term is spread by adaptive skew
+    handling, as each of its rows stands alone.
     """
+    weights = materialize(weights.select("term", F.col(weight).alias("__w")), "weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         look = WordCache(words).__getitem__
@@ -90,7 +104,7 @@ def score_terms(df: DataFrame, weights: DataFrame, id_col: str = "chunk_id", tex
                 yield [batch.column(0).take(at), [t for c in own for t in c], [n for c in own for n in c.values()]]
 
     tf = map_arrow(distinct_records(df, id_col, text_col), run, f"`{id_col}` {column_type(df, id_col)}, term string, tf int")
-    return tf.join(weights.select("term", F.col(weight).alias("__w")), "term").select(id_col, "term", "tf", (F.col("tf") * F.col("__w")).alias("score"))
+    return tf.join(broadcast_if_small(weights, weights.count(), BROADCAST_ROWS), "term").select(id_col, "term", "tf", (F.col("tf") * F.col("__w")).alias("score"))
 
 
 class TopicIndex:
@@ -195,3 +209,9 @@ def topic_chunks(spark, sf_dir: str) -> DataFrame:
 
 def chunk_term_weights(spark, sf_dir: str) -> DataFrame:
     return term_weights(table(spark, sf_dir, "chunks")).select("term", "df", "cf", F.round("ridf", 6).alias("ridf"))
+
+
+def chunk_term_scores(spark, sf_dir: str) -> DataFrame:
+    """Every term of every chunk with its frequency there times its residual idf."""
+    chunks = table(spark, sf_dir, "chunks")
+    return score_terms(chunks, term_weights(chunks)).withColumn("score", F.round("score", 6))

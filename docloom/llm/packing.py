@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordCache, column_type, map_arrow, materialize, table
@@ -25,12 +25,16 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
+def merge_ranks(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
+    """The tokenizer's merges, read once on the driver; of fixed size, so they go to the tasks in a broadcast and no executor needs the file."""
+    with open(vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+def encoder(ranks: dict[bytes, int] | None = None, pattern: str = PATTERN):
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks or merge_ranks(), special_tokens={})
 
 
 class TokenCounter:
@@ -40,8 +44,8 @@ class TokenCounter:
     spaces add up; they are looked up by word. Texts with other blanks are cut only at such spaces.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, pattern: str = PATTERN):
-        self.encode = encoder(vocabulary, pattern).encode_ordinary
+    def __init__(self, ranks: dict[bytes, int] | None = None, pattern: str = PATTERN):
+        self.encode = encoder(ranks, pattern).encode_ordinary
         self.words = WordCache(lambda raw: len(self.encode(raw)))
 
     def count(self, text: str) -> int:
@@ -58,8 +62,10 @@ def token_items(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts have no tokens and no item. Repeated rows count once.
     """
 
+    shared = documents.sparkSession.sparkContext.broadcast(merge_ranks(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        counter = TokenCounter(vocabulary)
+        counter = TokenCounter(shared.value)
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -136,7 +142,10 @@ def _pack(items: DataFrame, id_col: str, capacity: int, round_no: int) -> DataFr
 
 
 def pack_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(container, id, piece_no, first_token, n_tokens): every token of every document in exactly one container of ``capacity`` tokens.
+    """(container, id, piece_no, first_token, n_tokens, part, part_containers, part_bound): every token of every document in exactly one container of ``capacity`` tokens.
+
+    The last three are the certificate: the part a container was packed in, how many containers that part took, and how many no
+    packing of the part's items can do without. A container that a single piece fills is a part of its own.
 
     Method: bound-certified repacking. Items are dealt by hash into parts of about ``part_items`` and packed best-fit decreasing;
     dual-feasible-function lower bounds certify the number of containers of a part. Parts that reach their bound are final. The others
@@ -150,8 +159,8 @@ def pack_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     items = materialize(token_items(documents, id_col, text_col, capacity, vocabulary), "items")
     key = [id_col, "piece_no"]
     full = items.where(F.col("n_tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), F.col(id_col).cast("string"), "piece_no"))
-    columns = ["container", id_col, "piece_no", "first_token", "n_tokens"]
-    done = [full.select(columns)]
+    columns = ["container", id_col, "piece_no", "first_token", "n_tokens", "part", "part_containers", "part_bound"]
+    done = [full.withColumn("part", F.lit("full")).withColumn("part_containers", F.lit(1)).withColumn("part_bound", F.lit(1)).select(columns)]
     loose = items.where(F.col("n_tokens") < capacity)
     for r in range(rounds + 1):
         n = loose.count()
@@ -159,7 +168,7 @@ def pack_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         parts = max(1, round(n / part_items))
         dealt = loose.select(id_col, "piece_no", "first_token", "n_tokens", F.pmod(F.xxhash64(F.lit(r), *key), F.lit(parts)).alias("part"))
-        packed = materialize(_pack(dealt, id_col, capacity, r), "packed")
+        packed = materialize(_pack(dealt, id_col, capacity, r), "packed").withColumn("part", F.concat_ws("-", F.lit(r), F.col("part"))).withColumnsRenamed({"n_containers": "part_containers", "bound": "part_bound"})
         if r:
             was = previous.select("container").distinct().count()
             if packed.select("container").distinct().count() >= was:
@@ -169,7 +178,7 @@ def pack_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         if r == rounds:
             done.append(packed.select(columns))
             break
-        settled = (F.col("n_containers") <= F.col("bound")) | (F.col("fill") == capacity)
+        settled = (F.col("part_containers") <= F.col("part_bound")) | (F.col("fill") == capacity)
         done.append(packed.where(settled).select(columns))
         loose = previous = packed.where(~settled)
     out = done[0]
@@ -179,10 +188,28 @@ def pack_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def packing_report(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, tokens, the lower bound of all tokens together, and the share of space used."""
+    """One row: containers, tokens, the lower bound of all tokens together, the share of space used, and the fullest container."""
     c = containers.groupBy("container").agg(F.sum("n_tokens").alias("t"))
-    return c.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.ceil(F.sum("t") / capacity).alias("least_containers"), (F.sum("t") / (F.count("*") * capacity)).alias("used"))
+    return c.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.ceil(F.sum("t") / capacity).alias("least_containers"), F.round(F.sum("t") / (F.count("*") * capacity), 6).alias("used"), F.max("t").alias("fullest"))
+
+
+def whole_documents(containers: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """(id, whole): of every packed document whether its pieces follow each other from the first token on, none but the last short of the capacity, and whether all their containers keep it."""
+    filled = containers.groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    rows = containers.join(filled, "container")
+    w = Window.partitionBy(id_col).orderBy("piece_no")
+    rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("last", F.lead("piece_no").over(w).isNull())
+    good = (F.col("before") == F.col("first_token")) & (F.col("last") | (F.col("n_tokens") == capacity)) & (F.col("fill") <= capacity)
+    return rows.groupBy(id_col).agg(F.bool_and(good).alias("whole"))
 
 
 def document_containers(spark, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def packed_documents(spark, sf_dir: str) -> DataFrame:
+    return whole_documents(document_containers(spark, sf_dir))
+
+
+def packing_totals(spark, sf_dir: str) -> DataFrame:
+    return packing_report(document_containers(spark, sf_dir))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_type, map_arrow, table
@@ -19,6 +19,8 @@ MAX_CHARS, OVERLAP = 512, 64
 #: Price of a cut behind each kind of boundary, the best first; a cut inside a word costs INSIDE.
 BOUNDARIES = ((re.compile(r"\n\s*\n\s*"), 0.0), (re.compile(r"\n"), 1.0), (re.compile(r"[.!?…][\"”’)»]*\s+"), 2.0), (re.compile(r"[;:]\s+"), 4.0), (re.compile(r",\s+"), 6.0), (re.compile(r"\s+"), 9.0))
 INSIDE = 40.0
+#: Price of a cut between a letter and its combining marks, where a run of marks leaves no other place.
+IN_MARKS = 400.0
 #: Distance of the places offered for cuts inside words where a text has no boundary.
 HARD_STEP = 32
 #: Weight of the squared relative deviation of a piece from the even size.
@@ -26,7 +28,7 @@ BALANCE = 6.0
 
 
 def cut_places(text: str, max_chars: int, overlap: int) -> tuple[list[int], list[float]]:
-    """All places a piece may end at, with their prices. Stretches without a boundary get places inside words, never before a combining mark."""
+    """All places a piece may end at, with their prices. Stretches without a boundary get places inside words, and before a combining mark only where marks alone follow for a step."""
     price: dict[int, float] = {}
     for pattern, cost in BOUNDARIES:
         for m in pattern.finditer(text):
@@ -39,11 +41,12 @@ def cut_places(text: str, max_chars: int, overlap: int) -> tuple[list[int], list
     for p in sorted(price):
         if p - last > min(HARD_STEP * 2, reach):
             step = max(1, min(HARD_STEP, reach // 2))
-            for q in range(last + step, p, step):
-                while q < p and unicodedata.combining(text[q]):
+            for at in range(last + step, p, step):
+                q = at
+                while q < min(p, at + step) and unicodedata.combining(text[q]):
                     q += 1
                 if q < p and q not in price:
-                    places.append((q, INSIDE))
+                    places.append((q, IN_MARKS if unicodedata.combining(text[q]) else INSIDE))
         places.append((p, price[p]))
         last = p
     places = sorted(dict(places).items())
@@ -54,8 +57,8 @@ def split_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) ->
     """(start, end) of the pieces of ``text``, in order; each at most ``max_chars`` long, neighbours sharing at most ``overlap``.
 
     Dynamic programming over the cut places: least sum of cut prices and squared deviations from the even size, among all ways to
-    cut. A piece begins at the earliest boundary not more than ``overlap`` before the end of the one before it; where there is none
-    it begins at that end. A text within the limit is one piece, an empty one none.
+    cut. A piece begins at the best boundary not more than ``overlap`` before the end of the one before it, of equal ones at the
+    earliest; where there is none it begins at that end. A text within the limit is one piece, an empty one none.
     """
     n = len(text)
     if n <= max_chars:
@@ -63,11 +66,11 @@ def split_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) ->
     if not 0 <= overlap < max_chars:
         raise ValueError("the overlap must be smaller than the piece")
     ends, prices = cut_places(text, max_chars, overlap)
-    soft = [0, *(p for p, c in zip(ends, prices) if c < INSIDE)]
+    soft = [p for p, c in zip(ends, prices) if c < INSIDE]
+    cost_of = dict(zip(ends, prices))
     starts = [0]
     for p in ends[:-1]:
-        k = bisect_left(soft, p - overlap)
-        starts.append(soft[k] if k < len(soft) and soft[k] <= p else p)
+        starts.append(min(soft[bisect_left(soft, max(1, p - overlap)) : bisect_left(soft, p)], key=cost_of.__getitem__, default=p))
     first = np.array(starts)  # first[i]: where a piece begins that follows cut i (cut 0: the start of the text)
     even = n / -(-n // max_chars)
     best = np.full(len(ends) + 1, np.inf)
@@ -123,3 +126,13 @@ def oversized_chunks(spark, sf_dir: str) -> DataFrame:
 def chunk_pieces(spark, sf_dir: str) -> DataFrame:
     """The pieces of the oversized chunks."""
     return split_oversized(table(spark, sf_dir, "chunks")).where("n_pieces > 1").drop("text").distinct()
+
+
+def rebuilt_chunks(spark, sf_dir: str) -> DataFrame:
+    """Round trip of the oversized chunks: the digest of the text their pieces without the overlaps make, and whether all pieces and overlaps keep the limits."""
+    p = split_oversized(table(spark, sf_dir, "chunks")).where("n_pieces > 1").distinct()
+    w = Window.partitionBy("chunk_id").orderBy("piece_no")
+    p = p.withColumn("shared", F.coalesce(F.lag("end").over(w) - F.col("start"), F.lit(0)))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", F.expr("substring(text, shared + 1)").alias("t"))))
+    good = (F.length("text") <= MAX_CHARS) & F.col("shared").between(0, OVERLAP) & (F.length("text") == F.col("end") - F.col("start"))
+    return p.groupBy("chunk_id").agg(F.md5(F.array_join(F.transform(parts, lambda x: x["t"]), "")).alias("digest"), F.bool_and(good).alias("within"))

@@ -20,8 +20,8 @@ PASSAGE_WORDS = 8
 LIMIT = 0.4
 #: Labelled documents the classifier is fitted on, at most.
 TRAIN_ROWS = 3000
-#: Calibrated probability from which a document is measured exactly where the caller doesn't want all measured. Fixed, far below even odds, as the exact share decides.
-SUSPECT = 0.005
+#: Calibrated probability from which the classifier alone would call a document repetitive.
+EVEN_ODDS = 0.5
 WORD_GRAMS = (1, 2, 4, 8)
 CHAR_GRAM = 10
 BUCKETS = 2048
@@ -54,14 +54,30 @@ def repeated_share(words: list, n: int = PASSAGE_WORDS) -> float:
     return sum(covered) / size
 
 
+def covered_shares(code: np.ndarray, start: np.ndarray, doc: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """:func:`repeated_share` of many texts at once, by 64-bit hashes of their n-grams: ``code``, place and text of every n-gram, and the number of words of each text."""
+    places = int(words.sum())
+    order = np.lexsort((start, code, doc))
+    again = np.zeros(len(code), bool)
+    again[order[1:]] = (code[order[1:]] == code[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    edge = np.zeros(places + 1, np.int64)
+    np.add.at(edge, start[again], 1)
+    np.add.at(edge, start[again] + n, -1)
+    covered = np.cumsum(edge[:-1]) > 0
+    ends = np.cumsum(words)
+    total = np.concatenate([[0], np.cumsum(covered)])
+    return (total[ends] - total[ends - words]) / np.maximum(words, 1)
+
+
 class FeatureExtractor:
     """Hashed word and character n-gram features of a batch of texts, all in NumPy.
 
     Every n-gram is hashed into BUCKETS counters of its document. For each n the features are the log-odds that two n-grams of
-    the document fall together and the share of the fullest counter; with them the logarithm of the length. Whole texts count.
+    the document fall together and the share of the fullest counter; with them the logarithm of the length, and last the share of
+    words in PASSAGE_WORDS-grams whose whole hash came before. Whole texts count.
     """
 
-    width = 2 * (len(WORD_GRAMS) + 1) + 1
+    width = 2 * (len(WORD_GRAMS) + 1) + 2
 
     def __init__(self):
         self.cache = WordCache(lambda raw: word_hash(w) if (w := _DIGITS.sub("", raw)) else 0)
@@ -85,12 +101,12 @@ class FeatureExtractor:
                 while n < size:
                     code = flat.copy() if n == 0 else code[:-1] * _MIX + flat[n:]
                     n += 1
-                    if not len(code):
-                        break
                 m = max(0, len(flat) - size + 1)
                 same = doc[:m] == doc[size - 1 : size - 1 + m]
                 cols += _evenness(code[:m][same], doc[:m][same], len(part))
-            cols += self._chars(part)
+                if size == PASSAGE_WORDS:
+                    share = covered_shares(code[:m][same], np.flatnonzero(same), doc[:m][same], np.bincount(doc, minlength=len(part)), size)
+            cols += [*self._chars(part), share]
             out[a : a + len(part)] = np.column_stack(cols)
         return out
 
@@ -171,16 +187,17 @@ def training_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return [r[0] for r in hash_sample(documents, id_col, rows).where(F.col(text_col).isNotNull()).select(text_col).limit(2 * rows).collect()]
 
 
-def measure_repetition(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, suspect: float = SUSPECT, exact_all: bool = True) -> DataFrame:
-    """(id, probability, share, repetitive) of every document.
+def measure_repetition(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, probability, likely, share, repetitive) of every document.
 
     Method: hashed word and character n-gram logistic regression, fitted on at most ``train_rows`` documents labelled by the
-    exact measure (no labelled table is given), probability-calibrated on a held-out third, and scored in Arrow batches. Every
-    document is measured exactly and judged by ``share >= LIMIT``; the probability is only a score, as it hardly sees a long text
-    said twice. Without ``exact_all`` only documents whose probability reaches ``suspect`` are measured, the others have share null
-    and count as not repetitive, which loses such texts. Where too few labels of one kind exist for a fit, all are measured.
+    exact measure (no labelled table is given), probability-calibrated on a held-out third, and scored in Arrow batches:
+    ``likely`` is a probability of at least EVEN_ODDS. The share of repeated words is counted in the same pass for every document
+    and decides: ``repetitive`` is ``share >= LIMIT``, as a fitted border lies near it but not on it. Equal n-grams are told by
+    64-bit hashes.
 
-    Null or empty text: probability 0 (or 1 without a model), share 0, not repetitive. Repeated rows give repeated rows. No shuffle.
+    Null or empty text: probability 0, share 0, not repetitive. Without enough labels of both kinds for a fit the probability is the
+    share's verdict. Repeated rows give repeated rows. No shuffle.
     """
     model = fit(training_texts(documents, id_col, text_col, train_rows))
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -189,12 +206,13 @@ def measure_repetition(documents: DataFrame, id_col: str = "doc_id", text_col: s
         features = FeatureExtractor()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            prob = shared.value.probability(features(texts)) if shared.value else np.ones(len(texts))
-            prob = np.where([bool(t) for t in texts], prob, 0.0 if shared.value else 1.0)
-            share = [repeated_share(normal_words(t)) if exact_all or p >= suspect or not t else None for t, p in zip(texts, prob)]
-            yield [batch.column(0), prob, share, [s is not None and s >= LIMIT for s in share]]
+            x = features(texts)
+            share = x[:, -1]
+            prob = shared.value.probability(x) if shared.value else (share >= LIMIT).astype(float)
+            prob = np.where([bool(t) for t in texts], prob, 0.0)
+            yield [batch.column(0), prob, prob >= EVEN_ODDS, share, share >= LIMIT]
 
-    schema = f"`{id_col}` {column_type(documents, id_col)}, probability double, share double, repetitive boolean"
+    schema = f"`{id_col}` {column_type(documents, id_col)}, probability double, likely boolean, share double, repetitive boolean"
     return map_arrow(documents.select(id_col, text_col), run, schema)
 
 
@@ -203,4 +221,9 @@ def repetitive_documents(spark, sf_dir: str) -> DataFrame:
 
 
 def repetition_shares(spark, sf_dir: str) -> DataFrame:
-    return measure_repetition(table(spark, sf_dir, "documents")).select("doc_id", "share", "repetitive").distinct()
+    return measure_repetition(table(spark, sf_dir, "documents")).select("doc_id", F.round("share", 6).alias("share"), "repetitive").distinct()
+
+
+def classifier_check(spark, sf_dir: str) -> DataFrame:
+    """How far the classifier alone agrees with the measure: (likely, repetitive, documents)."""
+    return measure_repetition(table(spark, sf_dir, "documents")).groupBy("likely", "repetitive").agg(F.count("*").alias("documents"))
