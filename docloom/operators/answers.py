@@ -85,7 +85,8 @@ def answer(questions: DataFrame, chunks: DataFrame, dense_run: DataFrame | None
     rows = whole.select("query_id", "rank", F.col("chunk_id").alias("id"), F.col("text").alias("full"), "partial", "parts_used", "parts_total").join(hits.drop("text", "rank"), ["query_id", "id"])
     rows = materialize(rows, "rows")
     tiers = ranking.classify_tiers(rows.select("query_id", F.dense_rank().over(_by_rank()).alias("rank"), "score", "source", "article"))
-    joined = rows.join(tiers, "query_id")
+    place = headings.locator(*(F.col(c) for c in ("chapter", "chapter_title", "article", "article_title", "khoan", "level_labels", "language")))
+    joined = rows.join(tiers, "query_id").withColumn("locator", place).drop("level_labels")
     schema = f"query_id {questions.schema['query_id'].dataType.simpleString()}, tier string, answer string"
     answered = joined.groupBy("query_id").applyInPandas(_render, schema)
     rest = questions.select("query_id").join(rows.select("query_id"), "query_id", "left_anti")
@@ -118,8 +119,7 @@ def _render(frame: pd.DataFrame) -> pd.DataFrame:
             foot.append(f"[{notes[r.source]}]: {label} — trang {r.page or '?'}")
 
     def quote(r) -> str:
-        labels = r.level_labels if isinstance(r.level_labels, dict) else r.level_labels.asDict() if hasattr(r.level_labels, "asDict") else None
-        where = headings.locator(r.chapter, r.chapter_title, r.article, r.article_title, r.khoan, labels, r.language)
+        where = r.locator
         note = f"\n\n*(Trích {r.parts_used}/{r.parts_total} phần)*" if r.partial else ""
         mark = f" [{notes[r.source]}]" if r.source in notes else ""
         body = highlight(r.question, r.full, r.language == "en")

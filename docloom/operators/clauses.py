@@ -58,27 +58,24 @@ def assemble(hits: DataFrame, chunks: DataFrame, max_chars: int = MAX_CHARS) ->
         runs: list[list] = []
         for p in all_parts:
             last = runs[-1][-1] if runs else None
-            fits = last is not None and p["chunk_index"] - last["chunk_index"] == 1 and 0 <= p["page"] - last["page"] <= 1 and not _starts(p["text"])
+            fits = last is not None and p["chunk_index"] - last["chunk_index"] == 1 and 0 <= p["page"] - last["page"] <= 1 and not _starts(p["text"] or "")
             runs[-1].append(p) if fits else runs.append([p])
         run = next(r for r in runs if any(p["chunk_id"] == anchor for p in r))
         at = next(i for i, p in enumerate(run) if p["chunk_id"] == anchor)
         own = run[at]["text"]
-        if len(run) == 1 or _starts(run[0]["text"]):
+        if len(run) == 1 or _starts(run[0]["text"] or ""):
             return anchor, own, False, False, 1, 1
-        if sum(len(p["text"]) for p in run) + 2 * (len(run) - 1) <= max_chars:
-            return run[0]["chunk_id"], "\n\n".join(p["text"] for p in run), True, False, len(run), len(run)
-        low = high = at
-        size = len(own)
-        while True:
-            if low and size + len(run[low - 1]["text"]) + 2 <= max_chars:
-                low -= 1
-                size += len(run[low]["text"]) + 2
-            elif high + 1 < len(run) and size + len(run[high + 1]["text"]) + 2 <= max_chars:
-                high += 1
-                size += len(run[high]["text"]) + 2
-            else:
+        texts = [(p["text"] or "").strip() for p in run]
+        joined = lambda some: "\n\n".join(filter(None, some))
+        if sum(map(len, texts)) + 2 * (len(texts) - 1) <= max_chars:
+            return run[0]["chunk_id"], joined(texts), True, False, len(run), len(run)
+        first, end, room = at, at + 1, max_chars - len(texts[at])
+        while room > 0:  # a part must fit the room that is left; what joins it is paid afterwards
+            new = next((i for i in (first - 1, end) if 0 <= i < len(texts) and len(texts[i]) <= room), None)
+            if new is None:
                 break
-        return run[0]["chunk_id"], "\n\n".join(p["text"] for p in run[low : high + 1]), True, True, high - low + 1, len(run)
+            first, end, room = min(first, new), max(end, new + 1), room - len(texts[new]) - 2
+        return run[0]["chunk_id"], joined(texts[first:end]), True, True, end - first, len(run)
 
     joined = found.where(clause).drop("text").join(parts, ["source", "article", "khoan"]).withColumn("r", join_run("chunk_id", "parts"))
     columns = ["query_id", "rank", "chunk_id"]

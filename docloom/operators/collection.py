@@ -103,19 +103,23 @@ def clause_stats(chunks: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("clauses"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("split_clauses"), F.max("n").alias("largest"))
 
 
-def defects(text: Column, section: Column, khoan: Column) -> Column:
-    """Array of a chunk's defects: empty, ocr_corrupt, form_blank, stub, mislabelled, over_budget."""
-    t = F.coalesce(text, F.lit(""))
-    flag = lambda cond, name: F.when(cond, F.lit(name))
-    words = T.word_count(t)
+def defects(text: Column, article: Column, khoan: Column) -> Column:
+    """Array of a chunk's defects: empty (then no other), ocr_corrupt, form_blank, stub, mislabelled, over_budget.
+
+    ocr_corrupt needs both signs, digits inside words and missing diacritics, in a text that isn't short; mislabelled is a clause number on a form.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{T.BLANK}|{T.BLANK}$", "")
+    flag = lambda cond, name: F.when((t != "") & cond, F.lit(name))
+    form = T.is_form(t, T.AUDIT_MARKERS)
+    opening = F.exists(F.array(*map(F.lit, T.AUDIT_OPENINGS)), lambda m: F.startswith(F.lower(t), m))
     return F.array_compact(
         F.array(
-            flag(F.trim(t) == "", "empty"),
-            flag((F.trim(t) != "") & T.is_corrupt(t, F.lit(False)), "ocr_corrupt"),
-            flag(T.dot_share(t) > T.DOT_LEADER_SHARE, "form_blank"),
-            flag((F.trim(t) != "") & ((words < 12) | (F.length(F.trim(t)) < 60)), "stub"),
-            flag((section == "form") & (F.coalesce(khoan, F.lit("")) != ""), "mislabelled"),
-            flag(T.approx_tokens(t) > 258, "over_budget"),
+            F.when(t == "", F.lit("empty")),
+            flag((F.length(t) > T.AUDIT_MIN_CHARS) & (T.digit_in_word_share(t) > T.AUDIT_DIGITS) & (T.diacritic_ratio(t) < T.AUDIT_DIACRITICS), "ocr_corrupt"),
+            flag(form, "form_blank"),
+            flag((T.word_count(t) < T.STUB_WORDS) | (F.length(t) < T.STUB_CHARS), "stub"),
+            flag((F.concat(F.coalesce(article, F.lit("")), F.coalesce(khoan, F.lit(""))) != "") & (form | opening), "mislabelled"),
+            flag(T.approx_tokens(t) > T.AUDIT_TOKENS, "over_budget"),
         )
     )
 
@@ -123,13 +127,13 @@ def defects(text: Column, section: Column, khoan: Column) -> Column:
 def defect_audit(chunks: DataFrame) -> DataFrame:
     """(defect, chunks, share): how many chunks have each defect; a chunk can have several."""
     total = F.lit(chunks.count())
-    flagged = chunks.select(F.explode(defects(F.col("text"), F.col("section_type"), F.col("khoan"))).alias("defect"))
+    flagged = chunks.select(F.explode(defects(F.col("text"), F.col("article"), F.col("khoan"))).alias("defect"))
     return flagged.groupBy("defect").agg(F.count("*").alias("chunks"), F.round(F.count("*") / total, 6).alias("share"))
 
 
 def worst_sources(chunks: DataFrame, k: int = 8, kinds: int = 3) -> DataFrame:
     """(source, rank, defects, defect_rank, defect, n): the ``k`` sources with most defects and the ``kinds`` commonest of each."""
-    flagged = chunks.select("source", F.explode(defects(F.col("text"), F.col("section_type"), F.col("khoan"))).alias("defect"))
+    flagged = chunks.select("source", F.explode(defects(F.col("text"), F.col("article"), F.col("khoan"))).alias("defect"))
     per = flagged.groupBy("source", "defect").agg(F.count("*").alias("n"))
     totals = per.groupBy("source").agg(F.sum("n").alias("defects"))
     top = totals.orderBy(F.desc("defects"), "source").limit(k)
@@ -138,14 +142,28 @@ def worst_sources(chunks: DataFrame, k: int = 8, kinds: int = 3) -> DataFrame:
     return per.join(F.broadcast(top), "source").withColumn("defect_rank", nth).where(F.col("defect_rank") <= kinds).select("source", "rank", "defects", "defect_rank", "defect", "n")
 
 
+# The longest texts of a catalogue entry, and its years.
+CATALOGUE_CHARS, CATALOGUE_YEARS = {"title": 300, "title_en": 300, "doc_number": 80, "issuing_body": 120}, (1900, 2100)
+
+
 def checked_catalogue(catalogue: DataFrame) -> DataFrame:
-    """Catalogue rows with invalid fields set to null: title and others trimmed to a length, ``issued`` a real date, ``year`` in range; rows with nothing left are dropped."""
-    text = lambda c, most: F.when(F.length(F.trim(c)).between(1, most), F.trim(c)).alias(c)
-    shape = F.col("issued").rlike(r"^\d{4}-\d{2}-\d{2}$")
-    issued = F.when(shape & F.expr("try_to_date(issued, 'yyyy-MM-dd') is not null"), F.col("issued")).alias("issued")
-    year = F.when(F.col("year").between(1900, 2100), F.col("year")).alias("year")
-    out = catalogue.select("source", text("title", 300), text("title_en", 300), text("doc_number", 100), issued, text("issuing_body", 200), year)
-    return out.where(F.coalesce("title", "title_en", "doc_number", "issued", "issuing_body", F.col("year").cast("string")).isNotNull())
+    """(source, size, title, title_en, doc_number, issuing_body, issued, year) of the entries with any valid field; invalid ones are null.
+
+    Texts are trimmed and may be empty, which hides a wrong value, but not too long; ``issued`` has the shape of a date; ``year`` is in range.
+    """
+    text = lambda c, most: F.when(F.length(F.trim(c)) <= most, F.trim(c)).alias(c)
+    issued = F.when(F.trim("issued").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.trim("issued")).alias("issued")
+    year = F.when(F.col("year").between(*CATALOGUE_YEARS), F.col("year")).alias("year")
+    out = catalogue.select("source", "size", *(text(c, most) for c, most in CATALOGUE_CHARS.items()), issued, year)
+    return out.where(F.coalesce(*CATALOGUE_CHARS, "issued", F.col("year").cast("string")).isNotNull())
+
+
+def with_catalogue(files: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``files`` (source, size, ...) with the valid fields of their catalogue entry; an entry that records another size is of another file of that name and adds nothing."""
+    entries = checked_catalogue(catalogue).withColumnRenamed("size", "__size")
+    clash = [c for c in entries.columns if c in files.columns and c != "source"]
+    e = entries.drop(*clash).withColumnRenamed("source", "__source")
+    return files.join(e, (F.col("source") == F.col("__source")) & (F.col("__size").isNull() | (F.col("__size") == F.col("size"))), "left").drop("__source", "__size")
 
 
 def stale_ids(before: DataFrame, after: DataFrame) -> DataFrame:

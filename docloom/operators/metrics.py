@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import bigrams
+from docloom.plans.tables import carried, ranged
 
 KS = (1, 3, 5, 10)
 
@@ -105,26 +107,58 @@ def binomial_tail(b: int, c: int) -> float:
     return min(1.0, 2 * math.fsum(math.exp(log(i)) for i in range(min(b, c) + 1)))
 
 
-def bootstrap(values: DataFrame, column: str, rounds: int = 10_000, alpha: float = 0.05, seed: int = 42, paired: bool = False) -> DataFrame:
-    """(mean, low, high, p_value) by resampling the metric of each query; ``p_value`` only for paired differences.
+def draws(n: int, rounds: int, seed: int) -> np.ndarray:
+    """``rounds`` x ``n`` places below ``n``, those that Python's generator of that seed gives one ``randrange(n)`` after the other.
 
-    The sample is one number a query. It is collected into one task on purpose: resampling needs the generator's exact sequence.
+    The Mersenne Twister's words come from NumPy in bulk: a place is the top bits of a word, and words that give none below ``n`` are passed over.
+    """
+    version, state, _ = random.Random(seed).getstate()
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    shift, need = np.uint64(32 - n.bit_length()), n * rounds
+    parts, have = [], 0
+    while have < need:
+        some = bits.random_raw(int((need - have) * (1 << n.bit_length()) / n) + 64) >> shift
+        parts.append(some[some < n].astype(np.int32))
+        have += len(parts[-1])
+    return np.concatenate(parts)[:need].reshape(rounds, n)
+
+
+def _resampled(values: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    return values[draws(len(values), rounds, seed)].mean(axis=1)
+
+
+def bootstrap(values: DataFrame, column: str, rounds: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(mean, low, high): percentile interval of a mean by resampling the metric of each query, queries in order of id.
+
+    The sample is one number a query and comes into one task on purpose: resampling needs the generator's exact sequence. No rows, no result.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        xs = frame.sort_values("query_id")["v"].tolist()
-        n, rng = len(xs), random.Random(seed)
-        mean = math.fsum(xs) / n
-        means = sorted(math.fsum(rng.choices(xs, k=n)) / n for _ in range(rounds))
-        low, high = means[int(alpha / 2 * rounds)], means[min(int((1 - alpha / 2) * rounds), rounds - 1)]
-        p = float("nan")
-        if paired:
-            centred = [x - mean for x in xs]
-            p = sum(abs(math.fsum(rng.choices(centred, k=n)) / n) >= abs(mean) for _ in range(rounds)) / rounds
-        return pd.DataFrame([(mean, low, high, p)], columns=["mean", "low", "high", "p_value"])
+        xs = frame.sort_values("query_id")["v"].to_numpy(float)
+        means = np.sort(_resampled(xs, rounds, seed))
+        tail = alpha / 2
+        return pd.DataFrame([(xs.mean(), means[int(tail * rounds)], means[min(int((1 - tail) * rounds), rounds - 1)])], columns=["mean", "low", "high"])
 
     one = values.select("query_id", F.col(column).cast("double").alias("v"), F.lit(1).alias("g"))
-    return one.groupBy("g").applyInPandas(run, "mean double, low double, high double, p_value double")
+    return one.groupBy("g").applyInPandas(run, "mean double, low double, high double")
+
+
+def paired_test(a: DataFrame, b: DataFrame, column: str = "hit", rounds: int = 10_000, seed: int = 42) -> DataFrame:
+    """(n, diff, low, high, p_value) of the mean of ``b`` less that of ``a`` over their common queries.
+
+    The 95 % interval is the percentile one of the resampled differences; the p-value is the share of resamples of the centred
+    differences at least as far from zero as what was seen. Both begin with the seed. One task, as for :func:`bootstrap`.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        d = frame.sort_values("query_id")["v"].to_numpy(float)
+        seen, moved = d.mean(), np.sort(_resampled(d, rounds, seed))
+        p = (np.abs(_resampled(d - seen, rounds, seed)) >= abs(seen) - 1e-15).mean()
+        return pd.DataFrame([(len(d), seen, moved[int(0.025 * rounds)], moved[int(0.975 * rounds) - 1], p)], columns=["n", "diff", "low", "high", "p_value"])
+
+    x = a.select("query_id", F.col(column).cast("double").alias("x")).join(b.select("query_id", F.col(column).cast("double").alias("y")), "query_id")
+    return x.select("query_id", (F.col("y") - F.col("x")).alias("v"), F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "n int, diff double, low double, high double, p_value double")
 
 
 def latest_judgments(log: DataFrame) -> DataFrame:
@@ -214,13 +248,19 @@ def fuzzy_recall(pairs: DataFrame, reference: str = "reference", answer: str = "
 def latency_stats(times: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, n, mean, p50, p95, p99, per_second): percentiles are the sorted value at floor(n p) - 1, not interpolated.
 
-    The value at that place comes from a rank window within the group, not from a collected list.
+    Rows are ranged over partitions by group and value, so a group of any size spreads over many tasks; each adds the counts of the
+    partitions before it, which are one row per partition and group.
     """
-    w = Window.partitionBy(*group)
-    ranked = times.withColumn("__r", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("__r") == F.greatest(F.floor(F.col("__n") * p), F.lit(1)), F.col(value)))
-    mean = F.avg(value)
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.round(mean, 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.round(1000.0 / mean, 6).alias("per_second"))
+    key = F.struct(*group).alias("__key") if len(group) > 1 else F.col(group[0]).alias("__key")
+    rows, w = ranged(times.select(key, F.col(value).alias("__v")), "__key", ["__v"])
+    sums = rows.groupBy("__p", "__key").agg(F.count("*").alias("__c"), F.sum("__v").alias("__s"))
+    parts = Window.partitionBy("__key")
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__c").over(parts.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__c").over(parts)).withColumn("__mean", F.sum("__s").over(parts) / F.sum("__c").over(parts))
+    placed = carried(rows, sums.select("__p", "__key", "__before", "__n", "__mean"), "__key").withColumn("__r", F.row_number().over(w) + F.col("__before"))
+    at = lambda p: F.max(F.when(F.col("__r") == F.greatest(F.floor(F.col("__n") * p), F.lit(1)), F.col("__v")))
+    out = placed.groupBy("__key").agg(F.max("__n").alias("n"), F.max("__mean").alias("__mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    names = [F.col(f"__key.{g}").alias(g) for g in group] if len(group) > 1 else [F.col("__key").alias(group[0])]
+    return out.select(*names, "n", F.round("__mean", 6).alias("mean"), "p50", "p95", "p99", F.round(1000.0 / F.col("__mean"), 6).alias("per_second"))
 
 
 def pool(runs: DataFrame, depths: dict[str, int]) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import names, text
+from docloom.functions import headings, names, text
 from docloom.operators import answers, bm25, chunking, clauses, collection, dense, layout, metrics, ranking
 from docloom.plans.tables import materialize, read
 from docloom.streaming import ingest
@@ -115,7 +115,7 @@ def hits_at_1(run: DataFrame, rel: DataFrame) -> DataFrame:
 
 def clause_locators(s: SparkSession, d: str) -> DataFrame:
     c = chunks(s, d)
-    return c.select("chunk_id", text.legal_locator(*(F.col(x) for x in ("article", "article_title", "khoan", "chapter", "chapter_title"))).alias("locator"))
+    return c.select("chunk_id", headings.locator(*(F.col(x) for x in ("chapter", "chapter_title", "article", "article_title", "khoan", "level_labels", "language"))).alias("locator"))
 
 
 def best_answers(s: SparkSession, d: str) -> DataFrame:
@@ -152,8 +152,9 @@ def queries() -> dict[str, Query]:
         "recall_by_depth": lambda s, d: metrics.recall_by_depth(bm25_run(s, d, 100), qrels(s, d)),
         "failure_causes": lambda s, d: metrics.failure_causes(bm25_run(s, d, 10), qrels(s, d), chunks(s, d).select(F.col("chunk_id").alias("id"), "source")),
         "mcnemar": lambda s, d: metrics.mcnemar(hits_at_1(bm25_run(s, d, 1), qrels(s, d)), hits_at_1(coverage_run(s, d, 1), qrels(s, d))).drop("p_value"),
-        "mcnemar_test": lambda s, d: metrics.mcnemar(hits_at_1(bm25_run(s, d, 1), qrels(s, d)), hits_at_1(coverage_run(s, d, 1), qrels(s, d))),
-        "bootstrap_ci": lambda s, d: metrics.bootstrap(metrics.per_query_metrics(bm25_run(s, d, 10), qrels(s, d), 10), "ndcg", rounds=1000),
+        "mcnemar_test": lambda s, d: metrics.mcnemar(hits_at_1(bm25_run(s, d, 1), qrels(s, d)), hits_at_1(coverage_run(s, d, 1), qrels(s, d))).withColumn("p_value", F.round("p_value", 9)),
+        "bootstrap_ci": lambda s, d: metrics.bootstrap(metrics.per_query_metrics(bm25_run(s, d, 10), qrels(s, d), 10), "ndcg"),
+        "paired_test": lambda s, d: metrics.paired_test(hits_at_1(coverage_run(s, d, 1), qrels(s, d)), hits_at_1(bm25_run(s, d, 1), qrels(s, d))),
         "latest_judgments": lambda s, d: metrics.latest_judgments(read(s, d, "judgments")),
         "judging_stats": lambda s, d: metrics.judging_stats(read(s, d, "judgments")),
         "kappa": lambda s, d: metrics.kappa(read(s, d, "judgments"), 1, 3),
@@ -167,7 +168,7 @@ def queries() -> dict[str, Query]:
         "text_flags": text_flags,
         "chunk_keys": lambda s, d: chunks(s, d).select("chunk_id", text.chunk_id(F.col("source"), F.col("chunk_index"), F.col("text")).alias("key"), text.point_id(F.col("chunk_id")).cast("string").alias("point_id")),
         "clause_locators": clause_locators,
-        "unwrapped": lambda s, d: chunks(s, d).select("chunk_id", F.md5(text.squash(text.unwrap(F.col("text")))).alias("digest")),
+        "unwrapped": lambda s, d: chunks(s, d).select("chunk_id", F.md5(text.unwrap(F.col("text"))).alias("digest")),
         "content_tokens": lambda s, d: chunks(s, d).select("chunk_id", F.size(text.content_tokens(F.col("text"), F.coalesce("language", F.lit("")) == "en")).alias("topical"), F.size(text.bigrams(F.col("text"))).alias("pairs")),
         "defect_audit": lambda s, d: collection.defect_audit(chunks(s, d)),
         "worst_sources": lambda s, d: collection.worst_sources(chunks(s, d)),
@@ -182,12 +183,14 @@ def queries() -> dict[str, Query]:
         "stem_conflicts": lambda s, d: collection.stem_conflicts(read(s, d, "catalogue").select("source").unionByName(chunks(s, d).select(F.regexp_replace("source", r"\.pdf$", ".docx").alias("source")))),
         "upload_conflicts": uploads,
         "checked_catalogue": lambda s, d: collection.checked_catalogue(read(s, d, "catalogue")),
+        "file_catalogue": lambda s, d: collection.with_catalogue(read(s, d, "catalogue").select("source", (F.coalesce("size", F.lit(0)) + F.coalesce(F.col("year") % 2, F.lit(0))).alias("size")), read(s, d, "catalogue")),
         "clause_stats": lambda s, d: collection.clause_stats(chunks(s, d)),
         "clause_runs": lambda s, d: clauses.clause_runs(chunks(s, d)),
         "merged_headings": lambda s, d: clauses.merge_headings(chunks(s, d)).select("source", "chunk_index", F.md5("text").alias("digest")),
         "page_fallback": lambda s, d: clauses.page_fallback(chunks(s, d).withColumn("page", F.when(F.col("section_type") != "khoan", F.col("page")))).select("chunk_id", "page_filled"),
         "page_lookup": page_lookup,
-        "document_numbers": lambda s, d: read(s, d, "documents").select("doc_id", layout.document_number(F.col("text")).alias("number"), layout.usable_caption(F.split("text", "\n")[0]).alias("caption")),
+        "document_numbers": lambda s, d: read(s, d, "documents").select("doc_id", layout.document_number(F.col("text")).alias("number"), layout.usable_caption(text.squash(F.split("text", "\n")[0])).alias("caption")),
+        "section_words": lambda s, d: chunks(s, d).select("chunk_id", F.md5(text.normalize_headers(F.col("text"))).alias("headers"), F.md5(layout.clean_recognised(F.col("text"))).alias("recognised")),
         "evenly_spaced": lambda s, d: layout.evenly_spaced(read(s, d, "pool_topics").select("topic_id"), 10, ["topic_id"]),
         "stale_ids": lambda s, d: collection.stale_ids(stores(s, d)[0], stores(s, d)[2]),
         "reindex_plan": lambda s, d: ingest.reindex_plan(stores(s, d)[1], stores(s, d)[2]),

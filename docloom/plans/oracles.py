@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.functions.text import FORM_MARKERS, STOPWORDS_EN, STOPWORDS_VI, VI_LETTERS
+from docloom.functions.headings import LEGAL, NAMES
+from docloom.functions.text import AUDIT_MARKERS, AUDIT_OPENINGS, FORM_MARKERS, STOPWORDS_EN, STOPWORDS_VI, VI_LETTERS, unaccented
 
 SEP = r"[^\p{L}\p{N}_]+"
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
@@ -70,18 +71,43 @@ def flag_columns() -> str:
 
 
 def defect_list() -> str:
-    t = "coalesce(text, '')"
-    wc = f"(CASE WHEN {squash(t)} = '' THEN 0 ELSE len(string_split({squash(t)}, ' ')) END)"
-    alnum = r"length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))"
+    """The audit's rules, written from their definition: t is the text without outer blanks."""
+    t = f"regexp_replace(coalesce(text, ''), '^{BLANK}|{BLANK}$', '', 'g')"
+    words = f"len(string_split({squash(t)}, ' '))"
+    dots = f"(length({t}) - length(regexp_replace({t}, '[.…]{{4,}}', '', 'g'))) / greatest(length({t}), 1)"
+    wedged = f"len(regexp_extract_all({t}, '\\p{{L}}+\\p{{Nd}}+\\p{{L}}+')) / greatest(len(regexp_extract_all({t}, '\\p{{L}}+')), 1)"
+    low = f"regexp_replace(lower({t}), '[^\\p{{L}}]', '', 'g')"
+    marked = f"CASE WHEN {low} = '' THEN 0 ELSE length(regexp_replace({low}, '[^{VI_LETTERS}]', '', 'g')) / length({low}) END"
+    form = f"({dots} > 0.08 OR " + " + ".join(f"contains(left(lower({t}), 400), '{m}')::INT" for m in AUDIT_MARKERS) + " >= 2)"
+    opening = " OR ".join(f"starts_with(lower({t}), '{m}')" for m in AUDIT_OPENINGS)
     items = [
-        (f"trim({t}) = ''", "empty"),
-        (f"trim({t}) <> '' AND ({alnum} = 0 OR (length(text) - length(replace(text, '?', ''))) / {alnum} > 0.10)", "ocr_corrupt"),
-        (f"{DOTS} > 0.08", "form_blank"),
-        (f"trim({t}) <> '' AND ({wc} < 12 OR length(trim({t})) < 60)", "stub"),
-        ("section_type = 'form' AND coalesce(khoan, '') <> ''", "mislabelled"),
-        (f"floor({wc} * 1.6) > 258", "over_budget"),
+        (f"length({t}) > 80 AND {wedged} > 0.06 AND {marked} < 0.12", "ocr_corrupt"),
+        (form, "form_blank"),
+        (f"{words} < 12 OR length({t}) < 60", "stub"),
+        (f"(coalesce(article, '') <> '' OR coalesce(khoan, '') <> '') AND ({form} OR {opening})", "mislabelled"),
+        (f"floor({words} * 1.6) > 258", "over_budget"),
     ]
-    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in items) + "], lambda x: x IS NOT NULL)"
+    return f"list_filter(CASE WHEN {t} = '' THEN ['empty'] ELSE [" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in items) + "] END, lambda x: x IS NOT NULL)"
+
+
+def citation() -> str:
+    """Locator by the chunk's own heading patterns, over t(c, ct, a, ttl, k, labels, language)."""
+
+    def named(level: str, value: str, title: str) -> str:
+        whens = []
+        for label, (vi, en) in NAMES[level].items():
+            text = lambda form: f"CASE WHEN {title} <> '' THEN {title} ELSE {value} END" if form == "{t}" else "'" + form.replace("{v}", f"' || {value} || '") + "'"
+            whens.append(f"WHEN labels.{level} = '{label}' THEN CASE WHEN language = 'en' THEN {text(en)} ELSE {text(vi)} END")
+        return "CASE " + " ".join(whens) + f" ELSE {value} END"
+
+    legal = ", ".join(f"'{x}'" for x in sorted(LEGAL))
+    return f"""t AS (SELECT chunk_id, trim(coalesce(article, ''), ' ') AS a, trim(coalesce(article_title, ''), ' ') AS ttl, trim(coalesce(khoan, ''), ' ') AS k, trim(coalesce(chapter, ''), ' ') AS c, trim(coalesce(chapter_title, ''), ' ') AS ct, level_labels AS labels, language,
+            list_filter([level_labels.chapter, level_labels.article, level_labels.khoan], lambda x: coalesce(x, '') <> '') AS known FROM ch),
+          u AS (SELECT *, CASE WHEN a <> '' THEN {named('article', 'a', 'ttl')} WHEN c <> '' THEN {named('chapter', 'c', 'ct')} ELSE '' END AS part, CASE WHEN k <> '' THEN {named('khoan', 'k', "''")} ELSE '' END AS leaf FROM t),
+          v AS (SELECT *, CASE WHEN part = '' THEN upper(left(leaf, 1)) || substring(leaf, 2) WHEN leaf = '' THEN part ELSE part || ', ' || leaf END AS head, CASE WHEN a <> '' THEN ttl WHEN c <> '' THEN ct ELSE '' END AS title FROM u)
+          SELECT chunk_id, CASE WHEN len(known) > 0 AND NOT list_has_any(known, [{legal}]) THEN CASE WHEN title = '' OR ends_with(head, title) THEN head ELSE head || ' – ' || title END
+            WHEN a <> '' THEN 'Điều ' || a || CASE WHEN k <> '' THEN ', Khoản ' || k ELSE '' END || CASE WHEN ttl <> '' THEN ' – ' || ttl ELSE '' END
+            WHEN c <> '' THEN 'Chương ' || c || CASE WHEN ct <> '' THEN ' – ' || ct ELSE '' END ELSE '' END AS locator FROM v"""
 
 
 def mean_metrics() -> str:
@@ -109,9 +135,25 @@ def sql() -> dict[str, str]:
     status = f"""{CH}, rs AS (SELECT coalesce(f.source, c.source) AS source, CASE WHEN f.source IS NULL THEN 'orphan' WHEN c.n IS NULL THEN 'not_indexed' ELSE 'indexed' END AS status, coalesce(c.n, 0) AS chunks
       FROM (SELECT DISTINCT source FROM catalogue) f FULL JOIN (SELECT source, count(*) AS n FROM ch GROUP BY source) c ON f.source = c.source)"""
     per_topic = f"WITH {BM25}, ba AS (SELECT t.topic_id AS query_id, t.reference_answer AS reference, id, ch.text AS answer FROM pool_topics t JOIN bm ON bm.query_id = t.topic_id AND rank = 1 JOIN ch ON ch.chunk_id = id WHERE t.reference_answer IS NOT NULL)"
-    checked = """SELECT source, CASE WHEN length(trim(title)) BETWEEN 1 AND 300 THEN trim(title) END AS title, CASE WHEN length(trim(title_en)) BETWEEN 1 AND 300 THEN trim(title_en) END AS title_en,
-      CASE WHEN length(trim(doc_number)) BETWEEN 1 AND 100 THEN trim(doc_number) END AS doc_number, CASE WHEN regexp_matches(issued, '^\\d{4}-\\d{2}-\\d{2}$') AND try_cast(issued AS DATE) IS NOT NULL THEN issued END AS issued,
-      CASE WHEN length(trim(issuing_body)) BETWEEN 1 AND 200 THEN trim(issuing_body) END AS issuing_body, CASE WHEN year BETWEEN 1900 AND 2100 THEN year END AS year FROM catalogue"""
+    kept = lambda c, most: f"CASE WHEN length(trim({c}, ' ')) <= {most} THEN trim({c}, ' ') END AS {c}"
+    checked = f"""SELECT source, size, {kept('title', 300)}, {kept('title_en', 300)}, {kept('doc_number', 80)}, {kept('issuing_body', 120)},
+      CASE WHEN regexp_matches(trim(issued, ' '), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN trim(issued, ' ') END AS issued, CASE WHEN year BETWEEN 1900 AND 2100 THEN year END AS year FROM catalogue"""
+    valid = f"(SELECT * FROM ({checked}) WHERE coalesce(title, title_en, doc_number, issued, issuing_body, year::VARCHAR) IS NOT NULL)"
+    numbers = ["(?i)\\b([0-9]+/[0-9]{4}/QH[0-9]+)\\b", *(f"(?im)^s[o?ố].{{0,3}}:\\s*({x})\\b" for x in ("[0-9]+/[0-9]{4}/TT-BGD.{1,2}T", "[0-9]+\\s*/\\s*Q.{1,2}-.{0,3}HQG", "[0-9]+\\s*/\\s*Q.{1,2}-.{0,3}HQT", "[0-9]+[-\\s]TB/DHQ.{0,2}-CTSV"))]
+    number = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(left(text, 2000), '{n}', 1)), '')" for n in numbers) + ", '')"
+    caption = """length(letters) >= 8 AND length(letters) / length(line) >= 0.4 AND length(line) <= 160 AND NOT regexp_matches(lower(line), '^\\s*(cộng hòa|độc lập|trường đại học|đại học quốc gia|số\\s*:|kính gửi)')
+            AND (regexp_matches(lower(line), '^\\s*(bảng|biểu|phụ\\s*lục|mẫu|khung|tiêu\\s*chí|danh\\s*mục|mức|điều\\s+[0-9]+|chương\\s+[ivxlcdm0-9]+)') OR length(regexp_replace(letters, '[^\\p{Lu}]', '', 'g')) / length(letters) > 0.7)"""
+    accents = {c: "[" + c + "".join(v for v in VI_LETTERS if unaccented(v) == c) + "]" for c in "aeiou"}
+    loose = {"Điều": f"D{accents['i']}{accents['e']}u", "Chương": f"Ch{accents['u']}{accents['o']}ng", "Mục": f"M{accents['u']}c", "Khoản": f"Kho{accents['a']}n"}
+    loose["Điều"] = f"D{accents['i']}{accents['e']}{accents['u']}"
+    loose["Khoản"] = f"Kh{accents['o']}{accents['a']}n"
+    roman = {"Điều": "[0-9]+", "Chương": "[IVXLCDM0-9]+", "Mục": "[IVXLCDM0-9]+", "Khoản": "[0-9]+"}
+    begin = {"Điều": f"d{accents['i']}.{{0,2}}u", "Chương": f"ch{accents['u']}.{{0,3}}ng", "Mục": f"m{accents['u']}.{{0,1}}c", "Khoản": f"kho{accents['a']}.{{0,1}}n"}
+    headers, recognised = "text", "text"
+    for w in loose:
+        headers = f"regexp_replace({headers}, '(?im)^\\s*{begin[w]}\\s+({roman[w]})', '{w} \\1', 'g')"
+        recognised = f"regexp_replace({recognised}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){loose[w]}\\s+({roman[w]})', '\\1{w} \\2', 'g')"
+    recognised = f"trim(regexp_replace(regexp_replace({recognised}, '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ')"
     return {
         "term_stats": f"WITH {BM25} SELECT term, df, cf, round(idf, 6) AS idf FROM terms",
         "bm25_stats": f"WITH {BM25} SELECT n_docs, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM st, av",
@@ -133,6 +175,8 @@ def sql() -> dict[str, str]:
           SELECT CASE WHEN query_id IN (SELECT t.query_id FROM top t JOIN qr USING (query_id, id)) THEN 'hit' WHEN query_id IN (SELECT t.query_id FROM top t JOIN rel r USING (query_id, source)) THEN 'wrong_clause' ELSE 'wrong_document' END AS cause, count(*) AS queries FROM (SELECT DISTINCT query_id FROM qr) GROUP BY 1""",
         "mcnemar": f"""WITH {BM25}, {COVER}, {QRELS} SELECT sum((x > 0 AND y > 0)::INT) AS both, sum((x > 0 AND y = 0)::INT) AS only_a, sum((x = 0 AND y > 0)::INT) AS only_b, sum((x = 0 AND y = 0)::INT) AS neither FROM {hit1('bm', 'x')} JOIN {hit1('cov', 'y')} USING (query_id)""",
         "latest_judgments": f"WITH {LATEST} SELECT topic_id, chunk_id, pass_no, grade FROM lj",
+        "mcnemar_test": f"""WITH {BM25}, {COVER}, {QRELS}, c AS (SELECT sum((x > 0 AND y > 0)::INT) AS both, sum((x > 0 AND y = 0)::INT) AS only_a, sum((x = 0 AND y > 0)::INT) AS only_b, sum((x = 0 AND y = 0)::INT) AS neither FROM {hit1('bm', 'x')} JOIN {hit1('cov', 'y')} USING (query_id))
+          SELECT c."both", only_a, only_b, neither, CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))) FROM range(0, 1 + least(only_a, only_b)::BIGINT) r(i))), 9) END AS p_value FROM c""",
         "judging_stats": f"""WITH {LATEST} SELECT pass_no, count(*) AS judged, count(DISTINCT topic_id) AS topics, round(avg((grade = 0)::INT), 6) AS share0, round(avg((grade = 1)::INT), 6) AS share1, round(avg((grade = 2)::INT), 6) AS share2,
           round(sum((grade >= 1)::INT) / count(DISTINCT topic_id), 6) AS relevant_per_topic FROM lj GROUP BY pass_no""",
         "kappa": f"""WITH {LATEST}, p AS (SELECT a.grade AS x, b.grade AS y FROM lj a JOIN lj b USING (topic_id, chunk_id) WHERE a.pass_no = 1 AND b.pass_no = 3), u AS (SELECT 3 AS levels, x, y FROM p UNION ALL SELECT 2, (x >= 1)::INT, (y >= 1)::INT FROM p),
@@ -147,8 +191,13 @@ def sql() -> dict[str, str]:
           FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS m FROM events WHERE value > 0) GROUP BY event_type""",
         "text_flags": f"WITH {CH} SELECT {flag_columns()} FROM ch",
         "chunk_keys": f"WITH {CH} SELECT chunk_id, left(md5(source || '::' || chunk_index || '::' || {squash('text')}), 16) AS key, ('0x' || chunk_id)::UBIGINT::VARCHAR AS point_id FROM ch",
-        "clause_locators": f"""WITH {CH}, t AS (SELECT chunk_id, trim(article) AS a, trim(article_title) AS ttl, trim(khoan) AS k, trim(chapter) AS c, trim(chapter_title) AS ct FROM ch)
-          SELECT chunk_id, CASE WHEN a <> '' AND k <> '' THEN 'Điều ' || a || ', Khoản ' || k || CASE WHEN ttl <> '' THEN ' – ' || ttl ELSE '' END WHEN a <> '' THEN 'Điều ' || a || CASE WHEN ttl <> '' THEN ' – ' || ttl ELSE '' END WHEN c <> '' THEN 'Chương ' || c || CASE WHEN ct <> '' THEN ' – ' || ct ELSE '' END ELSE '' END AS locator FROM t""",
+        "clause_locators": f"WITH {CH}, {citation()}",
+        "unwrapped": f"""WITH {CH}, l AS (SELECT chunk_id, string_split(text, chr(10)) AS l FROM ch), s AS (SELECT *, list_transform(range(0, len(l) + 1), lambda i: i > 0 AND i < len(l) AND (l[i] <> '' OR i = 1) AND (l[i + 1] <> '' OR i + 1 = len(l))) AS single FROM l)
+          SELECT chunk_id, md5(array_to_string(list_transform(range(1, len(l) + 1), lambda i: regexp_replace(regexp_replace(l[i], CASE WHEN single[i] THEN '^[ \\t]+' ELSE '$^' END, ''), CASE WHEN single[i + 1] THEN '[ \\t]+$' ELSE '$^' END, '') || CASE WHEN i = len(l) THEN '' WHEN single[i + 1] THEN ' ' ELSE chr(10) END), '')) AS digest FROM s""",
+        "section_words": f"WITH {CH} SELECT chunk_id, md5({headers}) AS headers, md5({recognised}) AS recognised FROM ch",
+        "document_numbers": f"WITH l AS (SELECT doc_id, text, {squash("string_split(text, chr(10))[1]")} AS line FROM documents), x AS (SELECT *, regexp_replace(line, '[^\\p{{L}}]', '', 'g') AS letters FROM l) SELECT doc_id, {number} AS number, coalesce({caption}, false) AS caption FROM x",
+        "group_slugs": """SELECT doc_group, trim(regexp_replace(strip_accents(replace(lower(label), 'đ', 'd')), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+          CASE WHEN s = '' THEN 'document' ELSE s END || '.pdf' AS file_name FROM (SELECT *, trim(regexp_replace(regexp_replace(trim(nfc_normalize(regexp_extract(label, '[^/\\\\]*$'))), '[<>:"/\\\\|?*\\s]+', '-', 'g'), '-{2,}', '-', 'g'), '-. ') AS s FROM doc_groups)""",
         "content_tokens": f"""WITH {CH}, x AS (SELECT chunk_id, language, list_distinct({long_tok('text')}) AS w, {pairs('text')} AS p FROM ch) SELECT chunk_id, len(list_filter(w, lambda t: NOT list_contains([{stop_vi}], t) AND NOT (coalesce(language, '') = 'en' AND list_contains([{stop_en}], t)))) AS topical, len(p) AS pairs FROM x""",
         "defect_audit": f"WITH {CH} SELECT defect, count(*) AS chunks, round(count(*) / (SELECT count(*) FROM ch), 6) AS share FROM (SELECT unnest({defect_list()}) AS defect FROM ch) GROUP BY defect",
         "worst_sources": f"""WITH {CH}, f AS (SELECT source, unnest({defect_list()}) AS defect FROM ch), p AS (SELECT source, defect, count(*) AS n FROM f GROUP BY source, defect), t AS (SELECT source, sum(n) AS defects, row_number() OVER (ORDER BY sum(n) DESC, source) AS rank FROM p GROUP BY source QUALIFY rank <= 8)
@@ -165,7 +214,8 @@ def sql() -> dict[str, str]:
         "upload_conflicts": f"""WITH b AS (SELECT doc_id AS upload_id, coalesce(title, 'untitled') || '.pdf' AS name, doc_group, sha256(text) AS sha FROM documents), c AS (SELECT title || '.docx' AS source, 'so-tay' AS doc_group, sha256(source) AS sha FROM catalogue),
           x AS (SELECT *, {stem('name')} AS stem, row_number() OVER (PARTITION BY sha ORDER BY upload_id) AS sn, row_number() OVER (PARTITION BY {stem('name')} ORDER BY upload_id) AS tn FROM b)
           SELECT upload_id, CASE WHEN sha IN (SELECT sha FROM c) THEN 'duplicate_corpus' WHEN sn > 1 THEN 'duplicate_batch' WHEN tn > 1 THEN 'name_batch' WHEN EXISTS (SELECT 1 FROM c WHERE {stem('c.source')} = x.stem AND c.doc_group = x.doc_group) THEN 'name_same_group' WHEN EXISTS (SELECT 1 FROM c WHERE {stem('c.source')} = x.stem) THEN 'name_other_group' ELSE 'ok' END AS verdict FROM x""",
-        "checked_catalogue": f"SELECT * FROM ({checked}) WHERE coalesce(title, title_en, doc_number, issued, issuing_body, year::VARCHAR) IS NOT NULL",
+        "file_catalogue": f"""SELECT f.source, f.size, title, title_en, doc_number, issuing_body, issued, year FROM (SELECT source, coalesce(size, 0) + coalesce(year % 2, 0) AS size FROM catalogue) f LEFT JOIN {valid} e ON e.source = f.source AND (e.size IS NULL OR e.size = f.size)""",
+        "checked_catalogue": f"SELECT * FROM {valid}",
         "clause_stats": f"WITH {CH}, g AS (SELECT count(*) AS n FROM ch WHERE article <> '' AND khoan <> '' GROUP BY source, article, khoan) SELECT count(*) AS clauses, sum((n > 1)::INT) AS split_clauses, max(n) AS largest FROM g",
         "clause_runs": f"""WITH {CH}, m AS (SELECT *, CASE WHEN chunk_index - lag(chunk_index) OVER w = 1 AND page - lag(page) OVER w BETWEEN 0 AND 1 AND NOT {SECTION} THEN 0 ELSE 1 END AS new FROM ch WHERE article <> '' AND khoan <> '' WINDOW w AS (PARTITION BY source, article, khoan ORDER BY page, chunk_index, chunk_id)),
           r AS (SELECT *, sum(new) OVER (PARTITION BY source, article, khoan ORDER BY page, chunk_index, chunk_id) AS run_no FROM m) SELECT source, article, khoan, run_no, min(chunk_index) AS first_index, max(chunk_index) AS last_index, count(*) AS parts, sum(length(text)) AS chars FROM r GROUP BY source, article, khoan, run_no""",

@@ -43,20 +43,22 @@ class TableStore:
         return version
 
     def publish(self, table: str, version: str) -> str | None:
-        """Make ``version`` current by renaming a finished pointer file over the old one; returns the version before, for a rollback."""
+        """Make ``version`` current; returns the version before, for a rollback. The pointer file is replaced in one rename, so readers see the old or the new version and a crash leaves one of them."""
         before = self.current(table)
-        new, target = self._path(table, f".CURRENT-{uuid.uuid4().hex}"), self._path(table, "CURRENT")
-        fs = self._fs(target)
-        out = fs.create(new)
+        self._replace_file(self._path(table, "CURRENT"), version)
+        return before
+
+    def _replace_file(self, target, content: str) -> None:
+        new = self._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+        out = self._fs(target).create(new)
         try:
-            out.write(bytearray(version.encode()))
+            out.write(bytearray(content.encode()))
         finally:
             out.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(new, target):
-            raise OSError(f"{target} can't be replaced")
-        return before
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf).rename(new, target, options)
 
     def replace(self, table: str, df: DataFrame) -> str:
         version = self.write(table, df)

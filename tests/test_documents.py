@@ -31,7 +31,7 @@ def test_long_paragraphs_are_cut_at_sentences_with_one_sentence_of_overlap():
 def test_budget_rebalances_the_tail():
     words = "từ " * 330
     parts = chunking.fit_budget(words.strip(), 250)
-    assert [len(p.split()) for p in parts] == [156, 87, 87] or all(len(p.split()) <= 156 for p in parts)
+    assert [len(p.split()) for p in parts] == [156, 87, 87]
     assert " ".join(parts).split() == words.split()
     assert chunking.fit_budget("ngắn") == ["ngắn"]
 
@@ -145,7 +145,7 @@ def test_streamed_documents_become_chunks_and_replace_their_source(spark, tmp_pa
     for n, (source, text) in enumerate([("a.pdf", BODY), ("b.pdf", "Một đoạn văn tự do đủ dài để được giữ lại."), ("a.pdf", "Bản mới của văn bản, ngắn hơn hẳn.")]):
         spark.createDataFrame([(source, text)], schema).coalesce(1).write.mode("append").json(str(inbox))
         ingest.ingest(spark.readStream.schema(schema).json(str(inbox)), store, str(tmp_path / "check")).awaitTermination()
-        assert n >= 0
+        assert store.current("chunks")
     got = {r.source: r.n for r in store.read("chunks").groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert got == {"a.pdf": 1, "b.pdf": 1}
     assert store.read("postings").select("source").distinct().count() == 2
@@ -175,7 +175,7 @@ def test_running_values_cross_partitions(spark):
     try:
         merged = {r.chunk_index: r.text for r in clauses.merge_headings(df).collect()}
         filled = {r.chunk_id: r.page_filled for r in clauses.page_fallback(df).collect()}
-        assert clauses._ranged(df)[0].select("__p").distinct().count() > 1
+        assert clauses.ranged(df, "source", clauses.PLACE)[0].select("__p").distinct().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     want, lead, page = {}, [], None

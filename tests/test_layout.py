@@ -17,9 +17,9 @@ def test_page_of_is_an_as_of_join(spark):
 
 
 def test_text_helpers(spark):
-    row = spark.createDataFrame([("Dieu 5   a\n\n\n\nb Khoan 2", "x\nSố: 12/QĐ-ĐHĐT\n", "BẢNG ĐIỂM HỌC KỲ", "của hiệu trưởng trường", ["a", None])], "a string, b string, c string, d string, e array<string>")
+    row = spark.createDataFrame([("Dieu 5   a\n\n\n\nb Khoan 2", "theo 3/2019/TT-BGDĐT\nSố: 12 /QĐ-ĐHQT\n", "BẢNG ĐIỂM HỌC KỲ", "của hiệu trưởng trường", ["a", None])], "a string, b string, c string, d string, e array<string>")
     got = row.select(layout.clean_recognised(F.col("a")), layout.document_number(F.col("b")), layout.usable_caption(F.col("c")), layout.usable_caption(F.col("d")), layout.header_candidate(F.col("e"))).first()
-    assert tuple(got) == ("Điều 5 a\n\nb Khoản 2", "12/QĐ-ĐHĐT", True, False, True)
+    assert tuple(got) == ("Điều 5 a\n\nb Khoản 2", "12 /QĐ-ĐHQT", True, False, True)
 
 
 def test_replicas_stay_near_and_unit(spark):
@@ -32,3 +32,10 @@ def test_replicas_stay_near_and_unit(spark):
 
 def test_even_sample(spark):
     assert [r.id for r in layout.evenly_spaced(spark.range(10), 3, ["id"]).collect()] == [0, 3, 6]
+
+
+def test_captions_stand_just_above_their_table(spark):
+    blocks = [("s", 1, 0.0, 10.0, 50.0, 20.0, "BẢNG ĐIỂM HỌC KỲ MỘT"), ("s", 1, 0.0, 30.0, 50.0, 40.0, "của hiệu trưởng trường đại học"), ("s", 1, 0.0, 42.0, 50.0, 48.0, "CỘNG HÒA XÃ HỘI CHỦ NGHĨA"), ("s", 1, 0.0, 300.0, 50.0, 310.0, "Danh mục các môn học")]
+    b = spark.createDataFrame(blocks, "source string, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    boxes = spark.createDataFrame([("s", 1, 1, 60.0), ("s", 1, 2, 500.0), ("s", 2, 1, 9.0)], "source string, page int, table_no int, y0 double")
+    assert {(r.page, r.table_no): r.caption for r in layout.table_captions(b, boxes).collect()} == {(1, 1): "BẢNG ĐIỂM HỌC KỲ MỘT", (1, 2): "", (2, 1): ""}
