@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
@@ -16,6 +16,8 @@ from docloom.plans.tables import broadcast_if_small, column_type, map_arrow, mat
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries scored together, and distinct query terms that are broadcast to the postings; more terms meet them by a shuffle.
 QUERY_BLOCK, BROADCAST_ROWS = 20_000, 500_000
+#: (posting, query) pairs that are scored at once.
+CELLS = 2_000_000
 
 
 @dataclass
@@ -59,6 +61,17 @@ def from_postings(rows: DataFrame) -> Bm25Index:
     return Bm25Index(posts, terms, stats)
 
 
+def save(index: Bm25Index, path: str) -> None:
+    """Write the three tables of an index under ``path``."""
+    for name in ("postings", "terms", "stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Bm25Index:
+    """An index written by :func:`save`; searching it reads the postings of the asked terms' files only, and nothing is tokenised again."""
+    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
+
+
 def search(index: Bm25Index, queries: DataFrame, k: int = 20, query_id: str = "query_id", text_col: str = "text", digits: int = 6) -> DataFrame:
     """(query_id, rank, id, score) of the ``k`` best documents of every query.
 
@@ -79,8 +92,8 @@ def ranked(posts: DataFrame, wanted: DataFrame, saturate, k: int, digits: int =
     """The ``k`` documents of greatest sum of weight times saturate(tf, dl) over a query's terms, for (query_id, term, weight) and postings.
 
     The stated queries come in blocks of at most ``block`` and are broadcast; the postings of their terms are gathered by document, and
-    each Arrow batch of documents scores the whole block in NumPy and hands on its best ``k`` per query. So (query, document) pairs are
-    never rows: what is shuffled is the postings of the queried terms and tasks x queries x k results.
+    each task keeps the best ``k`` of every query over all its documents. So (query, document) pairs are never rows: what is shuffled is
+    the postings of the queried terms and at most tasks x queries x k results, however many batches a task has.
     """
     wanted = materialize(wanted, "wanted")
     n = wanted.select("query_id").distinct().count()
@@ -95,6 +108,37 @@ def ranked(posts: DataFrame, wanted: DataFrame, saturate, k: int, digits: int =
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+class TopK:
+    """The best ``k`` (score, id) of each of ``n`` queries over the batches of a task, in three arrays of at most ``2 n k`` rows."""
+
+    def __init__(self, k: int, larger_id_first: bool):
+        self.k, self.larger = k, larger_id_first
+        self.query, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.floor: np.ndarray | None = None
+
+    def add(self, n: int, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Take candidates in; those below a query's k-th best score so far are left out at once."""
+        if self.floor is None:
+            self.floor = np.full(n, -np.inf)
+        good = score >= self.floor[query]
+        self.query, self.score, self.ids = (np.concatenate([old, new[good]]) for old, new in ((self.query, query), (self.score, score), (self.ids, ids)))
+        if len(self.query) > 2 * n * self.k:
+            self.cut()
+
+    def cut(self) -> None:
+        place = np.argsort(np.argsort(self.ids, kind="stable"))
+        order = np.lexsort((-place if self.larger else place, -self.score, self.query))
+        query = self.query[order]
+        start = np.searchsorted(query, query)
+        keep = order[np.arange(len(order)) - start < self.k]
+        self.query, self.score, self.ids = self.query[keep], self.score[keep], self.ids[keep]
+        if self.floor is not None and len(keep):
+            ends = np.flatnonzero(np.r_[self.query[1:] != self.query[:-1], True])
+            size = np.diff(np.r_[-1, ends])
+            full = ends[size == self.k]
+            self.floor[self.query[full]] = self.score[full]
+
+
 def _ranked_block(posts: DataFrame, wanted: DataFrame, saturate, k: int, digits: int, larger_id_first: bool) -> DataFrame:
     numbers: dict[str, int] = {}
     own: dict[object, list[tuple[int, float]]] = {}
@@ -102,47 +146,56 @@ def _ranked_block(posts: DataFrame, wanted: DataFrame, saturate, k: int, digits:
         own.setdefault(r["query_id"], []).append((numbers.setdefault(r["term"], len(numbers)), r["weight"]))
     spark = posts.sparkSession
     known = spark.createDataFrame(list(numbers.items()), "term string, no int")
-    shared = spark.sparkContext.broadcast([(q, np.array([t for t, _ in ts]), np.array([w for _, w in ts])) for q, ts in own.items()])
-    rows = posts.join(broadcast_if_small(known, len(numbers), BROADCAST_ROWS), "term")
-    docs = rows.groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("no", "tf")).alias("terms"))
-    terms = len(numbers)
+    # the block's queries by term: for each term the places of the queries that have it and its weights there
+    rows = np.array([(t, q, w) for q, ts in enumerate(own.values()) for t, w in ts], np.float64).reshape(-1, 3)
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    begin = np.searchsorted(rows[:, 0], np.arange(len(numbers) + 1))
+    shared = spark.sparkContext.broadcast((list(own), rows[:, 1].astype(np.int64), rows[:, 2], begin))
+    found = posts.join(broadcast_if_small(known, len(numbers), BROADCAST_ROWS), "term")
+    docs = found.groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("no", "tf")).alias("terms"))
+    kind = column_type(posts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        names, asks, weights, begin = shared.value
+        top = TopK(k, larger_id_first)
+        n_queries = len(names)
         for batch in batches:
-            n = batch.num_rows
             lists = batch.column(2)
-            doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             no, tf = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("no", "tf"))
-            value = saturate(tf.astype(np.float64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)[doc])
-            order = np.argsort(no, kind="stable")
-            doc, value = doc[order], value[order]
-            start = np.searchsorted(no[order], np.arange(terms + 1))
-            place = np.argsort(np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable"))
-            place = -place if larger_id_first else place
-            score, hit = np.zeros(n), np.zeros(n, bool)
-            asked, at, scores = [], [], []
-            for q, ts, ws in shared.value:
-                score[:] = 0.0
-                hit[:] = False
-                for t, w in zip(ts, ws):
-                    a, b = start[t], start[t + 1]
-                    if a < b:
-                        score[doc[a:b]] += w * value[a:b]
-                        hit[doc[a:b]] = True
-                some = np.flatnonzero(hit)
-                if not len(some):
-                    continue
-                s = np.round(score[some], digits)
-                if len(some) > k:
-                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    some, s = some[keep], s[keep]
-                best = np.lexsort((place[some], -s))[:k]
-                best = best[s[best] != 0]
-                asked += [q] * len(best)
-                at.append(some[best])
-                scores.append(s[best])
-            if asked:
-                yield [asked, batch.column(0).take(pa.array(np.concatenate(at))), np.concatenate(scores)]
-
-    return map_arrow(docs, run, f"query_id {column_type(wanted, 'query_id')}, id {column_type(posts, 'id')}, score double")
+            value = saturate(tf.astype(np.float64), np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), sizes))
+            ids = np.array(batch.column(0).to_pylist(), dtype=object)
+            doc = np.repeat(np.arange(batch.num_rows), sizes)
+            reach = begin[no + 1] - begin[no]
+            work = np.cumsum(reach)
+            at = 0
+            while at < len(no):  # documents are scored in slices of bounded work
+                end = int(np.searchsorted(work, (work[at - 1] if at else 0) + CELLS, "right"))
+                end = len(no) if end >= len(no) else max(int(np.searchsorted(doc, doc[min(end, len(no) - 1)], "left")), int(np.searchsorted(doc, doc[at], "right")))
+                some = slice(at, end)
+                many = reach[some]
+                source = np.repeat(np.arange(at, end), many)
+                pair = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + begin[no[source]]
+                key = (doc[source] - doc[at]) * n_queries + asks[pair]
+                gain = weights[pair] * value[source]
+                cells = (int(doc[end - 1]) - int(doc[at]) + 1) * n_queries
+                if cells <= 4 * CELLS:
+                    score = np.bincount(key, gain, cells)
+                    hit = np.flatnonzero(np.bincount(key, minlength=cells))
+                    score = score[hit]
+                else:
+                    hit, back = np.unique(key, return_inverse=True)
+                    score = np.bincount(back, gain)
+                score = np.round(score, digits)
+                good = score != 0
+                if top.floor is not None:
+                    good &= score >= top.floor[hit % n_queries]
+                hit, score = hit[good], score[good]
+                top.add(n_queries, hit % n_queries, score, ids[doc[at] + hit // n_queries])
+                at = end
+        top.cut()
+        if len(top.query):
+            yield [[names[q] for q in top.query], top.ids.tolist(), top.score]
+
+    return map_arrow(docs, run, f"query_id {column_type(wanted, 'query_id')}, id {kind}, score double")

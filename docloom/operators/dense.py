@@ -13,6 +13,10 @@ from docloom.plans.tables import column_type, map_arrow
 
 #: Query vectors that are broadcast together; more are handled in blocks.
 QUERY_BLOCK = 20_000
+#: Vectors scored at once, and scores (queries x vectors) held at once.
+VECTORS, CELLS = 2_000, 4_000_000
+#: Vectors of a cell of the inverted file, about, and the most cells; centroids are fitted on a bounded sample.
+CELL_VECTORS, MAX_CELLS = 1_000, 4_096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -37,8 +41,9 @@ def query_blocks(queries: DataFrame, id_col: str, vector_col: str, block: int =
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True, digits: int = 6, transform=None) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest vectors by cosine, ties by the smaller id.
 
-    The stated queries are broadcast in blocks of bounded size and multiplied with each Arrow batch; a batch hands on only its best
-    ``k`` per query, so the shuffle carries tasks x queries x k rows whatever the number of vectors. ``transform`` maps a matrix of
+    The stated queries are broadcast in blocks of bounded size and multiplied with slices of the vectors, so that at most CELLS scores
+    are held; a task keeps its best ``k`` per query over all batches, so the shuffle carries tasks x queries x k rows whatever the
+    number of vectors. Ids are whole numbers. ``transform`` maps a matrix of
     unit vectors to what is compared (quantised search); it is applied to both sides.
     """
     return _union([_topk_block(vectors, ids, q, k, id_col, vector_col, exclude_self, digits, transform) for ids, q in query_blocks(queries, id_col, vector_col)], vectors, id_col)
@@ -51,25 +56,48 @@ def _topk_block(vectors, ids, q, k, id_col, vector_col, exclude_self, digits, tr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         own, m = shared.value
+        best_score, best_id = np.full((len(own), k), -np.inf), np.zeros((len(own), k), np.int64)
         for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             v = _unit(_matrix(batch.column(1)))
-            if not len(v):
-                continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            score = np.round(m @ (transform(v) if transform else v).T, digits) + 0.0
-            if exclude_self:
-                score[own[:, None] == names[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(names, score.shape), -score), axis=1)[:, : k + 0]
-            row = np.repeat(np.arange(len(own)), order.shape[1])
-            col = order.ravel()
-            good = np.isfinite(score[row, col])
-            yield [own[row[good]], names[col[good]], score[row, col][good]]
+            if transform and len(v):
+                v = transform(v)
+            for at in range(0, len(v), VECTORS):
+                for low in range(0, len(own), max(1, CELLS // VECTORS)):
+                    q = slice(low, low + max(1, CELLS // VECTORS))
+                    keep_best(best_score, best_id, q, own[q], m[q], names[at : at + VECTORS], v[at : at + VECTORS], digits, exclude_self)
+        row, col = np.nonzero(np.isfinite(best_score))
+        if len(row):
+            yield [own[row], best_id[row, col], best_score[row, col]]
 
     kind = column_type(vectors, id_col)
     best = map_arrow(vectors.select(id_col, vector_col), run, f"query_id {kind}, id {kind}, score double")
     return rank_top(best, k)
 
 
+def keep_best(best_score: np.ndarray, best_id: np.ndarray, q: slice, own: np.ndarray, m: np.ndarray, names: np.ndarray, v: np.ndarray, digits: int, exclude_self: bool) -> None:
+    """Merge the scores of some vectors into the best of each query; of equal scores the smaller ids stay."""
+    k = best_score.shape[1]
+    score = np.round(m @ v.T, digits) + 0.0
+    if exclude_self:
+        score[own[:, None] == names[None, :]] = -np.inf
+    floor = best_score[q].min(1, initial=np.inf)
+    rows = np.flatnonzero((score >= floor[:, None]).any(1))
+    if not len(rows):
+        return
+    both = np.concatenate([best_score[q][rows], score[rows]], axis=1)
+    ids = np.concatenate([best_id[q][rows], np.broadcast_to(names, (len(rows), len(names)))], axis=1)
+    if both.shape[1] > 4 * k:
+        # what is below the k-th score can't stay; ties at the border are kept for the order by id
+        border = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k]
+        width = int((both >= border[:, None]).sum(1).max())
+        some = np.argpartition(-both, min(width, both.shape[1] - 1), axis=1)[:, :width]
+        both, ids = np.take_along_axis(both, some, 1), np.take_along_axis(ids, some, 1)
+    order = np.lexsort((ids, -both), axis=1)[:, :k]
+    at = np.arange(q.start, q.start + len(own))[rows]
+    best_score[at], best_id[at] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def rank_top(scored: DataFrame, k: int, ascending: bool = False) -> DataFrame:
     order = F.asc("score") if ascending else F.desc("score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, F.asc("id")))
@@ -164,44 +192,84 @@ def tuned_oversampling(vectors: DataFrame, transform, k: int = 10, target: float
     return float(max(1.0, (np.ceil(np.quantile(depth, target)) + 1) / k))
 
 
-def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int | None = None, target: float = 0.96, sample: int = 20_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Approximate search over an inverted file: centroids are fitted on a bounded sample, every vector is indexed in its nearest cell, a query looks into ``probes`` cells.
-
-    Without ``probes`` the fewest cells are taken that hold ``target`` of the true neighbours of sampled vectors. Vectors and queries
-    meet by cell; a hot cell is dealt over salts so that no task holds it whole.
-    """
+def ivf_cells(vectors: DataFrame, sample: int = 20_000, seed: int = 7, cells: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> np.ndarray:
+    """Centroids of the inverted file, fitted on a bounded sample; their number grows with the root of the table's rows where none is given."""
     data = _sample(vectors, id_col, vector_col, sample)
+    if cells is None:
+        rows = vectors.count()
+        cells = int(min(MAX_CELLS, max(16, rows**0.5 / 2), max(1, len(data) // 8)))
     rng = np.random.default_rng(seed)
     centers = data[rng.permutation(len(data))[:cells]]
     for _ in range(12 if len(data) else 0):
         near = (data @ centers.T).argmax(1)
-        centers = _unit(np.array([data[near == c].mean(0) if (near == c).any() else centers[c] for c in range(len(centers))]))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, near, data)
+        full = np.bincount(near, minlength=len(centers)) > 0
+        centers = np.where(full[:, None], _unit(sums), centers)
+    return centers
+
+
+def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None, probes: int | None = None, target: float = 0.97, sample: int = 20_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
+    """Approximate search over an inverted file: every vector is indexed in its nearest cell, a query looks into ``probes`` cells.
+
+    Without ``probes`` the fewest cells are taken that hold ``target`` of the true neighbours of up to 200 sampled vectors, measured over
+    the whole table. The stated queries are broadcast in blocks; a slice of vectors is scored only against the queries that probe
+    its cell, in NumPy, and a task hands on its best ``k`` per query. So neither vectors nor (query, vector) rows are shuffled, and a hot
+    cell is spread like the table.
+    """
+    centers = ivf_cells(vectors, sample, seed, cells, id_col, vector_col)
+    if not len(centers):
+        return _union([], vectors, id_col)
     if probes is None:
-        q = data[:: max(1, len(data) // 200)]
-        order = np.argsort(-(q @ centers.T), axis=1, kind="stable") if len(data) else np.zeros((0, 0))
-        true = np.argsort(-(q @ data.T), axis=1)[:, 1 : k + 1] if len(data) else np.zeros((0, 0), int)
-        home = (data @ centers.T).argmax(1) if len(data) else np.zeros(0, int)
-        depth = [int(np.flatnonzero(order[i] == home[j])[0]) for i in range(len(q)) for j in true[i]]
-        probes = int(np.quantile(depth, target, method="higher")) + 1 if depth else len(centers)
+        probes = tuned_probes(vectors, centers, k, target, id_col=id_col, vector_col=vector_col)
     probes = max(1, min(probes, len(centers)))
-    kind = column_type(vectors, id_col)
+    return _union([_ivf_block(vectors, centers, ids, q, k, probes, id_col, vector_col, digits) for ids, q in query_blocks(queries, id_col, vector_col)], vectors, id_col)
 
-    def assign(df: DataFrame, take: int) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(centers)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-            for batch in batches:
-                v = _unit(_matrix(batch.column(1)))
-                if len(v):
-                    cell = np.argsort(-(v @ shared.value.T), axis=1, kind="stable")[:, :take]
-                    at = pa.array(np.repeat(np.arange(len(v)), cell.shape[1]))
-                    yield [batch.column(0).take(at), batch.column(1).take(at), cell.ravel()]
+def _ivf_block(vectors, centers, ids, q, k, probes, id_col, vector_col, digits) -> DataFrame:
+    asked = np.argsort(-(q @ centers.T), axis=1, kind="stable")[:, :probes]
+    by_cell: dict[int, np.ndarray] = {int(c): np.flatnonzero((asked == c).any(1)) for c in np.unique(asked)}
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), q, centers, by_cell))
 
-        return map_arrow(df.select(id_col, vector_col), run, f"`{id_col}` {kind}, `{vector_col}` array<float>, cell int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        own, m, centers, by_cell = shared.value
+        best_score, best_id = np.full((len(own), k), -np.inf), np.zeros((len(own), k), np.int64)
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            v = _unit(_matrix(batch.column(1)))
+            if not len(v):
+                continue
+            cell = np.concatenate([(v[at : at + VECTORS] @ centers.T).argmax(1) for at in range(0, len(v), VECTORS)])
+            for c in np.unique(cell):
+                rows, who = np.flatnonzero(cell == c), by_cell.get(int(c))
+                if who is None:
+                    continue
+                for at in range(0, len(rows), VECTORS):
+                    some = rows[at : at + VECTORS]
+                    for low in range(0, len(who), max(1, CELLS // VECTORS)):
+                        part = who[low : low + max(1, CELLS // VECTORS)]
+                        score, name = best_score[part], best_id[part]
+                        keep_best(score, name, slice(0, len(part)), own[part], m[part], names[some], v[some], digits, True)
+                        best_score[part], best_id[part] = score, name
+        row, col = np.nonzero(np.isfinite(best_score))
+        if len(row):
+            yield [own[row], best_id[row, col], best_score[row, col]]
 
-    salts = 8
-    indexed = assign(vectors, 1).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cell", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
-    asked = assign(queries, probes).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), "cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = asked.join(indexed, ["cell", "salt"]).where("query_id <> id")
-    return rank_top(pairs.select("query_id", "id", F.round(dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v")), 6).alias("score")), k)
+    kind = column_type(vectors, id_col)
+    return rank_top(map_arrow(vectors.select(id_col, vector_col), run, f"query_id {kind}, id {kind}, score double"), k)
+
+
+def tuned_probes(vectors: DataFrame, centers: np.ndarray, k: int, target: float, queries: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+    """The probes at which a ``target`` share of the true neighbours, over the whole table, of up to ``queries`` sampled vectors lie in a probed cell."""
+    got = vectors.select(id_col, vector_col, F.xxhash64(id_col).alias("h")).orderBy("h").limit(queries).collect()
+    if not got:
+        return len(centers)
+    ids, q = [r[0] for r in got], _unit(np.array([r[1] for r in got], np.float64))
+    true = [(r[0], r[1]) for r in _topk_block(vectors, ids, q, k, id_col, vector_col, True, 6, None).select("query_id", "id").collect()]
+    if not true:
+        return len(centers)
+    near = dict(vectors.where(F.col(id_col).isin(sorted({n for _, n in true}))).select(id_col, vector_col).collect())
+    place = np.argsort(np.argsort(-(q @ centers.T), axis=1, kind="stable"), axis=1)
+    at = {name: i for i, name in enumerate(ids)}
+    home = {name: int((_unit(np.array([x], np.float64)) @ centers.T).argmax()) for name, x in near.items()}
+    return int(np.quantile([place[at[a], home[b]] for a, b in true], target, method="higher")) + 1
