@@ -142,7 +142,7 @@ class TopK:
 def _ranked_block(posts: DataFrame, wanted: DataFrame, saturate, k: int, digits: int, larger_id_first: bool) -> DataFrame:
     numbers: dict[str, int] = {}
     own: dict[object, list[tuple[int, float]]] = {}
-    for r in wanted.toLocalIterator():
+    for r in wanted.collect():
         own.setdefault(r["query_id"], []).append((numbers.setdefault(r["term"], len(numbers)), r["weight"]))
     spark = posts.sparkSession
     known = spark.createDataFrame(list(numbers.items()), "term string, no int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -78,18 +78,20 @@ def upload_conflicts(batch: DataFrame, corpus: DataFrame) -> DataFrame:
     """(upload_id, verdict) of (upload_id, name, doc_group, sha) against (source, doc_group, sha).
 
     In this order: 'duplicate_corpus' (same content indexed), 'duplicate_batch' (same content earlier in the batch), 'name_batch',
-    'name_same_group', 'name_other_group' (same stem), else 'ok'.
+    'name_same_group', 'name_other_group' (same stem), else 'ok'. The first of a content or stem comes from an aggregate, so one that all share is no hot window.
     """
     stem = lambda c: F.lower(F.regexp_replace(c, r"\.[^.]*$", ""))
     b = batch.withColumn("stem", stem(F.col("name")))
-    b = b.withColumn("sha_no", F.row_number().over(Window.partitionBy("sha").orderBy("upload_id"))).withColumn("stem_no", F.row_number().over(Window.partitionBy("stem").orderBy("upload_id")))
+    for key in ("sha", "stem"):
+        first = b.groupBy(key).agg(F.min("upload_id").alias("__first"))
+        b = b.join(first, key, "left").withColumn(f"{key}_again", F.col("upload_id") != F.col("__first")).drop("__first")
     known = corpus.select(F.col("sha")).distinct().withColumn("known", F.lit(True))
     stems = corpus.select(stem(F.col("source")).alias("stem"), F.col("doc_group").alias("g")).groupBy("stem").agg(F.collect_set("g").alias("groups"))
     out = b.join(known, "sha", "left").join(stems, "stem", "left")
     verdict = (
         F.when(F.col("known"), "duplicate_corpus")
-        .when(F.col("sha_no") > 1, "duplicate_batch")
-        .when(F.col("stem_no") > 1, "name_batch")
+        .when(F.col("sha_again"), "duplicate_batch")
+        .when(F.col("stem_again"), "name_batch")
         .when(F.array_contains("groups", F.col("doc_group")), "name_same_group")
         .when(F.col("groups").isNotNull(), "name_other_group")
         .otherwise("ok")
@@ -103,37 +105,38 @@ def clause_stats(chunks: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("clauses"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("split_clauses"), F.max("n").alias("largest"))
 
 
-def defects(text: Column, article: Column, khoan: Column) -> Column:
-    """Array of a chunk's defects: empty (then no other), ocr_corrupt, form_blank, stub, mislabelled, over_budget.
+def with_defects(chunks: DataFrame) -> DataFrame:
+    """Adds ``defects``, the array of a chunk's defects: empty (then no other), ocr_corrupt, form_blank, stub, mislabelled, over_budget.
 
-    ocr_corrupt needs both signs, digits inside words and missing diacritics, in a text that isn't short; mislabelled is a clause number on a form.
+    ocr_corrupt needs both signs, digits inside words and missing diacritics, in a text that isn't short; mislabelled is a clause number
+    on a form. What several rules need is computed once, in stages.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{T.BLANK}|{T.BLANK}$", "")
+    staged = chunks.withColumn("__t", F.regexp_replace(F.coalesce("text", F.lit("")), rf"^{T.BLANK}|{T.BLANK}$", ""))
+    staged = staged.withColumn("__form", T.is_form(F.col("__t"), T.AUDIT_MARKERS)).withColumn("__words", T.word_count(F.col("__t")))
+    t, form, words = F.col("__t"), F.col("__form"), F.col("__words")
     flag = lambda cond, name: F.when((t != "") & cond, F.lit(name))
-    form = T.is_form(t, T.AUDIT_MARKERS)
-    opening = F.exists(F.array(*map(F.lit, T.AUDIT_OPENINGS)), lambda m: F.startswith(F.lower(t), m))
-    return F.array_compact(
-        F.array(
-            F.when(t == "", F.lit("empty")),
-            flag((F.length(t) > T.AUDIT_MIN_CHARS) & (T.digit_in_word_share(t) > T.AUDIT_DIGITS) & (T.diacritic_ratio(t) < T.AUDIT_DIACRITICS), "ocr_corrupt"),
-            flag(form, "form_blank"),
-            flag((T.word_count(t) < T.STUB_WORDS) | (F.length(t) < T.STUB_CHARS), "stub"),
-            flag((F.concat(F.coalesce(article, F.lit("")), F.coalesce(khoan, F.lit(""))) != "") & (form | opening), "mislabelled"),
-            flag(T.approx_tokens(t) > T.AUDIT_TOKENS, "over_budget"),
-        )
+    opening = F.lower(F.substring(t, 1, 40)).rlike(f"^(?:{'|'.join(T.AUDIT_OPENINGS)})")
+    rules = F.array(
+        F.when(t == "", F.lit("empty")),
+        flag((F.length(t) > T.AUDIT_MIN_CHARS) & (T.digit_in_word_share(t) > T.AUDIT_DIGITS) & (T.diacritic_ratio(t) < T.AUDIT_DIACRITICS), "ocr_corrupt"),
+        flag(form, "form_blank"),
+        flag((words < T.STUB_WORDS) | (F.length(t) < T.STUB_CHARS), "stub"),
+        flag((F.concat(F.coalesce("article", F.lit("")), F.coalesce("khoan", F.lit(""))) != "") & (form | opening), "mislabelled"),
+        flag(F.floor(words * F.lit(T.TOKENS_PER_WORD)) > T.AUDIT_TOKENS, "over_budget"),
     )
+    return staged.withColumn("defects", F.array_compact(rules)).drop("__t", "__form", "__words")
 
 
 def defect_audit(chunks: DataFrame) -> DataFrame:
     """(defect, chunks, share): how many chunks have each defect; a chunk can have several."""
     total = F.lit(chunks.count())
-    flagged = chunks.select(F.explode(defects(F.col("text"), F.col("article"), F.col("khoan"))).alias("defect"))
+    flagged = with_defects(chunks).select(F.explode("defects").alias("defect"))
     return flagged.groupBy("defect").agg(F.count("*").alias("chunks"), F.round(F.count("*") / total, 6).alias("share"))
 
 
 def worst_sources(chunks: DataFrame, k: int = 8, kinds: int = 3) -> DataFrame:
     """(source, rank, defects, defect_rank, defect, n): the ``k`` sources with most defects and the ``kinds`` commonest of each."""
-    flagged = chunks.select("source", F.explode(defects(F.col("text"), F.col("article"), F.col("khoan"))).alias("defect"))
+    flagged = with_defects(chunks).select("source", F.explode("defects").alias("defect"))
     per = flagged.groupBy("source", "defect").agg(F.count("*").alias("n"))
     totals = per.groupBy("source").agg(F.sum("n").alias("defects"))
     top = totals.orderBy(F.desc("defects"), "source").limit(k)

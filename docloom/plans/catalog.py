@@ -110,11 +110,8 @@ def uploads(s: SparkSession, d: str) -> DataFrame:
 
 
 def text_flags(s: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return chunks(s, d).select(
-        "chunk_id", text.is_noise(t).alias("noise"), text.is_corrupt(t).alias("corrupt"), text.is_form(t).alias("form"), text.is_heading_only(t).alias("heading_only"),
-        F.round(text.diacritic_ratio(t), 6).alias("diacritics"), F.round(text.english_stopword_ratio(t), 6).alias("stopwords"), text.approx_tokens(t).alias("tokens"), text.suggest_language(t)["language"].alias("language"),
-    )
+    flagged = text.with_flags(chunks(s, d).select("chunk_id", "text")).drop("text")
+    return flagged.withColumn("diacritics", F.round("diacritics", 6)).withColumn("stopwords", F.round("stopwords", 6))
 
 
 def hits_at_1(run: DataFrame, rel: DataFrame) -> DataFrame:

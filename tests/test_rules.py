@@ -3,14 +3,12 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from docloom.operators import clauses, collection, metrics
 
 
 def flags(spark, text, article="", khoan=""):
     df = spark.createDataFrame([(text, article, khoan)], "text string, article string, khoan string")
-    return set(df.select(collection.defects(F.col("text"), F.col("article"), F.col("khoan"))).first()[0])
+    return set(collection.with_defects(df).first().defects)
 
 
 def test_defects_follow_the_audit(spark):
