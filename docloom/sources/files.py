@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
-import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
@@ -13,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.plans.tables import map_arrow
+from docloom.sources.docx import read_docx
 
 # The largest upload, the largest unpacked office file, and its pages.
 MAX_BYTES, MAX_UNPACKED, MAX_PAGES = 50 * 1024 * 1024, 400 * 1024 * 1024, 1000
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def list_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -76,39 +74,6 @@ def inspect_docx(content: bytes) -> str | None:
         return "broken"
 
 
-def docx_paragraphs(content: bytes) -> Iterator[tuple[int, str, int | None]]:
-    """(page, text, outline level) of a DOCX body: insertions kept, deletions left out, explicit and rendered page breaks counted, numbering of decimal lists rebuilt, table rows joined by ' | '."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    page, counters = 1, {}
-    inside = {id(p) for row in (body.iter(f"{_W}tr") if body is not None else ()) for p in row.iter(f"{_W}p")}
-    for block in body.iter() if body is not None else ():
-        if block.tag not in (f"{_W}p", f"{_W}tr"):
-            continue
-        if block.tag == f"{_W}tr":
-            cells = ["".join(t.text or "" for t in c.iter(f"{_W}t")).strip() for c in block.findall(f"{_W}tc")]
-            if any(cells):
-                yield page, " | ".join(cells), None
-            continue
-        if id(block) in inside:
-            continue
-        text, level = [], None
-        for node in block.iter():
-            if node.tag == f"{_W}t":
-                text.append(node.text or "")
-            elif node.tag == f"{_W}tab":
-                text.append("\t")
-            elif node.tag == f"{_W}lastRenderedPageBreak" or node.tag == f"{_W}br" and node.get(f"{_W}type") == "page":
-                page += 1
-            elif node.tag == f"{_W}pStyle" and (m := re.fullmatch(r"Heading(\d)", node.get(f"{_W}val") or "")):
-                level = int(m[1])
-            elif node.tag == f"{_W}numId":
-                counters[node.get(f"{_W}val")] = counters.get(node.get(f"{_W}val"), 0) + 1
-                text.insert(0, f"{counters[node.get(f'{_W}val')]}. ")
-        if line := "".join(text).strip():
-            yield page, line, level
-
-
 def extract_documents(files: DataFrame, pdf_reader=None) -> DataFrame:
     """(source, page, text) of every page. DOCX is read here; ``pdf_reader(bytes) -> list[str]`` is a plug-in, as no PDF library is assumed. A file that fails has one row with page 0 and the reason."""
 
@@ -119,8 +84,9 @@ def extract_documents(files: DataFrame, pdf_reader=None) -> DataFrame:
                 try:
                     if name.lower().endswith(".docx"):
                         pages: dict[int, list[str]] = {}
-                        for page, line, _ in docx_paragraphs(content):
-                            pages.setdefault(page, []).append(line)
+                        for page, kind, _, line, *_ in read_docx(content):
+                            if kind != "warning":
+                                pages.setdefault(page, []).append(line)
                         rows += [(i, p, "\n".join(lines)) for p, lines in sorted(pages.items())]
                     elif pdf_reader:
                         rows += [(i, p, t) for p, t in enumerate(pdf_reader(content), 1)]
