@@ -21,8 +21,8 @@ def read_chunks(spark: SparkSession, path: str, only_files: list[str] | None = N
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """One folder per source; only the sources at hand are replaced."""
-    chunks.repartition("source").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").json(path)
+    """One folder per source; only the sources at hand are replaced. Rows are ranged by source and place, so a large source is written by several tasks."""
+    chunks.repartitionByRange("source", "chunk_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").json(path)
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +41,29 @@ def read_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     return parsed.select(key, "v.*")
 
 
+def read_catalogue(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """Entries of a catalogue file ``{"documents": {source: entry}}``: source and the fields of ``value`` (a DDL struct body). A missing or invalid file gives no rows."""
+    schema = T._parse_datatype_string(f"source string, {value}")
+    try:
+        text = spark.read.option("wholetext", "true").text(path)
+    except Exception:
+        return spark.createDataFrame([], schema)
+    parsed = text.select(F.explode(F.from_json("value", f"struct<documents: map<string, struct<{value}>>>")["documents"]).alias("source", "v"))
+    return parsed.select("source", "v.*")
+
+
+def read_sidecars(spark: SparkSession, root: str, fields: str) -> DataFrame:
+    """(source, fields...) of the files ``<source>.meta.json`` under ``root``, one JSON object each; one that is no object has null fields."""
+    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta.json").text(root).select(F.col("_metadata.file_name").alias("name"), F.from_json("value", f"struct<{fields}>").alias("v"))
+    return rows.select(F.regexp_replace(F.url_decode("name"), r"\.meta\.json$", "").alias("source"), "v.*")
+
+
+def latest_result(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modified, value) of the newest ``summary_*.json`` under ``root``; no row where there is none."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "summary_*.json").load(root)
+    return found.orderBy(F.desc("modificationTime"), F.desc("path")).limit(1).select("path", F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("value"))
+
+
 def write_results(df: DataFrame, path: str, kind: str = "json") -> None:
     """Results as JSON lines or as CSV with a header."""
     (df.write.mode("overwrite").json(path) if kind == "json" else df.write.mode("overwrite").option("header", "true").csv(path))

@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import bm25, chunking
-from docloom.sources.store import TableStore
+from docloom.plans.tables import materialize
+from docloom.sources.store import PARTS, TableStore
+
+
+def part_of(source: str = "source") -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(PARTS)).cast("int")
 
 
 def ingest(documents: DataFrame, store: TableStore, checkpoint: str, max_tokens: int = 250):
-    """Start a query that chunks streamed documents (source, text) and keeps the tables chunks and postings current.
+    """Start a query that chunks streamed documents (source, text and, if versions can come together, modified) and keeps the tables chunks and postings current.
 
-    Each batch replaces the chunks and postings of its sources in new versions; both pointers move last, so readers never see half a
-    batch, and a batch that is run again after a failure gives the same tables. The postings of other sources are carried over unread
-    by the tokenizer; global term statistics are derived from postings when they are read.
+    A batch replaces the chunks and postings of its sources, of several versions of one the latest. Tables are kept in PARTS by hash of
+    the source: a batch writes new files of the parts its sources fall into, the others are carried over as they lie. One pointer names the
+    parts of both tables and moves last, so readers never see half a batch or tables of two batches, a failure before it changes
+    nothing, and a batch that is run again gives the same tables. A document whose text can't be chunked is listed in ``failed`` and
+    leaves the others alone, and what was there of it stays.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        latest = rows.dropDuplicates(["source"])
-        chunks = chunking.chunk_documents(latest, max_tokens=max_tokens).persist()
-        try:
-            posts = bm25.postings(chunks).join(chunks.select(F.col("chunk_id").alias("id"), "source"), "id")
-            done = {}
-            for table, new in (("chunks", chunks), ("postings", posts)):
-                old = store.read(table)
-                kept = new if old is None else old.join(latest.select("source").distinct(), "source", "left_anti").unionByName(new)
-                done[table] = store.write(table, kept)
-            for table, version in done.items():
-                store.publish(table, version)
-        finally:
-            chunks.unpersist()
+        apply_batch(rows, store, max_tokens)
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def apply_batch(rows: DataFrame, store: TableStore, max_tokens: int = 250) -> dict[str, dict[str, str]]:
+    """One batch of :func:`ingest`; returns the new state."""
+    order = F.col("modified") if "modified" in rows.columns else F.lit(0)
+    latest = rows.groupBy("source").agg(F.max_by("text", F.struct(order.alias("m"), "text")).alias("text"))
+    chunks = materialize(chunking.chunk_documents(latest.where(F.col("text").isNotNull()), max_tokens=max_tokens, tolerant=True), "chunks")
+    good = chunks.select("source").distinct()
+    failed = latest.select("source").join(good, "source", "left_anti").withColumn("status", F.lit("failed"))
+    posts = bm25.postings(chunks).join(chunks.select(F.col("chunk_id").alias("id"), "source"), "id")
+    store.replace("failed", failed)
+    return store.update_parts({"chunks": chunks, "postings": posts}, good.withColumn("part", part_of()))
+
+
 def remove_sources(store: TableStore, sources: DataFrame) -> None:
-    """Take sources out of both tables."""
-    for table in ("chunks", "postings"):
-        store.delete(table, sources, ["source"])
+    """Take sources out of both tables, which change together."""
+    store.update_parts({"chunks": None, "postings": None}, sources.select("source").distinct().withColumn("part", part_of()))
 
 
 def reindex_plan(produced: DataFrame, indexed: DataFrame, protected: DataFrame | None = None) -> DataFrame:

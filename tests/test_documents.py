@@ -142,15 +142,33 @@ def test_streamed_documents_become_chunks_and_replace_their_source(spark, tmp_pa
     inbox, store = tmp_path / "in", TableStore(spark, str(tmp_path / "store"))
     inbox.mkdir()
     schema = "source string, text string"
-    for n, (source, text) in enumerate([("a.pdf", BODY), ("b.pdf", "Một đoạn văn tự do đủ dài để được giữ lại."), ("a.pdf", "Bản mới của văn bản, ngắn hơn hẳn.")]):
+    for source, text in [("a.pdf", BODY), ("b.pdf", "Một đoạn văn tự do đủ dài để được giữ lại."), ("a.pdf", "Bản mới của văn bản, ngắn hơn hẳn.")]:
         spark.createDataFrame([(source, text)], schema).coalesce(1).write.mode("append").json(str(inbox))
         ingest.ingest(spark.readStream.schema(schema).json(str(inbox)), store, str(tmp_path / "check")).awaitTermination()
-        assert store.current("chunks")
-    got = {r.source: r.n for r in store.read("chunks").groupBy("source").agg(F.count("*").alias("n")).collect()}
+    got = {r.source: r.n for r in store.read_parts("chunks").groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert got == {"a.pdf": 1, "b.pdf": 1}
-    assert store.read("postings").select("source").distinct().count() == 2
+    assert store.read_parts("postings").select("source").distinct().count() == 2
     ingest.remove_sources(store, spark.createDataFrame([("a.pdf",)], "source string"))
-    assert {r.source for r in store.read("postings").collect()} == {"b.pdf"}
+    assert {r.source for r in store.read_parts("postings").collect()} == {r.source for r in store.read_parts("chunks").collect()} == {"b.pdf"}
+
+
+def test_a_batch_takes_the_latest_version_and_leaves_bad_documents_out(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "store"))
+    schema = "source string, text string, modified int"
+    ingest.apply_batch(spark.createDataFrame([("a", "Bản cũ của văn bản này.", 1), ("a", "Bản mới của văn bản này.", 2), ("b", None, 1), ("c", "Văn bản thứ ba ở đây.", 1)], schema), store)
+    assert {r.source: r.text for r in store.read_parts("chunks").collect()} == {"a": "Bản mới của văn bản này.", "c": "Văn bản thứ ba ở đây."}
+    assert [r.source for r in store.read("failed").collect()] == ["b"]
+    state = store.parts()
+    update = spark.createDataFrame([("c", "Một bản khác hẳn của c.", 2)], schema)
+    with monkeypatch.context() as m:  # the driver ends between writing and publishing
+        m.setattr(TableStore, "_replace_file", lambda self, target, content: (_ for _ in ()).throw(OSError("killed")) if target.getName() == "STATE" else None)
+        with pytest.raises(OSError):
+            ingest.apply_batch(update, store)
+    assert store.parts() == state and {r.text for r in store.read_parts("chunks").where("source = 'c'").collect()} == {"Văn bản thứ ba ở đây."}
+    after = ingest.apply_batch(update, store)
+    assert {r.source: r.text for r in store.read_parts("chunks").collect()} == {"a": "Bản mới của văn bản này.", "c": "Một bản khác hẳn của c."}
+    same = [p for p in state["chunks"] if after["chunks"].get(p) == state["chunks"][p]]
+    assert len(state["chunks"]) - 1 == len(same) or len(state["chunks"]) == 1  # the part of a lies where it did
 
 
 def test_stream_windows_equal_batch(spark, tmp_path):
