@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import bigrams
+from docloom.operators import bm25
 from docloom.plans.tables import carried, ranged
 
 KS = (1, 3, 5, 10)
@@ -274,13 +275,12 @@ def pool(runs: DataFrame, depths: dict[str, int]) -> DataFrame:
 def strict_truth(questions: DataFrame, records: DataFrame, least: float = 0.5, most: int = 5, digits: int = 6) -> DataFrame:
     """(query_id, rank, id, coverage): records that hold at least ``least`` of a reference answer's word pairs, at most ``most`` a query by (coverage, id) falling.
 
-    The pairs meet by an equi-join on the pair; only records that share one with an answer are looked at.
+    The answers' pairs are broadcast in blocks and a document's pairs scored in one place (:func:`docloom.operators.bm25.ranked`), so a
+    pair that all share makes no rows of questions and records.
     """
-    asked = questions.select("query_id", F.explode(bigrams(F.col("answer"))).alias("pair"))
+    asked = questions.select("query_id", F.explode(bigrams(F.col("answer"))).alias("term"))
     size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    wanted = asked.select("pair").distinct()
-    have = records.select("id", F.explode(bigrams(F.col("text"))).alias("pair")).join(wanted, "pair", "left_semi")
-    hits = asked.join(have, "pair").groupBy("query_id", "id").agg(F.count("*").alias("hits")).join(size, "query_id")
-    scored = hits.withColumn("coverage", F.round(F.col("hits") / F.col("n"), digits)).where(F.col("coverage") >= least)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("id")))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "id", "coverage")
+    wanted = asked.join(size, "query_id").select("query_id", "term", (F.lit(1.0) / F.col("n")).alias("weight"))
+    have = records.select("id", F.explode(bigrams(F.col("text"))).alias("term")).select("term", "id", F.lit(1).alias("tf"), F.lit(1).alias("dl"))
+    best = bm25.ranked(have, wanted, lambda tf, dl: np.ones(len(tf)), most, digits)
+    return best.where(F.col("score") >= least).select("query_id", "rank", "id", F.col("score").alias("coverage"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import headings, names, text
-from docloom.operators import answers, bm25, chunking, clauses, collection, dense, layout, metrics, ranking
+from docloom.operators import answers, bm25, chunking, clauses, collection, dense, layout, metrics, ranking, reports
 from docloom.plans.tables import materialize, read
+from docloom.sources import docx
 from docloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,8 +146,42 @@ def quantised(s: SparkSession, d: str, kind: str) -> DataFrame:
     return dense.rescored_topk(v, q, transform, 10, max(2.0, dense.tuned_oversampling(v, transform, 10)))
 
 
+def docx_files(s: SparkSession, d: str) -> DataFrame:
+    """A DOCX file of every document, a paragraph a line; made here, as the test tables hold no files."""
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> bytes:
+            body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="{docx.W[1:-1]}"><w:body>{body}</w:body></w:document>')
+            return out.getvalue()
+
+        return texts.map(one)
+
+    clean = F.regexp_replace("text", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]", " ")
+    return read(s, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("source"), packed(clean).alias("content"))
+
+
+def table_lines(s: SparkSession, d: str) -> DataFrame:
+    """A table per issuing body out of the catalogue: a header line and a line per file in order of its name."""
+    c = read(s, d, "catalogue").where("issuing_body is not null").select(F.col("issuing_body").alias("source"), F.array("source", "title", F.coalesce("doc_number", F.lit(""))).alias("cells"), F.col("source").alias("name"))
+    lines = c.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("name")) + 1).alias("line_no"), "cells", F.lit(False).alias("header"))
+    head = c.select("source").distinct().select("source", F.lit(1).alias("line_no"), F.array(F.lit("Tệp"), F.lit("Tên"), F.lit("Số")).alias("cells"), F.lit(True).alias("header"))
+    return lines.unionByName(head).withColumn("table_no", F.lit(1)).withColumn("page", F.lit(1))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "ablation": lambda s, d: reports.ablation({"bm25": bm25_run(s, d, 10), "coverage": coverage_run(s, d, 10)}, qrels(s, d)),
+        "hit_projection": lambda s, d: reports.project(run_rows(s, d, 10).withColumnsRenamed({"id": "chunk_id", "score": "score_sparse"}), ("chunk_id", "source", "page", "text", "score_sparse", "article", "khoan"), keep=("query_id", "rank")).withColumn("text", F.md5("text")),
+        "first_of_content": lambda s, d: reports.first_of_content(read(s, d, "documents").select(F.col("doc_id").alias("source"), F.sha2("text", 256).alias("sha"))),
+        "unique_names": lambda s, d: reports.unique_names(read(s, d, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.coalesce("title", F.lit("untitled")), F.lit(".pdf")).alias("name"))),
+        "facets": lambda s, d: reports.facets(read(s, d, "documents").withColumn("year", F.year("fetched_at")), {"lang": ["vi"], "year": [2024, 2025]}, ["lang", "doc_group", "year"]),
+        "docx_texts": lambda s, d: docx.docx_text(docx.docx_blocks(docx_files(s, d))).select("source", F.md5("text").alias("digest")),
+        "table_rows": lambda s, d: chunking.table_chunks(table_lines(s, d), continued=False).select("source", "row_no", "text"),
+        "ivf_sweep": lambda s, d: reports.sweep([1, 4, 8], lambda probes: dense.ivf_topk(*every_20th(s, d), 10, probes=probes), dense.dense_topk(*every_20th(s, d), 10)),
         "term_stats": lambda s, d: index_of(s, d).terms.select("term", "df", "cf", F.round("idf", 6).alias("idf")),
         "bm25_stats": lambda s, d: index_of(s, d).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf")),
         "bm25_topk": lambda s, d: bm25_run(s, d, 10),
@@ -167,6 +206,7 @@ def queries() -> dict[str, Query]:
         "pooling": lambda s, d: metrics.pool(bm25_run(s, d, 10).select("query_id", "rank", "id", F.lit("bm25").alias("run")).unionByName(coverage_run(s, d, 10).select("query_id", "rank", "id", F.lit("coverage").alias("run"))), {"bm25": 10, "coverage": 3}),
         "answer_recall": lambda s, d: metrics.answer_recall(best_answers(s, d)).select("query_id", "id", F.round("answer_recall", 6).alias("answer_recall")),
         "rouge": lambda s, d: metrics.rouge(best_answers(s, d)).select("query_id", F.round("rouge1", 6).alias("rouge1"), F.round("rouge_l", 6).alias("rouge_l")),
+        "rouge1": lambda s, d: metrics.rouge(best_answers(s, d)).select("query_id", F.round("rouge1", 6).alias("rouge1")),
         "fuzzy_recall": lambda s, d: metrics.fuzzy_recall(best_answers(s, d)).select("query_id", F.round("fuzzy_recall", 6).alias("fuzzy_recall")),
         "strict_truth": strict,
         "latency_stats": lambda s, d: metrics.latency_stats(read(s, d, "events").where("value > 0"), ["event_type"], "value"),
@@ -220,8 +260,6 @@ def queries() -> dict[str, Query]:
 
 
 def _clause_order(c: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     one = c.where("article <> ''").groupBy("source", "article", "khoan").agg(F.count("*").alias("n"))
     key = text.khoan_key(F.col("khoan"))
     w = Window.partitionBy("source", "article").orderBy(key["kind"], key["numbers"], key["text"])

@@ -110,15 +110,15 @@ def citation() -> str:
             WHEN c <> '' THEN 'Chương ' || c || CASE WHEN ct <> '' THEN ' – ' || ct ELSE '' END ELSE '' END AS locator FROM v"""
 
 
-def mean_metrics() -> str:
+def mean_metrics(run: str = "bm") -> str:
     parts = []
     for k in (1, 3, 5, 10):
         parts.append(f"""SELECT {k} AS k, round(avg(coalesce(h / {k}.0, 0)), 4) AS precision, round(avg(coalesce(h / n, 0)), 4) AS recall,
           round(avg(CASE WHEN h > 0 THEN 2 * (h / {k}.0) * (h / n) / (h / {k}.0 + h / n) ELSE 0 END), 4) AS f1, round(avg(CASE WHEN h > 0 THEN 1.0 ELSE 0 END), 4) AS hit,
           round(avg(coalesce(1.0 / f, 0)), 4) AS mrr, round(avg(coalesce(ap / least(n, {k}), 0)), 4) AS map, round(avg(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, {k + 1}) t(i) WHERE i <= n), 0)), 4) AS ndcg
           FROM (SELECT query_id, count(*) AS n FROM qr GROUP BY query_id) LEFT JOIN (SELECT query_id, count(*)::DOUBLE AS h, min(rank) AS f, sum(sofar / rank) AS ap, sum(1 / log2(rank + 1)) AS dcg
-            FROM (SELECT b.*, count(*) OVER (PARTITION BY b.query_id ORDER BY rank) AS sofar FROM bm b JOIN qr USING (query_id, id) WHERE rank <= {k}) GROUP BY query_id) USING (query_id)""")
-    return f"WITH {BM25}, {QRELS} " + " UNION ALL ".join(parts)
+            FROM (SELECT b.*, count(*) OVER (PARTITION BY b.query_id ORDER BY rank) AS sofar FROM {run} b JOIN qr USING (query_id, id) WHERE rank <= {k}) GROUP BY query_id) USING (query_id)""")
+    return " UNION ALL ".join(parts)
 
 
 def windows(size: str, slide: str) -> str:
@@ -154,7 +154,17 @@ def sql() -> dict[str, str]:
         headers = f"regexp_replace({headers}, '(?im)^\\s*{begin[w]}\\s+({roman[w]})', '{w} \\1', 'g')"
         recognised = f"regexp_replace({recognised}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){loose[w]}\\s+({roman[w]})', '\\1{w} \\2', 'g')"
     recognised = f"trim(regexp_replace(regexp_replace({recognised}, '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ')"
+    facet = lambda name, others: f"SELECT '{name}' AS facet, {name}::VARCHAR AS value, count(*) AS files FROM f WHERE {name} IS NOT NULL{others} GROUP BY 2"
     return {
+        "ablation": f"WITH {BM25}, {COVER}, {QRELS} SELECT 'bm25' AS stage, * FROM ({mean_metrics()}) UNION ALL SELECT 'coverage', * FROM ({mean_metrics('cov')})",
+        "hit_projection": f"WITH {ROWS} SELECT query_id, rank, id AS chunk_id, source, page, md5(left(text, 800)) AS text, score AS score_sparse, article, khoan FROM rr WHERE rank <= 10",
+        "first_of_content": "SELECT sha256(text) AS sha, min(doc_id) AS source, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
+        "unique_names": """SELECT file_id, name, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '-' || n || '.pdf' END AS unique_name FROM (SELECT doc_id AS file_id, coalesce(title, 'untitled') || '.pdf' AS name,
+          row_number() OVER (PARTITION BY lower(nfc_normalize(coalesce(title, 'untitled'))) ORDER BY doc_id) AS n FROM documents)""",
+        "facets": f"WITH f AS (SELECT *, year(fetched_at) AS year FROM documents) {facet('lang', ' AND year IN (2024, 2025)')} UNION ALL {facet('doc_group', ' AND lang = ' + repr('vi') + ' AND year IN (2024, 2025)')} UNION ALL {facet('year', ' AND lang = ' + repr('vi'))}",
+        "docx_texts": f"SELECT doc_id::VARCHAR AS source, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g'), chr(10)), lambda x: {squash('x')}), lambda x: x <> ''), chr(10))) AS digest FROM documents WHERE text IS NOT NULL AND {squash('text')} <> ''",
+        "table_rows": f"""WITH r AS (SELECT issuing_body AS source, row_number() OVER (PARTITION BY issuing_body ORDER BY source) AS row_no, {squash('source')} AS a, {squash("coalesce(title, '')")} AS b, {squash("coalesce(doc_number, '')")} AS c FROM catalogue WHERE issuing_body IS NOT NULL)
+          SELECT source, row_no, array_to_string(list_filter(['[Bảng 1 · trang 1 · dòng ' || row_no || ']', CASE WHEN a <> '' THEN 'Tệp: ' || a END, CASE WHEN b <> '' THEN 'Tên: ' || b END, CASE WHEN c <> '' THEN 'Số: ' || c END], lambda x: x IS NOT NULL), chr(10)) AS text FROM r""",
         "term_stats": f"WITH {BM25} SELECT term, df, cf, round(idf, 6) AS idf FROM terms",
         "bm25_stats": f"WITH {BM25} SELECT n_docs, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM st, av",
         "bm25_topk": f"WITH {BM25} SELECT query_id, rank, id, score FROM bm WHERE rank <= 10",
@@ -168,7 +178,7 @@ def sql() -> dict[str, str]:
         "tier_classify": f"""WITH {ROWS}, t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2, count(*) AS n, count(DISTINCT CASE WHEN rank <= 4 THEN source || chr(1) || article END) AS kinds, max(CASE WHEN rank = 1 THEN article END) AS article FROM rr WHERE rank <= 10 GROUP BY query_id)
           SELECT query_id, CASE WHEN s1 < 5 THEN 'tier4' WHEN n = 1 OR round(s1 - s2, 9) >= 8 THEN 'tier1' WHEN kinds = 1 AND article <> '' THEN 'tier2' ELSE 'tier3' END AS tier FROM t""",
         "footnotes": f"WITH {ROWS} SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY first) AS footnote, page FROM (SELECT query_id, source, min(rank) AS first, arg_min(page, rank) AS page FROM rr WHERE rank <= 10 AND source NOT IN ('', 'unknown') GROUP BY query_id, source)",
-        "retrieval_metrics": mean_metrics(),
+        "retrieval_metrics": f"WITH {BM25}, {QRELS} {mean_metrics()}",
         "recall_by_depth": f"""WITH {BM25}, {QRELS}, f AS (SELECT q.query_id, min(rank) AS first FROM (SELECT DISTINCT query_id FROM qr) q LEFT JOIN (SELECT b.query_id, rank FROM bm b JOIN qr USING (query_id, id) WHERE rank <= 100) h USING (query_id) GROUP BY q.query_id)
           SELECT depth, round(avg(CASE WHEN first <= depth THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS queries FROM f, (SELECT unnest([1, 3, 5, 10, 30, 100]) AS depth) GROUP BY depth""",
         "failure_causes": f"""WITH {BM25}, {QRELS}, top AS (SELECT query_id, id, source FROM bm JOIN ch ON chunk_id = id WHERE rank <= 10), rel AS (SELECT query_id, id, source FROM qr JOIN ch ON chunk_id = id)
@@ -185,6 +195,9 @@ def sql() -> dict[str, str]:
         "graded_truth": f"""WITH {LATEST} SELECT topic_id, coalesce(list(chunk_id ORDER BY grade DESC, chunk_id) FILTER (grade >= 1), []) AS relevant_ids, coalesce(list(chunk_id ORDER BY chunk_id) FILTER (grade >= 2), []) AS primary_ids, count(*) AS n_pooled FROM lj WHERE pass_no = 1 GROUP BY topic_id""",
         "pooling": f"""WITH {BM25}, {COVER} SELECT query_id, id, list_sort(list(DISTINCT run)) AS runs FROM (SELECT query_id, id, 'bm25' AS run FROM bm WHERE rank <= 10 UNION ALL SELECT query_id, id, 'coverage' FROM cov WHERE rank <= 3) GROUP BY query_id, id""",
         "answer_recall": f"{per_topic}, x AS (SELECT query_id, id, {pairs('reference')} AS r, {pairs('answer')} AS a FROM ba) SELECT query_id, id, round(CASE WHEN len(r) > 0 THEN len(list_intersect(r, a)) / len(r) ELSE 0 END, 6) AS answer_recall FROM x",
+        "rouge1": f"""{per_topic}, w AS (SELECT query_id, regexp_extract_all(lower(reference), '[\\p{{L}}\\p{{N}}]+') AS r, regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}]+') AS a FROM ba),
+          r AS (SELECT query_id, w, count(*) AS n FROM (SELECT query_id, unnest(r) AS w FROM w) GROUP BY query_id, w), a AS (SELECT query_id, w, count(*) AS n FROM (SELECT query_id, unnest(a) AS w FROM w) GROUP BY query_id, w),
+          h AS (SELECT query_id, sum(least(r.n, a.n)) AS hit FROM r JOIN a USING (query_id, w) GROUP BY query_id) SELECT query_id, round(coalesce(CASE WHEN len(r) > 0 AND len(a) > 0 THEN 2 * coalesce(hit, 0) / (len(r) + len(a)) END, 0), 6) AS rouge1 FROM w LEFT JOIN h USING (query_id)""",
         "strict_truth": f"""WITH {CH}, a AS (SELECT topic_id AS query_id, {pairs('reference_answer')} AS ps FROM pool_topics WHERE reference_answer IS NOT NULL), ap AS (SELECT query_id, unnest(ps) AS p, len(ps) AS n FROM a), cp AS (SELECT chunk_id AS id, unnest({pairs('text')}) AS p FROM ch),
           s AS (SELECT query_id, id, round(count(*) / n, 6) AS coverage FROM ap JOIN cp USING (p) GROUP BY query_id, id, n) SELECT query_id, rank, id, coverage FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, id DESC) AS rank FROM s WHERE coverage >= 0.5) WHERE rank <= 5""",
         "latency_stats": """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(CASE WHEN r = greatest(floor(m * 0.5), 1) THEN value END) AS p50, max(CASE WHEN r = greatest(floor(m * 0.95), 1) THEN value END) AS p95, max(CASE WHEN r = greatest(floor(m * 0.99), 1) THEN value END) AS p99, round(1000.0 / avg(value), 6) AS per_second
