@@ -14,10 +14,10 @@ from .common import broadcast_if_small, column_type, map_arrow, materialize, tab
 from .distinctive import words
 
 CLASSES = 3
-#: Annotators of a model, at most; nine numbers of each are kept on the driver.
-MAX_ANNOTATORS = 1_000_000
-#: Rounds of expectation-maximisation, at most, and the mean change of a probability that ends them.
-ROUNDS, TOLERANCE = 40, 2e-4
+#: Annotators of a model, at most; nine sums of each come to the driver in Arrow's form (15 MB for the most) and go to the tasks.
+MAX_ANNOTATORS = 100_000
+#: Rounds of expectation-maximisation, at most, and the largest change of a confusion probability (a tenth of it of a weight) that ends them.
+ROUNDS, TOLERANCE = 40, 2e-3
 #: Pull of the classifier's weights to zero, and counts added to each confusion matrix (off and on its diagonal).
 RIDGE, SMOOTH, TRUST = 2.0, 0.5, 1.0
 #: Judged records are broadcast up to this many to pick their texts, joined beyond.
@@ -105,7 +105,7 @@ def _unpack(batch: pa.RecordBatch, annotators: np.ndarray):
     return x, np.repeat(np.arange(n), sizes), who, grade
 
 
-def _statistics(items: DataFrame, model: ConsensusModel, first: bool) -> dict[int, float]:
+def _statistics(items: DataFrame, model: ConsensusModel, first: bool, size: int) -> np.ndarray:
     """One expectation step over all items: sums of the votes' posteriors per annotator, the classifier's gradient and curvature, and the change."""
     shared = items.sparkSession.sparkContext.broadcast(model)
 
@@ -137,9 +137,11 @@ def _statistics(items: DataFrame, model: ConsensusModel, first: bool) -> dict[in
         if len(at):
             yield [at, flat[at]]
 
-    rows = map_arrow(items, run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    sums = map_arrow(items, run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
     shared.unpersist()
-    return {r["at"]: r["value"] for r in rows}
+    flat = np.zeros(size)
+    flat[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
+    return flat
 
 
 def fit_consensus(items: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> ConsensusModel:
@@ -158,10 +160,7 @@ def fit_consensus(items: DataFrame, rounds: int = ROUNDS, tolerance: float = TOL
     model = ConsensusModel(annotators, np.full((a, CLASSES, CLASSES), 1 / CLASSES), np.zeros((CLASSES, d)))
     sizes = np.cumsum([a * CLASSES * CLASSES, CLASSES * d, (CLASSES * d) ** 2, 3])
     for r in range(rounds if a else 0):
-        got = _statistics(items, model, r == 0)
-        flat = np.zeros(sizes[-1])
-        for k, v in got.items():
-            flat[k] = v
+        flat = _statistics(items, model, r == 0, int(sizes[-1]))
         counts, gradient, curve, _ = np.split(flat, sizes[:-1])
         smoothed = counts.reshape(a, CLASSES, CLASSES) + SMOOTH + TRUST * np.eye(CLASSES)
         confusion = smoothed / smoothed.sum(2, keepdims=True)
@@ -170,7 +169,7 @@ def fit_consensus(items: DataFrame, rounds: int = ROUNDS, tolerance: float = TOL
         weights = model.weights + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
         change = max(np.abs(confusion - model.confusion).max(), 0.1 * np.abs(weights - model.weights).max())
         model = ConsensusModel(annotators, confusion, weights)
-        if r and change < tolerance * 10:
+        if r and change < tolerance:
             break
     return model
 

@@ -54,6 +54,16 @@ def test_consensus_beats_the_majority_and_turns_a_liar(spark):
     assert acc[1].accuracy > 0.9 and acc[3].accuracy < 0.5 and acc[3].information > acc[6].information
 
 
+def test_features_are_the_same_beyond_the_broadcast(spark, monkeypatch):
+    items = spark.createDataFrame([(t, f"c{c}") for t in range(3) for c in range(t, 6)], "topic_id int, chunk_id string")
+    topics = spark.createDataFrame([(0, "học phí kỳ hè"), (1, "lịch thi"), (2, None)], "topic_id int, question string")
+    records = spark.createDataFrame([(f"c{c}", f"thông báo học phí {'lịch ' * c}") for c in range(9)] + [("c1", "thông báo học phí lịch ")], "chunk_id string, text string")
+    rows = lambda: sorted((r.topic_id, r.chunk_id, *r.features) for r in consensus.item_features(items, topics, records).collect())
+    small = rows()
+    monkeypatch.setattr(consensus, "BROADCAST_ROWS", 0)
+    assert rows() == small and len(small) == 15 and any(r[2] > 0 for r in small)
+
+
 def test_consensus_takes_the_last_row_and_survives_odd_tables(spark):
     rows = [(1, "c", 1, 2, None, 1.0), (1, "c", 1, 0, None, 2.0), (1, "c", 1, 0, None, 2.0), (1, "c", 2, None, True, 9.0), (1, "c", 2, 1, None, 3.0), (None, "c", 1, 1, None, 1.0), (1, None, 1, 1, None, 1.0), (1, "d", 3, 2, None, None), (1, "d", None, 2, None, 1.0)]
     got = sorted(tuple(r) for r in consensus.standing_grades(judged(spark, rows)).collect())
