@@ -85,8 +85,11 @@ def answer(questions: DataFrame, chunks: DataFrame, dense_run: DataFrame | None
     rows = whole.select("query_id", "rank", F.col("chunk_id").alias("id"), F.col("text").alias("full"), "partial", "parts_used", "parts_total").join(hits.drop("text", "rank"), ["query_id", "id"])
     rows = materialize(rows, "rows")
     tiers = ranking.classify_tiers(rows.select("query_id", F.dense_rank().over(_by_rank()).alias("rank"), "score", "source", "article"))
-    place = headings.locator(*(F.col(c) for c in ("chapter", "chapter_title", "article", "article_title", "khoan", "level_labels", "language")))
-    joined = rows.join(tiers, "query_id").withColumn("locator", place).drop("level_labels")
+    fields = ("chapter", "chapter_title", "article", "article_title", "khoan", "level_labels", "language")
+    place = lambda *shown: headings.locator(*(F.col(c) if c in (*shown, "level_labels", "language") else F.lit("") for c in fields))
+    leaf = F.coalesce(F.nullif(place("khoan"), F.lit("")), F.concat(F.lit("Khoản "), F.trim("khoan")))
+    named = {"locator": place(*fields), "section": place("article", "article_title"), "leaf": F.when(F.coalesce(F.trim("khoan"), F.lit("")) != "", leaf).otherwise("")}
+    joined = rows.join(tiers, "query_id").withColumns(named).drop("level_labels")
     schema = f"query_id {questions.schema['query_id'].dataType.simpleString()}, tier string, answer string"
     answered = joined.groupBy("query_id").applyInPandas(_render, schema)
     rest = questions.select("query_id").join(rows.select("query_id"), "query_id", "left_anti")
@@ -105,6 +108,31 @@ def _clause_order(khoan: str) -> tuple:
     return (-1, (), "") if not k else (0, numbers, k) if numbers else (1, (), k)
 
 
+def _sections(rows: list, notes: dict[str, int]) -> list[str]:
+    """Quotations under numbered headings, one per article or else document: sources by their best score, articles of one by their first, clauses in order."""
+    own: dict[tuple[str, str], list] = {}
+    for r in rows:
+        mine = own.setdefault((r.source, r.article or ""), [])
+        if not any(r.khoan == o.khoan and r.full[:80] == o.full[:80] for o in mine):
+            mine.append(r)
+    best: dict[str, float] = {}
+    for r in rows:
+        best[r.source] = max(best.get(r.source, r.score), r.score)
+    places = {source: n for n, source in enumerate(best)}
+    out = []
+    for n, key in enumerate(sorted(own, key=lambda k: (-best[k[0]], places[k[0]], -own[k][0].score)), 1):
+        first = own[key][0]
+        label = first.section or (f"{first.doc_number.strip()} – {first.source}" if (first.doc_number or "").strip() else first.source)
+        lines, said = [f"**{n}. {label}**" + (f" [{notes[first.source]}]" if first.source in notes else "")], None
+        for r in sorted(own[key], key=lambda r: _clause_order(r.khoan)):
+            if r.leaf and r.leaf != said:
+                lines.append(f"*{r.leaf}:*")
+            said = r.leaf
+            lines.append(f"> {highlight(r.question, r.full, r.language == 'en')}" + (f"\n\n*(Trích {r.parts_used}/{r.parts_total} phần)*" if r.partial else ""))
+        out.append("\n\n".join(lines))
+    return out
+
+
 def _render(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("rank")
     tier, query = frame["tier"].iloc[0], frame["query_id"].iloc[0]
@@ -138,11 +166,6 @@ def _render(frame: pd.DataFrame) -> pd.DataFrame:
         if len(same) > MAX_CLAUSES:
             parts.append(f"*(còn {len(same) - MAX_CLAUSES} khoản khác)*")
     else:
-        groups: dict[str, list] = {}
-        for r in rows[:MAX_MIXED]:
-            groups.setdefault(r.source, []).append(r)
-        parts = []
-        for n, (_, own) in enumerate(sorted(groups.items(), key=lambda g: -max(r.score for r in g[1])), 1):
-            parts.append(f"### {n}. " + "\n\n".join(quote(r) for r in own))
+        parts = _sections(rows[:MAX_MIXED], notes)
     text = "\n\n".join(parts) + ("\n\n---\n**Tài liệu đính kèm:**\n" + "\n".join(foot) if foot else "")
     return pd.DataFrame([(query, tier, text)], columns=["query_id", "tier", "answer"])

@@ -40,7 +40,7 @@ def sniff(content) -> F.Column:
 
 
 def validate(files: DataFrame) -> DataFrame:
-    """(source, sha256, code): the first rule a file breaks: bad_extension, empty, too_large, wrong_type, encrypted, broken, macro, zip_bomb; null for a good file."""
+    """(source, sha256, code): the first rule a file breaks: bad_extension, empty, too_large, encrypted, wrong_type, zip_bomb, macro, broken, too_many_pages, no_text; null for a good file. The inside of PDF files is left to their reader."""
     ext = F.lower(F.regexp_extract("source", r"\.([^.]+)$", 1))
     kind = sniff(F.col("content"))
     simple = F.coalesce(
@@ -69,9 +69,14 @@ def inspect_docx(content: bytes) -> str | None:
                 return "zip_bomb"
             if any(n.endswith("vbaProject.bin") for n in names):
                 return "macro"
-            return None if "word/document.xml" in names else "wrong_type"
-    except zipfile.BadZipFile:
+            if "word/document.xml" not in names:
+                return "wrong_type"
+        blocks = read_docx(content)
+    except Exception:  # no archive, or parts that can't be parsed
         return "broken"
+    if max((b[0] for b in blocks), default=1) > MAX_PAGES:
+        return "too_many_pages"
+    return None if any(b[1] != "warning" for b in blocks) else "no_text"
 
 
 def extract_documents(files: DataFrame, pdf_reader=None) -> DataFrame:

@@ -56,6 +56,14 @@ def reindex_plan(produced: DataFrame, indexed: DataFrame, protected: DataFrame |
     return new.unionByName(gone.select("chunk_id", F.lit("delete").alias("action")))
 
 
+def embed_missing(chunks: DataFrame, cached: DataFrame, encode, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(id, embedding) of all chunks: the cached vectors of those that have one, ``encode(text) -> Column`` for the others alone. Cached vectors of chunks that are gone are left out."""
+    have = cached.select(id_col, "embedding").dropDuplicates([id_col])
+    known = have.join(chunks.select(id_col).distinct(), id_col, "left_semi")
+    new = chunks.select(id_col, text_col).dropDuplicates([id_col]).join(have.select(id_col), id_col, "left_anti")
+    return known.unionByName(new.select(id_col, encode(F.col(text_col)).alias("embedding")))
+
+
 def job_outcome(results: DataFrame) -> DataFrame:
     """(job_id, outcome, failed, documents): succeeded, partial or failed by the share of failed documents."""
     bad = F.sum(F.when(F.col("status") == "failed", 1).otherwise(0))

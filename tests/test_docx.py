@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking
-from docloom.sources import docx
+from docloom.sources import docx, files
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -87,11 +87,18 @@ def test_merged_cells_and_layout_tables():
 
 def test_unread_parts_and_broken_files_are_told(spark):
     good = made(p("Nội dung"), header1=f"<w:hdr {NS}>{p('Tiêu đề trang')}</w:hdr>")
-    files = spark.createDataFrame([("a.docx", good), ("b.docx", b"PK no"), ("c.docx", None)], "source string, content binary")
-    got = {(r.source, r.kind): r.text for r in docx.docx_blocks(files).collect()}
+    found = spark.createDataFrame([("a.docx", good), ("b.docx", b"PK no"), ("c.docx", None)], "source string, content binary")
+    got = {(r.source, r.kind): r.text for r in docx.docx_blocks(found).collect()}
     assert got["a.docx", "warning"] == "header_footer_skipped" and got["a.docx", "para"] == "Nội dung"
     assert ("b.docx", "error") in got and ("c.docx", "error") in got
-    assert docx.docx_blocks(files.limit(0)).count() == 0
+    assert docx.docx_blocks(found.limit(0)).count() == 0
+
+
+def test_files_are_validated_inside(spark):
+    good, empty, long = made(p("Nội dung")), made(p("")), made(*[p("Trang") + BREAK] * 1001)
+    rows = [("a.docx", good), ("b.docx", empty), ("c.docx", long), ("d.docx", good[:200]), ("e.txt", good), ("f.docx", b"")]
+    checked = files.validate(spark.createDataFrame([(n, len(c), c) for n, c in rows], "source string, size bigint, content binary"))
+    assert {r.source: r.code for r in checked.collect()} == {"a.docx": None, "b.docx": "no_text", "c.docx": "too_many_pages", "d.docx": "broken", "e.txt": "bad_extension", "f.docx": "empty"}
 
 
 def test_blocks_become_chunks_with_pages_and_labels(spark):
@@ -100,8 +107,8 @@ def test_blocks_become_chunks_with_pages_and_labels(spark):
              table(["Hạng mục", "Mức"], ["Vé máy bay", "Theo thực tế"], ["Hạng mục", "Mức"], ["", ""], ["Lưu trú", "800.000"]))
     b = made(*(p(f"Điều {i}. Tên {i}") + p(prose + " " + prose) for i in range(1, 5)))
     c = made(table(["STT", "Mức", "Mức"], ["", "thấp", "cao"], ["1", "x", "y"], header=2))
-    files = spark.createDataFrame([("a.docx", a), ("b.docx", b), ("c.docx", c)], "source string, content binary")
-    chunks = chunking.chunk_blocks(docx.docx_blocks(files))
+    raw = spark.createDataFrame([("a.docx", a), ("b.docx", b), ("c.docx", c)], "source string, content binary")
+    chunks = chunking.chunk_blocks(docx.docx_blocks(raw))
     got = {}
     for r in chunks.orderBy("source", "chunk_index").collect():
         got.setdefault(r.source, []).append(r)
@@ -114,6 +121,6 @@ def test_blocks_become_chunks_with_pages_and_labels(spark):
     assert [r.text for r in got["c.docx"]] == ["[Bảng 1 · trang 1 · dòng 1]\nSTT: 1\nMức — thấp: x\nMức — cao: y"]
     summary = {(r.chunker, r.labels): (r.documents, r.chunks) for r in chunking.parse_summary(chunks).collect()}
     assert summary["heading", "HEADING_1+HEADING_2"] == (1, 3) and summary["table", ""] == (2, 3)
-    pages = {(r.source, r.page): r.text for r in docx.docx_pages(docx.docx_blocks(files)).collect()}
+    pages = {(r.source, r.page): r.text for r in docx.docx_pages(docx.docx_blocks(raw)).collect()}
     assert "Vé máy bay" not in pages["a.docx", 2] and pages["a.docx", 1].startswith("Giới thiệu\nSinh viên")
-    assert "Vé máy bay | Theo thực tế" in docx.docx_text(docx.docx_blocks(files)).where(F.col("source") == "a.docx").first().text
+    assert "Vé máy bay | Theo thực tế" in docx.docx_text(docx.docx_blocks(raw)).where(F.col("source") == "a.docx").first().text

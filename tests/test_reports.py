@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import reports
 from docloom.sources import jsonl, store
+from docloom.streaming import ingest
 
 
 def test_projection_cuts_and_prefers_internal_scores(spark):
@@ -87,3 +88,10 @@ def test_side_files(spark, tmp_path):
 
     os.utime(tmp_path / "summary_1.json", (2e9, 2e9))
     assert jsonl.latest_result(spark, str(tmp_path)).first().value == "1"
+
+
+def test_only_missing_vectors_are_made(spark):
+    chunks = spark.createDataFrame([("a", "x"), ("b", "yy"), ("b", "yy")], "chunk_id string, text string")
+    cached = spark.createDataFrame([("a", [9.0]), ("gone", [1.0])], "chunk_id string, embedding array<double>")
+    got = ingest.embed_missing(chunks, cached, lambda t: F.array(F.length(t).cast("double")))
+    assert {r.chunk_id: r.embedding for r in got.collect()} == {"a": [9.0], "b": [2.0]} and got.count() == 2
