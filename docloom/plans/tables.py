@@ -52,11 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut lineage by writing a Parquet table into the shared folder and reading it again; it outlives any executor and is removed when the driver ends."""
+    """Cut lineage by writing a Parquet table into the shared folder and reading it again; it outlives any executor and is removed by :func:`release` or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    _written(spark, path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,11 +67,29 @@ def bucketed(df: DataFrame, keys: list[str], name: str = "step") -> DataFrame:
     key = uuid.uuid4().hex
     path = f"{shared_dir(spark)}/docloom-{name}-{key}"
     table = f"docloom_{name}_{key}"
-    atexit.register(_remove, spark, path)
+    _written(spark, path)
     df.repartition(buckets, *keys).dropDuplicates().write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
     return spark.table(table)
 
 
+def _written(spark: SparkSession, path: str) -> None:
+    """Note a step's folder, to be removed by :func:`release` or when the driver ends."""
+    if not hasattr(spark, "_docloom_steps"):
+        spark._docloom_steps = set()
+        atexit.register(release, spark)
+    spark._docloom_steps.add(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all steps written in this session, and the indexes it keeps; returns how many. Results that haven't been written or collected yet can't be read after it, so a long session calls it between jobs."""
+    steps = getattr(spark, "_docloom_steps", set())
+    n = len(steps)
+    while steps:
+        _remove(spark, steps.pop())
+    getattr(spark, "_docloom_indexes", {}).clear()
+    return n
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

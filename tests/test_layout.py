@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.operators import layout
+from docloom.plans import tables
 
 
 def test_blocks_in_tables_go(spark):
@@ -39,3 +42,10 @@ def test_captions_stand_just_above_their_table(spark):
     b = spark.createDataFrame(blocks, "source string, page int, x0 double, y0 double, x1 double, y1 double, text string")
     boxes = spark.createDataFrame([("s", 1, 1, 60.0), ("s", 1, 2, 500.0), ("s", 2, 1, 9.0)], "source string, page int, table_no int, y0 double")
     assert {(r.page, r.table_no): r.caption for r in layout.table_captions(b, boxes).collect()} == {(1, 1): "BẢNG ĐIỂM HỌC KỲ MỘT", (1, 2): "", (2, 1): ""}
+
+
+def test_steps_are_released(spark):
+    path = tables.materialize(spark.range(3)).inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    wide = tables.bucketed(spark.range(5).union(spark.range(5)), ["id"])
+    assert wide.count() == 5 and os.path.exists(path)
+    assert tables.release(spark) >= 2 and not os.path.exists(path) and tables.release(spark) == 0
