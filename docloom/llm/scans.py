@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -360,28 +361,25 @@ def profile_pages(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        look = _COUNTED.__getitem__
         for batch in batches:
             edges: Counter = Counter()
-            own: Counter = Counter()
-            pairs: Counter = Counter()
+            words = _Numbers()
+            flat: list[int] = []
             for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines = text.split("\n")
                 edges["page", source, ""] += 1
                 edges.update(_edge_counts(source, lines, EDGE))
-                words, cut = [], False  # words that a hyphen cuts don't count
+                cut = False  # words that a hyphen cuts don't count
                 for line in lines:
-                    some = [look(t) for t in line.split()]
+                    some = list(map(words.__getitem__, line.split()))
                     if some and cut:
-                        some[0] = ""
+                        some[0] = 0
                     cut = bool(some) and line.rstrip()[-1] in HYPHENS
                     if cut:
-                        some[-1] = ""
-                    words += some
-                    words.append("")
-                own.update(words)
-                pairs.update(zip(words, words[1:]))
-            rows = [(*k, n) for k, n in edges.items()] + [("word", w, "", n) for w, n in own.items() if w] + [("pair", v, w, n) for (v, w), n in pairs.items() if v and w]
+                        some[-1] = 0
+                    flat += some
+                    flat.append(0)
+            rows = [(*k, n) for k, n in edges.items()] + [("word", w, "", n) for w, n in words.counts(flat)] + [("pair", *k, n) for k, n in words.pairs(flat)]
             if rows:
                 yield list(zip(*rows))
 
@@ -400,7 +398,30 @@ def _edge_counts(source: str, lines: list[str], depth: int) -> set[tuple[str, st
     return out
 
 
-_COUNTED = WordCache(lambda raw: w if (w := raw.strip(_EDGES).lower()).replace("-", "").isalpha() else "")
+class _Numbers(dict):
+    """Raw token -> number of its word in order of appearance, 0 for what is no word; counts words and pairs of a batch in NumPy."""
+
+    def __init__(self):
+        super().__init__()
+        self.number: dict[str, int] = {"": 0}
+
+    def __missing__(self, raw: str) -> int:
+        word = raw.strip(_EDGES).lower()
+        self[raw] = n = self.number.setdefault(word, len(self.number)) if word.replace("-", "").isalpha() else 0
+        return n
+
+    def counts(self, flat: list[int]) -> Iterator[tuple[str, int]]:
+        """(word, occurrences) of the words among ``flat``, numbers with 0 between lines."""
+        names, n = list(self.number), np.bincount(np.array(flat, np.int64), minlength=1)
+        return ((names[i], int(n[i])) for i in np.flatnonzero(n) if i)
+
+    def pairs(self, flat: list[int]) -> Iterator[tuple[tuple[str, str], int]]:
+        """((word, next word), occurrences)."""
+        names, at = list(self.number), np.array(flat, np.int64)
+        a, b = at[:-1], at[1:]
+        both = (a > 0) & (b > 0)
+        keys, n = np.unique(a[both] << 32 | b[both], return_counts=True)
+        return (((names[k >> 32], names[k & 0xFFFFFFFF]), m) for k, m in zip(keys.tolist(), n.tolist()))
 
 
 def running_lines(pages: DataFrame, profile: DataFrame) -> DataFrame:
@@ -443,11 +464,12 @@ def train_vocabulary(profile: DataFrame, known: int = KNOWN, share: float = KNOW
     often = profile.where(F.col("kind").isin("word", "pair") & (F.col("n") >= max(known, math.ceil(total * share))))
     words: dict[str, int] = {}
     pairs: dict[tuple[str, str], int] = {}
-    for r in often.collect():
-        if r["kind"] == "word":
-            words[r["a"]] = r["n"]
-        else:
-            pairs[r["a"], r["b"]] = r["n"]
+    for batch in often.toArrow().to_batches():  # Arrow's form: a row object each would take several times the memory
+        for kind, a, b, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "n"))):
+            if kind == "word":
+                words[a] = n
+            else:
+                pairs[a, b] = n
     return Vocabulary(words, pairs)
 
 
@@ -473,21 +495,22 @@ def _body(lines: list[str], kinds: list[str]) -> list[int]:
     return [i for i, k in enumerate(kinds) if not k and lines[i].strip()]
 
 
-def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[str], bottoms: list[str], next_word: str | None, last_word: str | None = None, depth: int = EDGE) -> tuple[list[tuple[int, str]], str]:
+def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[str], bottoms: list[str], next_word: str | None, last_word: str | None = None, depth: int = EDGE, tokens_of: list[list[str]] | None = None) -> tuple[list[tuple[int, str]], str]:
     """(line number, kind) of the lines that need repair, and the page's text: paragraphs of one line each, furniture removed, words joined and repaired.
 
     ``next_word`` is the first body word of the file's next page, ``last_word`` the last one of the page before. A word broken at the
     end of a page is completed there, and the page that follows doesn't say its tail again. Misreadings in a broken word are judged by
-    the joined word and given to the line of their half.
+    the joined word and given to the line of their half. ``tokens_of`` are the lines' tokens, where they are known.
     """
     lines = text.split("\n")
+    tokens_of = tokens_of or [line.split() for line in lines]
     found, body = [], []
     for i, k in enumerate(classify_lines(lines, page, tops, bottoms, depth)):
         if k:
             found.append((i + 1, k))
-        elif lines[i].strip():
+        elif tokens_of[i]:
             body.append(i)
-    split = [lines[i].split() for i in body]
+    split = [tokens_of[i] for i in body]
     width = max((len(lines[i]) for i in body), default=0)
     kind = vocabulary.kinds.get
     out: list[str] = []
@@ -498,10 +521,9 @@ def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[
         broken = tokens[-1][-1] in HYPHENS and _is_broken(vocabulary, tokens[-1], follows)
         head = carry if at else start
         inner = tokens[1 if head else 0 : -1 if broken else None]
-        kinds = [kind(t, -1) for t in inner]
-        if -1 in kinds:
-            kinds = [vocabulary.kind(t) for t in inner]
-        seen = set(kinds)
+        seen = set(map(kind, inner))
+        if None in seen:
+            seen = set(map(vocabulary.kind, inner))
         if not head and not broken and seen <= _PLAIN:
             glue = " ".join(tokens)
             if out and not _ends_paragraph(lines, body, at - 1, width):
@@ -510,6 +532,7 @@ def repair_page(vocabulary: Vocabulary, text: str, page: int | None, tops: list[
                 out.append(glue)
             carry = ""
             continue
+        kinds = [vocabulary.kinds[t] for t in inner]
         no_accents = any(k & _BARE for k in seen) and vocabulary.lost_accents(lines[i], [*kinds, *(vocabulary.kind(t) for t in (tokens[:1] if head else []) + (tokens[-1:] if broken else []))])
         wrong = [k >= _MISREAD for k in kinds]
         if any(k & _WEIGH for k in seen):
@@ -648,8 +671,9 @@ def mend_scans(pages: DataFrame, known: int = KNOWN) -> DataFrame:
         known_words = vocabulary.value
         for batch in batches:
             text = batch.column(2).to_pylist()
-            known_words.learn(set().union(*map(str.split, text)))
-            got = [repair_page(known_words, *page) for page in zip(text, *(batch.column(k).to_pylist() for k in (1, 3, 4, 6, 7, 5)))]
+            tokens = [[line.split() for line in page.split("\n")] for page in text]
+            known_words.learn(set().union(*chain.from_iterable(tokens)))
+            got = [repair_page(known_words, *page) for page in zip(text, *(batch.column(k).to_pylist() for k in (1, 3, 4, 6, 7, 5)), tokens)]
             yield [batch.column(0), batch.column(1), [[{"line_no": n, "kind": k} for n, k in found] for found, _ in got], [text for _, text in got], batch.column(8)]
 
     mended = map_arrow(ready, run, f"source string, page {kind}, found array<struct<line_no: int, kind: string>>, text string, open boolean")
