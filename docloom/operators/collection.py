@@ -111,7 +111,7 @@ def with_defects(chunks: DataFrame) -> DataFrame:
     ocr_corrupt needs both signs, digits inside words and missing diacritics, in a text that isn't short; mislabelled is a clause number
     on a form. What several rules need is computed once, in stages.
     """
-    staged = chunks.withColumn("__t", F.regexp_replace(F.coalesce("text", F.lit("")), rf"^{T.BLANK}|{T.BLANK}$", ""))
+    staged = chunks.withColumn("__t", T.strip(F.coalesce("text", F.lit(""))))
     staged = staged.withColumn("__form", T.is_form(F.col("__t"), T.AUDIT_MARKERS)).withColumn("__words", T.word_count(F.col("__t")))
     t, form, words = F.col("__t"), F.col("__form"), F.col("__words")
     flag = lambda cond, name: F.when((t != "") & cond, F.lit(name))

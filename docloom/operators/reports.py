@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import headings, names
-from docloom.functions.text import BLANK
+from docloom.functions.text import strip
 from docloom.operators import metrics
 
 # The columns a caller gets of a hit, of a source of an answer, and the characters of its text.
@@ -38,7 +38,7 @@ def from_sources(rows: DataFrame, sources: list[str]) -> DataFrame:
 
 def cleaned_metadata(rows: DataFrame, fields: list[str], chars: int = 300) -> DataFrame:
     """``fields`` trimmed and cut; null is ''."""
-    return rows.withColumns({f: F.substring(F.regexp_replace(F.coalesce(f, F.lit("")), rf"^{BLANK}|{BLANK}$", ""), 1, chars) for f in fields})
+    return rows.withColumns({f: F.substring(strip(F.coalesce(f, F.lit(""))), 1, chars) for f in fields})
 
 
 def ablation(stages: dict[str, DataFrame], qrels: DataFrame, ks: tuple[int, ...] = metrics.KS) -> DataFrame:
@@ -84,7 +84,7 @@ def extractive(run: DataFrame) -> DataFrame:
     where = F.concat(F.lit("**["), F.col("rank"), F.lit("] "), F.coalesce("source", F.lit("?")), F.lit(" — trang "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.when(F.col("__place") != "", F.concat(F.lit(" · "), F.col("__place"))).otherwise(""), F.lit("**"))
     score = F.coalesce(F.format_string(" · rerank=%.3f", F.col("score_rerank").cast("double")), F.lit(""))
     score = F.when(F.col("score_rerank").isNull(), "").otherwise(score)
-    quote = F.concat(where, score, F.lit("\n> "), F.regexp_replace(F.coalesce("text", F.lit("")), rf"^{BLANK}|{BLANK}$", ""), F.lit("\n"))
+    quote = F.concat(where, score, F.lit("\n> "), strip(F.coalesce("text", F.lit(""))), F.lit("\n"))
     own = rows.select("query_id", "rank", quote.alias("quote")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "quote"))).alias("q"))
     head = F.format_string("**Trả lời trích xuất từ %d đoạn liên quan nhất:**\n", F.size("q"))
     return own.select("query_id", F.concat_ws("\n", head, F.array_join(F.transform("q", lambda x: x["quote"]), "\n")).alias("answer"))
