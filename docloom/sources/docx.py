@@ -61,93 +61,85 @@ def formatted(n: int, kind: str) -> str:
     return FORMATS.get(kind, str)(n)
 
 
-class Styles:
-    """Paragraph styles; a property comes from the nearest style of the chain of parents that has it."""
-
-    def __init__(self, root):
-        self.own: dict[str, dict] = {}
-        for style in root.iter(f"{W}style") if root is not None else ():
-            properties = style.find(f"{W}pPr")
-            outline = _val(properties, "outlineLvl")
-            self.own[style.get(f"{W}styleId")] = {"name": (_val(style, "name") or "").lower(), "parent": _val(style, "basedOn"), "number": _number(properties), "outline": None if outline is None else int(outline)}
-
-    def chain(self, style: str | None) -> list[dict]:
-        out: list[dict] = []
-        while style in self.own and self.own[style] not in out:
-            out.append(self.own[style])
-            style = self.own[style]["parent"]
-        return out
-
-    def number(self, style: str | None) -> tuple[str, int] | None:
-        return next(((num, depth or 0) for s in self.chain(style) for num, depth in [s["number"]] if num), None)
-
-    def level(self, style: str | None) -> int | None:
-        """Heading level from 0, by the built-in name, which doesn't depend on the interface language, or the outline level."""
-        for s in self.chain(style):
-            m = re.fullmatch(r"heading (\d)", s["name"])
-            if m or s["name"] == "title":
-                return int(m[1]) - 1 if m else 0
-            if s["outline"] is not None and s["outline"] < 9:
-                return s["outline"]
-        return None
+def style_table(root) -> dict[str, tuple[tuple[str, int] | None, int | None]]:
+    """Style -> (list and depth, heading level from 0) with what it inherits worked in.
+
+    A heading level comes from the built-in English name, which doesn't depend on the interface language, or from the outline level.
+    """
+    own: dict[str, tuple] = {}
+    for style in root.iter(f"{W}style") if root is not None else ():
+        properties = style.find(f"{W}pPr")
+        num, depth = _number(properties)
+        name, outline = (_val(style, "name") or "").lower(), int(_val(properties, "outlineLvl") or 9)
+        level = 0 if name == "title" else int(name[8:]) - 1 if re.fullmatch(r"heading \d", name) else outline if outline < 9 else None
+        own[style.get(f"{W}styleId")] = ((num, depth or 0) if num else None, level, _val(style, "basedOn"))
+    whole: dict[str, tuple] = {}
+
+    def resolve(key: str, below: frozenset) -> tuple:
+        if key not in whole:
+            number, level, parent = own.get(key, (None, None, None))
+            up = resolve(parent, below | {key}) if parent and parent not in below | {key} else (None, None)
+            whole[key] = (number or up[0], up[1] if level is None else level)
+        return whole[key]
+
+    return {key: resolve(key, frozenset()) for key in own}
 
 
 class Lists:
-    """Counters of the document's lists, which store no numbers in their text."""
-
-    def __init__(self, root, styles: Styles):
-        self.levels: dict[str, dict[int, tuple[str, str, int]]] = {}
-        self.linked: dict[str, str] = {}
-        self.list_of: dict[str, str] = {}
-        self.restarts: dict[str, dict[int, int]] = {}
-        self.styles, self.at, self.seen = styles, {}, set()
-        for one in root.iter(f"{W}abstractNum") if root is not None else ():
-            key = one.get(f"{W}abstractNumId")
-            self.levels[key] = {int(v.get(f"{W}ilvl") or 0): (_val(v, "numFmt") or "decimal", _val(v, "lvlText") or "", int(_val(v, "start") or 1)) for v in one.iter(f"{W}lvl")}
-            if link := _val(one, "numStyleLink"):
-                self.linked[key] = link
-        for num in root.iter(f"{W}num") if root is not None else ():
-            key = num.get(f"{W}numId")
-            if ref := _val(num, "abstractNumId"):
-                self.list_of[key] = ref
-                self.restarts[key] = {int(o.get(f"{W}ilvl") or 0): int(s) for o in num.iter(f"{W}lvlOverride") if (s := _val(o, "startOverride"))}
-
-    def _list(self, num: str) -> str | None:
-        key = self.list_of.get(num)
-        for _ in range(3):  # a list style points to a style whose numbering has the levels
-            target = self.styles.number(self.linked.get(key)) if key in self.linked else None
-            if not target:
-                break
-            key = self.list_of.get(target[0], key)
-        return key
+    """Counters of the document's lists, which store no numbers in their text.
+
+    ``plan`` has for each list number the list it counts in, the (format, pattern, start) of its levels and the starts it sets at its
+    first use. ``counts`` has of each list a counter per level; one that moves empties those below it.
+    """
+
+    def __init__(self, root, styles: dict[str, tuple]):
+        levels, links, uses = {}, {}, {}
+        for el in root if root is not None else ():
+            if el.tag == f"{W}abstractNum":
+                key = el.get(f"{W}abstractNumId")
+                levels[key] = {int(v.get(f"{W}ilvl") or 0): (_val(v, "numFmt") or "decimal", _val(v, "lvlText") or "", int(_val(v, "start") or 1)) for v in el.findall(f"{W}lvl")}
+                links[key] = _val(el, "numStyleLink")
+            elif el.tag == f"{W}num":
+                starts = {int(o.get(f"{W}ilvl") or 0): _val(o, "startOverride") for o in el.findall(f"{W}lvlOverride")}
+                uses[el.get(f"{W}numId")] = (_val(el, "abstractNumId"), {d: int(v) for d, v in sorted(starts.items()) if v})
+
+        def behind(key: str, seen: frozenset) -> str:
+            """The list that has the levels, where one only points to a style."""
+            number = styles.get(links.get(key), (None, None))[0]
+            target = uses.get(number[0], (None,))[0] if number else None
+            return behind(target, seen | {key}) if target and target not in seen else key
+
+        self.plan = {num: (at := behind(key, frozenset()), levels.get(at, {}), starts) for num, (key, starts) in uses.items() if key}
+        self.counts: dict[str, list[int | None]] = {}
 
     def marker(self, num: str | None, depth: int) -> str:
         """The next number of a list, as it is drawn before the text, with a blank; '' for a level without one."""
-        key = self._list(num) if num and num != "0" else None
-        levels = self.levels.get(key, {})
-        if depth not in levels:
+        key, levels, starts = self.plan.get(num, ("", {}, {}))
+        if depth not in levels or num == "0":
             return ""
-        counts = self.at.setdefault(key, {})
-        steps = [(d, start - 1) for d, start in sorted(self.restarts[num].items())] if num not in self.seen else []
-        self.seen.add(num)
         kind, pattern, start = levels[depth]
-        for d, value in [*steps, (depth, None)]:
-            counts[d] = counts.get(d, start - 1) + 1 if value is None else value
-            for deeper in [x for x in counts if x > d]:
-                del counts[deeper]
-        if kind == "bullet":
-            return "- "
-        if kind == "none":
-            return ""
-        shown = re.sub("%([1-9])", lambda m: formatted(counts.get(int(m[1]) - 1, levels.get(int(m[1]) - 1, ("", "", 1))[2]), levels.get(int(m[1]) - 1, ("decimal",))[0]), pattern).strip()
-        return shown and shown + " "
+        counts = self.counts.setdefault(key, [None] * 10)
+        for d, first in starts.items():
+            counts[d:] = [first - 1] + [None] * (9 - d)
+        self.plan[num] = (key, levels, {})
+        counts[depth:] = [(start - 1 if counts[depth] is None else counts[depth]) + 1] + [None] * (9 - depth)
+        if kind in ("bullet", "none"):
+            return "- " if kind == "bullet" else ""
+
+        def shown(m: re.Match) -> str:
+            how, _, begins = levels.get(int(m[1]) - 1, ("decimal", "", 1))
+            n = counts[int(m[1]) - 1]
+            return formatted(begins if n is None else n, how)
+
+        drawn = re.sub("%([1-9])", shown, pattern).strip()
+        return drawn and drawn + " "
 
 
 @dataclass
 class Reader:
     """Reads paragraphs and tables in order and counts pages: by the breaks of the last rendering where there are any, else by explicit ones."""
 
-    styles: Styles
+    styles: dict[str, tuple]
     lists: Lists
     rendered: bool
     page: int = 1
@@ -165,11 +157,11 @@ class Reader:
     def paragraph(self, p) -> tuple[str, int | None, int]:
         """(text with its list number, heading level or None, page it begins on)."""
         properties = p.find(f"{W}pPr")
-        style = _val(properties, "pStyle")
-        outline = _val(properties, "outlineLvl")
-        level = int(outline) if outline is not None and int(outline) < 9 else self.styles.level(style)
+        by_style, level = self.styles.get(_val(properties, "pStyle"), (None, None))
+        if (outline := int(_val(properties, "outlineLvl") or 9)) < 9:
+            level = outline
         num, depth = _number(properties)
-        number = (num, depth or 0) if num is not None else self.styles.number(style)
+        number = by_style if num is None else (num, depth or 0)
         self.page, self.owed = self.page + self.owed, 0
         if not self.rendered and _on(properties, "pageBreakBefore"):
             self.page += 1
@@ -271,7 +263,7 @@ def read_docx(content: bytes) -> list[tuple]:
         part = lambda name: ET.fromstring(z.read(name)) if name in names else None
         body = part("word/document.xml").find(f"{W}body")
         beside = [part(n) for n in sorted(names) if re.fullmatch(r"word/(?:header|footer)\d*\.xml", n)]
-        styles = Styles(part("word/styles.xml"))
+        styles = style_table(part("word/styles.xml"))
         reader = Reader(styles, Lists(part("word/numbering.xml"), styles), body.find(f".//{W}lastRenderedPageBreak") is not None)
     out = list(reader.blocks(body))
     unread = {
