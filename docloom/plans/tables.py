@@ -68,6 +68,7 @@ def bucketed(df: DataFrame, keys: list[str], name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/docloom-{name}-{key}"
     table = f"docloom_{name}_{key}"
     _written(spark, path)
+    spark._docloom_tables = [*getattr(spark, "_docloom_tables", []), table]
     df.repartition(buckets, *keys).dropDuplicates().write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
     return spark.table(table)
 
@@ -86,6 +87,12 @@ def release(spark: SparkSession) -> int:
     n = len(steps)
     while steps:
         _remove(spark, steps.pop())
+    for table in getattr(spark, "_docloom_tables", []):
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the session has ended
+            break
+    spark._docloom_tables = []
     getattr(spark, "_docloom_indexes", {}).clear()
     return n
 
