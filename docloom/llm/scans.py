@@ -148,17 +148,25 @@ class Vocabulary:
         order = np.argsort(keys)
         self.pair_keys, self.pair_counts = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
         self.trie = Trie(self.counts)
+        #: of asked words the known words near them, these with prices, what tokens are, and counts of asked pairs; all bounded
+        self.near: dict[str, list[str]] = {}
         self.cache: dict[str, list[tuple[str, float]]] = {}
         self.kinds: dict[str, int] = {}
+        self.asked: dict[tuple[str, str], int] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "kinds": {}}
+        return {**self.__dict__, "near": {}, "cache": {}, "kinds": {}, "asked": {}}
 
     def together(self, a: str, b: str) -> int:
         """How often ``b`` follows ``a``; 0 for a pair that isn't known."""
-        key = np.uint64(_pair(a, b))
-        at = int(np.searchsorted(self.pair_keys, key))
-        return int(self.pair_counts[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else 0
+        n = self.asked.get((a, b))
+        if n is None:
+            if len(self.asked) > CACHE_WORDS:
+                self.asked.clear()
+            key = np.uint64(_pair(a, b))
+            at = int(np.searchsorted(self.pair_keys, key))
+            n = self.asked[a, b] = int(self.pair_counts[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else 0
+        return n
 
     def learn(self, tokens: Iterable[str]) -> None:
         """Judge all ``tokens`` at once, so that the trie is walked for a whole batch of words together."""
@@ -174,28 +182,34 @@ class Vocabulary:
         return low not in self.counts and any(c.isalpha() for c in low)
 
     def retrieve(self, words: Iterable[str]) -> None:
-        """Fill the cache with the candidates of ``words``."""
-        if len(self.cache) > CACHE_WORDS:
+        """Find the known words near all of ``words``."""
+        if len(self.near) > CACHE_WORDS:
+            self.near.clear()
             self.cache.clear()
         by_distance: dict[int, list[str]] = {}
         for low in words:
-            if low not in self.cache:
-                self.cache[low] = []
+            if low not in self.near:
+                self.near[low] = [v for v in variants(low) if v in self.counts]
                 if len(low) <= self.longest + 3:
                     by_distance.setdefault(max(1, min(3, sum(c in SIGNS or c.isdigit() for c in low))), []).append(low)
         for distance, asked in by_distance.items():
             for low, got in zip(asked, self.trie.within(asked, distance)):
-                found = {known: _price(low, known) for known, _ in got}
-                for v in variants(low):
-                    if v in self.counts:
-                        found[v] = min(found.get(v, 99.0), 0.6)
-                self.cache[low] = sorted(((k, p - math.log(self.counts[k] / self.total) / 12) for k, p in found.items()), key=lambda x: (x[1], x[0]))
+                self.near[low] += [known for known, _ in got]
+
+    def around(self, word: str) -> list[str]:
+        """Known words that ``word`` may have been, in no order."""
+        low = word.lower()
+        if low not in self.near:
+            self.retrieve([low])
+        return self.near[low]
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """Known words that ``word`` may have been, with prices, the cheapest first."""
         low = word.lower()
         if low not in self.cache:
-            self.retrieve([low])
+            groups = variants(low)
+            found = {k: min(_price(low, k), 0.6) if k in groups else _price(low, k) for k in self.around(low)}
+            self.cache[low] = sorted(((k, p - math.log(self.counts[k] / self.total) / 12) for k, p in found.items()), key=lambda x: (x[1], x[0]))
         return self.cache[low]
 
     def repair(self, word: str, before: str = "", after: str = "") -> str | None:
@@ -222,7 +236,7 @@ class Vocabulary:
             kind |= _WORD
             if self.folded.get(low, 0) > 10 * self.counts.get(low, 0):
                 kind |= _BARE
-            elif not kind & _MISREAD and low not in self.counts and len(low) >= CONTEXT_LETTERS and self.candidates(low):
+            elif not kind & _MISREAD and low not in self.counts and len(low) >= CONTEXT_LETTERS and self.around(low):
                 kind |= _WEIGH
         return kind
 
@@ -238,7 +252,7 @@ class Vocabulary:
         if any(c.isdigit() for c in core):
             if _CODE.match(core) or "/" in core or sum(c.isalpha() for c in core) < 1:
                 return False
-            return any(_only_confused(low, k) for k, _ in self.candidates(core))
+            return any(_only_confused(low, k) for k in self.around(core))
         if not core.isalpha():
             return False
         return any(v in self.counts for v in variants(low))
@@ -248,7 +262,7 @@ class Vocabulary:
         low, a, b = (t.strip(_EDGES + HYPHENS).lower() for t in (token, before, after))
         if not a or not b or token[:1].isupper():
             return False
-        return any(self.together(a, k) and self.together(k, b) for k, _ in self.candidates(low))
+        return any(self.together(a, k) and self.together(k, b) for k in self.around(low))
 
     def misread_halves(self, head: str, tail: str) -> tuple[bool, bool]:
         """Of a word broken over two lines, whether characters of the first and of the second half were misread, judged by the joined word."""
@@ -299,13 +313,16 @@ def variants(word: str) -> set[str]:
     return out
 
 
+_PLAIN_LETTER = WordCache(fold_word)
+
+
 def _price(read: str, meant: str) -> float:
     row = [j * 1.0 for j in range(len(meant) + 1)]
     for i, a in enumerate(read, 1):
         drop = 0.4 if a in SIGNS else 1.0
         new = [row[0] + drop]
         for j, b in enumerate(meant, 1):
-            change = 0.0 if a == b else 0.5 if a in SIGNS else CONFUSED.get((a, b), CONFUSED.get((a, fold_word(b)), 1.2))
+            change = 0.0 if a == b else 0.5 if a in SIGNS else CONFUSED.get((a, b), CONFUSED.get((a, _PLAIN_LETTER[b]), 1.2))
             new.append(min(row[j] + drop, new[-1] + 1.0, row[j - 1] + change))
         row = new
     return row[-1]
@@ -313,7 +330,7 @@ def _price(read: str, meant: str) -> float:
 
 def _only_confused(read: str, meant: str) -> bool:
     """Equal but for digits that are taken for letters."""
-    return len(read) == len(meant) and all(a == b or a.isdigit() and ((a, b) in CONFUSED or (a, fold_word(b)) in CONFUSED) for a, b in zip(read, meant))
+    return len(read) == len(meant) and all(a == b or a.isdigit() and ((a, b) in CONFUSED or (a, _PLAIN_LETTER[b]) in CONFUSED) for a, b in zip(read, meant))
 
 
 _LETTERS_OF = WordCache(lambda raw: _LETTERS.sub("", fold_word(raw)))
