@@ -112,3 +112,41 @@ def test_rouge_and_fuzzy(spark):
     assert got[1].rouge1 == 0.0
     long = spark.createDataFrame([("Sinh viên nộp đơn đúng hạn.", "Theo quy định, sinh viên nộp đơn đúng hạn. Hết.")], "reference string, answer string")
     assert metrics.fuzzy_recall(long).first().fuzzy_recall == 1.0
+
+
+@pytest.mark.parametrize("k, larger_first, block, least", [(1, False, 20_000, 0.1), (3, True, 7, 0.1), (40, False, 20_000, -0.5)])
+def test_ranked_equals_brute_force(spark, k, larger_first, block, least):
+    """Common and rare terms, ties, repeated queries and (in the last case) weights below zero."""
+    rng = np.random.default_rng(3)
+    posts = sorted({(f"t{t}", f"d{d:03}") for d in range(300) for t in [*rng.choice(12, 6), *rng.integers(12, 400, 2)]})
+    posts = [(t, d, int(rng.integers(1, 4)), 1 + int(d[1:]) % 3) for t, d in posts]
+    weights = {f"t{t}": round(float(w), 1) for t, w in enumerate(rng.uniform(least, 2, 400))}
+    asked = {q: {f"t{t}" for t in [*np.random.default_rng(q % 20).choice(12, 5), *rng.integers(12, 400, 2)]} for q in range(40)}
+    got = bm25.ranked(
+        spark.createDataFrame(posts, "term string, id string, tf int, dl int").repartition(3),
+        spark.createDataFrame([(q, t, weights[t]) for q, ts in asked.items() for t in ts], "query_id int, term string, weight double"),
+        lambda tf, dl: tf / dl, k, 3, larger_first, block,
+    )
+    want = set()
+    for q, ts in asked.items():
+        score = Counter()
+        for t, d, tf, dl in posts:
+            if t in ts:
+                score[d] += weights[t] * tf / dl
+        found = [(round(s, 3), d) for d, s in score.items() if round(s, 3)]
+        found = sorted(sorted(found, key=lambda x: x[1], reverse=larger_first), key=lambda x: -x[0])[:k]
+        want |= {(q, i + 1, d, s) for i, (s, d) in enumerate(found)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_common_words_are_not_met_pair_by_pair():
+    """A word of all queries and half of the records is a column; a rare word stays by index."""
+    n, begin = 1_000, np.array([0, 1_000, 1_001])
+    queries = bm25.QueryBlock(n, begin, np.r_[np.arange(n), 7], np.r_[np.full(n, 2.0), 9.0], np.array([0.5, 0.001]))
+    assert queries.column.tolist() == [0, -1] and queries.size.tolist() == [n]
+    key, more = queries.pairs(np.array([4]), np.array([1]), np.array([1.5]))
+    assert (key.tolist(), more.tolist()) == ([4 * n + 7], [13.5])
+    low, group_low = queries.least(np.full(n, 3.0))
+    rough = np.array([[2.0]] * 4 + [[0.0]] + [[4.0]], np.float32)
+    assert queries.candidates(rough, low, group_low, key, more).tolist() == [4 * n + 7, *(5 * n + i for i in range(n))]
+    assert not queries.fits(np.array([0.5, 9.0])) and queries.fits(np.array([1.0, 0.002]))
