@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from docloom.operators import bm25
 from docloom.plans.tables import carried, ranged
 
 KS = (1, 3, 5, 10)
+#: Places of a resampling that are in memory at once.
+DRAWN = 1_000_000
 
 
 def per_query_metrics(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
@@ -109,24 +112,38 @@ def binomial_tail(b: int, c: int) -> float:
 
 
 def draws(n: int, rounds: int, seed: int) -> np.ndarray:
-    """``rounds`` x ``n`` places below ``n``, those that Python's generator of that seed gives one ``randrange(n)`` after the other.
+    """``rounds`` x ``n`` places below ``n``, those that Python's generator of that seed gives one ``randrange(n)`` after the other."""
+    return np.concatenate([np.zeros((0, n), np.int32), *draw_blocks(n, rounds, seed)])
+
+
+def draw_blocks(n: int, rounds: int, seed: int, size: int = DRAWN) -> Iterator[np.ndarray]:
+    """The rounds of :func:`draws` in blocks of at most ``size`` places, one round at least.
 
     The Mersenne Twister's words come from NumPy in bulk: a place is the top bits of a word, and words that give none below ``n`` are passed over.
     """
     version, state, _ = random.Random(seed).getstate()
     bits = np.random.MT19937()
     bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-    shift, need = np.uint64(32 - n.bit_length()), n * rounds
-    parts, have = [], 0
-    while have < need:
-        some = bits.random_raw(int((need - have) * (1 << n.bit_length()) / n) + 64) >> shift
-        parts.append(some[some < n].astype(np.int32))
-        have += len(parts[-1])
-    return np.concatenate(parts)[:need].reshape(rounds, n)
-
-
-def _resampled(values: np.ndarray, rounds: int, seed: int) -> np.ndarray:
-    return values[draws(len(values), rounds, seed)].mean(axis=1)
+    shift, most, rest = np.uint64(32 - n.bit_length()), max(1, size // n), np.zeros(0, np.int32)
+    while rounds > 0:
+        some = min(rounds, most)
+        parts, have, need = [rest], len(rest), n * some
+        while have < need:
+            words = bits.random_raw(int((need - have) * (1 << n.bit_length()) / n) + 64) >> shift
+            parts.append(words[words < n].astype(np.int32))
+            have += len(parts[-1])
+        places = np.concatenate(parts)
+        yield places[:need].reshape(some, n)
+        rest, rounds = places[need:], rounds - some
+
+
+def _resampled(rounds: int, seed: int, *columns: np.ndarray) -> list[np.ndarray]:
+    """For each column of values its means over the rounds, all by the same draws; a block of draws at a time is in memory."""
+    means: list[list[np.ndarray]] = [[] for _ in columns]
+    for places in draw_blocks(len(columns[0]), rounds, seed):
+        for values, out in zip(columns, means):
+            out.append(values[places].mean(axis=1))
+    return [np.concatenate(out) for out in means]
 
 
 def bootstrap(values: DataFrame, column: str, rounds: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -137,7 +154,7 @@ def bootstrap(values: DataFrame, column: str, rounds: int = 10_000, alpha: float
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         xs = frame.sort_values("query_id")["v"].to_numpy(float)
-        means = np.sort(_resampled(xs, rounds, seed))
+        means = np.sort(_resampled(rounds, seed, xs)[0])
         tail = alpha / 2
         return pd.DataFrame([(xs.mean(), means[int(tail * rounds)], means[min(int((1 - tail) * rounds), rounds - 1)])], columns=["mean", "low", "high"])
 
@@ -154,8 +171,9 @@ def paired_test(a: DataFrame, b: DataFrame, column: str = "hit", rounds: int = 1
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         d = frame.sort_values("query_id")["v"].to_numpy(float)
-        seen, moved = d.mean(), np.sort(_resampled(d, rounds, seed))
-        p = (np.abs(_resampled(d - seen, rounds, seed)) >= abs(seen) - 1e-15).mean()
+        seen = d.mean()
+        moved, centred = _resampled(rounds, seed, d, d - seen)
+        moved, p = np.sort(moved), (np.abs(centred) >= abs(seen) - 1e-15).mean()
         return pd.DataFrame([(len(d), seen, moved[int(0.025 * rounds)], moved[int(0.975 * rounds) - 1], p)], columns=["n", "diff", "low", "high", "p_value"])
 
     x = a.select("query_id", F.col(column).cast("double").alias("x")).join(b.select("query_id", F.col(column).cast("double").alias("y")), "query_id")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from docloom.operators import clauses, collection, metrics
 
@@ -82,3 +83,18 @@ def test_clause_windows_pay_for_the_joints_afterwards(spark):
     assert used(100) == (2, True, 102)  # the part before fits the 40 that are left
     assert used(140) == (3, True, 142)  # 40 go in front, the 38 left take the part behind
     assert used(61) == (1, True, 60)
+
+
+def test_resampling_holds_a_block_of_draws():
+    """10 million draws: their places and values together would be 120 MB."""
+    import tracemalloc
+
+    d = np.arange(5_000.0)
+    tracemalloc.start()
+    means, centred = metrics._resampled(2_000, 42, d, d - d.mean())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    places = np.concatenate(list(metrics.draw_blocks(5_000, 60, 42, 13_000)))
+    assert np.array_equal(places, metrics.draws(5_000, 60, 42))
+    assert np.array_equal(means[:60], d[places].mean(axis=1)) and np.array_equal(centred[:60], (d - d.mean())[places].mean(axis=1))
