@@ -14,8 +14,8 @@ from docloom.functions.text import tokens
 from docloom.plans.tables import broadcast_if_small, column_type, map_arrow, materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Queries scored together, and distinct query terms that are broadcast to the postings; more terms meet them by a shuffle.
-QUERY_BLOCK, BROADCAST_ROWS = 20_000, 500_000
+#: Queries scored together, results that a task keeps for them, and distinct query terms that are broadcast to the postings; more terms meet them by a shuffle.
+QUERY_BLOCK, KEPT_ROWS, BROADCAST_ROWS = 60_000, 2_000_000, 500_000
 #: (record, query) pairs that are scored at once.
 CELLS = 2_000_000
 #: Terms that are columns of the matrix of weights, at most, and the share of all (record, query) pairs from which a term is one: meeting
@@ -94,13 +94,13 @@ def search(index: Bm25Index, queries: DataFrame, k: int = 20, query_id: str = "q
 def ranked(posts: DataFrame, wanted: DataFrame, saturate, k: int, digits: int = 6, larger_id_first: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` documents of greatest sum of weight times saturate(tf, dl) over a query's terms, for (query_id, term, weight) and postings.
 
-    The postings of the asked terms are gathered by document once. The stated queries come in blocks of at most ``block`` and are
-    broadcast, and each task keeps the best ``k`` of every query over all its documents. So (query, document) pairs are never rows: what
+    The postings of the asked terms are gathered by document once. The stated queries come in blocks of at most ``block``, and of at most
+    KEPT_ROWS results, and are broadcast; each task keeps the best ``k`` of every query over all its documents. So (query, document) pairs are never rows: what
     is shuffled is the postings of the queried terms and at most tasks x queries x k results, however many batches a task has.
     """
     wanted = materialize(wanted, "wanted")
     n = wanted.select("query_id").distinct().count()
-    parts = max(1, -(-n // block))
+    parts = max(1, -(-n // max(1, min(block, KEPT_ROWS // k))))
     known = materialize(wanted.select("term").distinct().withColumn("no", F.monotonically_increasing_id()), "vocabulary")
     small = broadcast_if_small(known, known.count(), BROADCAST_ROWS)
     docs = posts.join(small, "term").groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("no", "tf")).alias("terms"))
@@ -162,9 +162,9 @@ class QueryBlock:
         held = self.column[term] >= 0
         matrix = np.zeros((n, len(wide)))
         np.add.at(matrix, (asks[held], self.column[term[held]]), weights[held])
-        mark = (matrix * np.random.default_rng(0).random(len(wide))).sum(axis=1)
+        mark = np.einsum("ij,j->i", matrix, np.random.default_rng(0).random(len(wide)))
         _, first, group = np.unique(mark, return_index=True, return_inverse=True)
-        if not np.array_equal(matrix[first][group], matrix):  # two kinds of queries with one mark
+        if any(not np.array_equal(matrix[first[group[i : i + 4096]]], matrix[i : i + 4096]) for i in range(0, n, 4096)):  # two kinds of queries with one mark
             first = group = np.arange(n)
         self.group, self.matrix = group, matrix[first]
         self.flat = np.ascontiguousarray(self.matrix.T, np.float32)
@@ -172,7 +172,7 @@ class QueryBlock:
         self.size = np.bincount(group, minlength=len(first))
         self.start = np.cumsum(self.size) - self.size
         # what a sum in single precision may be off by, for values of at most one, with room to spare
-        self.off = (np.bincount(asks[held], minlength=n) + 8) * 2.0**-23 * np.abs(matrix).sum(axis=1)
+        self.off = (np.bincount(asks[held], minlength=n) + 8) * 2.0**-23 * np.bincount(asks[held], np.abs(weights[held]), n)
         self.positive = not len(weights) or weights.min() >= 0
 
     def fits(self, share: np.ndarray) -> bool:
@@ -215,10 +215,10 @@ class QueryBlock:
 def _ranked_block(docs: DataFrame, wanted: DataFrame, saturate, k: int, digits: int) -> DataFrame:
     """(query_id, id, score): the best ``k`` of each query in each task. Only records that can still be among them are scored exactly."""
     own: dict[object, int] = {}
-    rows = [(r["no"], own.setdefault(r["query_id"], len(own)), r["weight"]) for r in wanted.collect()]
-    nos, place = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
+    rows = wanted.select("query_id", "no", F.col("weight").cast("double").alias("weight")).toArrow()
+    nos, place = np.unique(rows["no"].to_numpy(), return_inverse=True)
     by_term = np.argsort(place, kind="stable")
-    asks, weights = np.array([r[1] for r in rows], np.int64)[by_term], np.array([r[2] for r in rows], np.float64)[by_term]
+    asks, weights = np.array([own.setdefault(q, len(own)) for q in rows["query_id"].to_pylist()], np.int64)[by_term], rows["weight"].to_numpy()[by_term]
     begin = np.searchsorted(place[by_term], np.arange(len(nos) + 1))
     shared = docs.sparkSession.sparkContext.broadcast((list(own), nos, begin, asks, weights))
     kind, step = column_type(docs, "id"), 10.0**-digits
